@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ..fixtures import view
 from ..operators import features as feat
-from ..operators import grid, quality, spatial
+from ..operators import events, grid, metrics, quality, spatial, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -150,3 +150,138 @@ def q_features_clean(spark, d):
 def q_clean_audit(spark, d):
     m = merged(spark, d)
     return feat.clean_audit(m, feat.clean_features(m))
+
+
+# ------------------------------------------------------ events and stats
+# Fixed parameters of the registered checks: flood level on the fixture
+# flows, split time inside the fixture month, decision thresholds.
+FIXTURE_FLOOD_LEVEL = 25.0
+FIXTURE_SPLIT_AT = "2024-01-20 00:00:00"
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "v_scored")
+
+
+@register("flow_distribution")
+def q_flow_distribution(spark, d):
+    return rounded(stats.flow_distribution(basin_flow(spark, d)))
+
+
+@register("threshold_sweep")
+def q_threshold_sweep(spark, d):
+    return events.threshold_sweep(basin_flow(spark, d))
+
+
+def sessions(spark, d):
+    return events.flood_sessions(basin_flow(spark, d), FIXTURE_FLOOD_LEVEL)
+
+
+@register("flood_sessions")
+def q_flood_sessions(spark, d):
+    return rounded(sessions(spark, d))
+
+
+@register("flood_events")
+def q_flood_events(spark, d):
+    return rounded(events.flood_events(sessions(spark, d)))
+
+
+@register("event_cutoff")
+def q_event_cutoff(spark, d):
+    return events.event_cutoff(events.flood_events(sessions(spark, d)))
+
+
+@register("peak_hydrograph")
+def q_peak_hydrograph(spark, d):
+    return rounded(events.peak_hydrograph(basin_flow(spark, d)))
+
+
+@register("row_split")
+def q_row_split(spark, d):
+    return events.row_split(basin_flow(spark, d)).select("basin_id", "hour", "split")
+
+
+@register("flow_duration")
+def q_flow_duration(spark, d):
+    return rounded(stats.flow_duration(basin_flow(spark, d)))
+
+
+@register("grid_profile")
+def q_grid_profile(spark, d):
+    return rounded(stats.grid_profile(basin_flow(spark, d)))
+
+
+@register("time_split")
+def q_time_split(spark, d):
+    return events.time_split(basin_flow(spark, d), FIXTURE_SPLIT_AT).select("basin_id", "hour", "split")
+
+
+@register("label_now")
+def q_label_now(spark, d):
+    return rounded(events.label_now(basin_flow(spark, d), FIXTURE_FLOOD_LEVEL))
+
+
+@register("label_ahead")
+def q_label_ahead(spark, d):
+    return rounded(events.label_ahead(basin_flow(spark, d), FIXTURE_FLOOD_LEVEL, 1))
+
+
+@register("class_balance")
+def q_class_balance(spark, d):
+    lab = events.label_ahead(basin_flow(spark, d), FIXTURE_FLOOD_LEVEL, 1)
+    train = events.time_split(lab, FIXTURE_SPLIT_AT).filter(F.col("split") == "train")
+    return rounded(metrics.class_balance(train, "flood_in_1h"))
+
+
+# ----------------------------------------------------------- metrics
+
+@register("flood_decision")
+def q_flood_decision(spark, d):
+    s = scored(spark, d)
+    return rounded(s.select("event_id", "basin_id", "proba",
+                            events.decide("proba", 0.5, True).alias("decision_v1"),
+                            events.decide("proba", 0.3, False).alias("decision_v3"),
+                            events.decide("proba", 0.03, True).alias("alert")))
+
+
+@register("class_weights")
+def q_class_weights(spark, d):
+    return rounded(metrics.class_weights(scored(spark, d)))
+
+
+def predicted_labels(spark, d):
+    return scored(spark, d).withColumn("pred", events.decide("proba", 0.3, False))
+
+
+@register("confusion")
+def q_confusion(spark, d):
+    return metrics.confusion(predicted_labels(spark, d))
+
+
+@register("class_report")
+def q_class_report(spark, d):
+    return rounded(metrics.class_report(predicted_labels(spark, d)))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, d):
+    return rounded(metrics.roc_auc(scored(spark, d)))
+
+
+@register("regression_metrics")
+def q_regression_metrics(spark, d):
+    return rounded(metrics.regression_metrics(scored(spark, d)))
+
+
+@register("flood_metrics")
+def q_flood_metrics(spark, d):
+    return rounded(metrics.flood_metrics(scored(spark, d), FIXTURE_FLOOD_LEVEL))
+
+
+@register("event_peaks")
+def q_event_peaks(spark, d):
+    s = scored(spark, d)
+    ev = events.flood_events(events.flood_sessions(s, FIXTURE_FLOOD_LEVEL, flow="actual", order="ts"),
+                             flow="actual", order="ts")
+    return rounded(events.event_peaks(s, ev))

@@ -229,3 +229,180 @@ LEFT JOIN (SELECT basin_id, count(*) AS rows_after,
                   CAST(sum(CASE WHEN flow2 > 4.0 AND month(hour) BETWEEN 4 AND 9 THEN 1 ELSE 0 END) AS BIGINT)
                     AS summer_high_flow
            FROM fc GROUP BY basin_id) a ON a.basin_id = b.basin_id""")
+
+# ------------------------------------------------------ events and stats
+FRAG.update({
+    "fs": """SELECT basin_id, hour, flow, CAST(sum(nw) OVER (PARTITION BY basin_id ORDER BY hour
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS event_id
+             FROM (SELECT basin_id, hour, flow,
+                          CASE WHEN hour - lag(hour) OVER (PARTITION BY basin_id ORDER BY hour) > INTERVAL 7 DAY
+                               THEN 1 ELSE 0 END AS nw
+                   FROM fl WHERE flow > 25.0)""",
+    "fe": """SELECT basin_id, event_id, min(hour) AS start_time, max(hour) AS end_time,
+                    count(*) AS n_hours, max(flow) AS peak_flow FROM fs GROUP BY basin_id, event_id""",
+    "lab": """SELECT basin_id, hour, flow,
+                     coalesce(CAST(lead(flow, 1) OVER (PARTITION BY basin_id ORDER BY hour) > 25.0 AS INTEGER), 0)
+                       AS flood_in_1h FROM fl""",
+    "pl": """SELECT *, CASE WHEN proba > 0.3 THEN 1 ELSE 0 END AS pred FROM v_scored""",
+})
+FRAG_DEPS.update({"fs": ("fl",), "fe": ("fs",), "lab": ("fl",), "pl": ("v_scored",)})
+
+oracle("flow_distribution", f"""
+SELECT basin_id, {r6('avg(flow)', 'mean_flow')}, {r6('quantile_cont(flow, 0.5)', 'median_flow')},
+       {r6('quantile_cont(flow, 0.95)', 'p95_flow')}, {r6('quantile_cont(flow, 0.99)', 'p99_flow')},
+       {r6('quantile_cont(flow, 0.999)', 'p999_flow')}, {r6('max(flow)', 'max_flow')}
+FROM fl GROUP BY basin_id""", "fl")
+
+oracle("threshold_sweep", """
+SELECT basin_id, CAST(t.thr AS DOUBLE) AS threshold,
+       CAST(sum(CASE WHEN f > t.thr THEN 1 ELSE 0 END) AS BIGINT) AS hours_above,
+       CAST(sum(CASE WHEN f > t.thr AND p <= t.thr THEN 1 ELSE 0 END) AS BIGINT) AS events
+FROM (SELECT basin_id, flow AS f, lag(flow) OVER (PARTITION BY basin_id ORDER BY hour) AS p FROM fl) x,
+     (SELECT unnest([3, 5, 8, 10, 15, 20, 30, 50]) AS thr) t
+GROUP BY basin_id, t.thr""", "fl")
+
+oracle("flood_sessions", f"SELECT basin_id, hour, {r6('flow', 'flow')}, event_id FROM fs", "fs")
+
+oracle("flood_events", f"""
+SELECT basin_id, event_id, start_time, end_time, n_hours, {r6('peak_flow', 'peak_flow')} FROM fe""", "fe")
+
+oracle("event_cutoff", """
+SELECT p.basin_id, p.n AS n_events, p.nt AS n_test_events,
+       CASE WHEN p.n - p.nt - 1 >= 0 THEN CAST(p.n - p.nt - 1 AS INTEGER) END AS cutoff_event,
+       e.end_time AS cutoff_time
+FROM (SELECT basin_id, count(*) AS n, CAST(greatest(2, floor(count(*) * 0.2)) AS BIGINT) AS nt
+      FROM fe GROUP BY basin_id) p
+LEFT JOIN fe e ON e.basin_id = p.basin_id AND e.event_id = p.n - p.nt - 1""", "fe")
+
+oracle("peak_hydrograph", f"""
+SELECT f.basin_id, pk.peak_time, f.hour, {r6('f.flow', 'flow')}
+FROM fl f
+JOIN (SELECT f2.basin_id, min(f2.hour) AS peak_time
+      FROM fl f2 JOIN (SELECT basin_id, max(flow) AS m FROM fl GROUP BY basin_id) mx
+        ON mx.basin_id = f2.basin_id AND f2.flow = mx.m
+      GROUP BY f2.basin_id) pk ON pk.basin_id = f.basin_id
+WHERE f.hour BETWEEN pk.peak_time - INTERVAL 2 DAY AND pk.peak_time + INTERVAL 2 DAY""", "fl")
+
+oracle("row_split", """
+SELECT basin_id, hour,
+       CASE WHEN row_number() OVER (PARTITION BY basin_id ORDER BY hour)
+                 <= floor(count(*) OVER (PARTITION BY basin_id) * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM fl""", "fl")
+
+oracle("flow_duration", f"""
+SELECT basin_id, rnk AS rank, {r6('rnk / n * 100', 'exceedance_pct')}, {r6('flow', 'flow')}
+FROM (SELECT basin_id, flow, row_number() OVER (PARTITION BY basin_id ORDER BY flow DESC, hour) AS rnk,
+             count(*) OVER (PARTITION BY basin_id) AS n FROM fl)""", "fl")
+
+oracle("grid_profile", f"""
+SELECT basin_id, count(*) AS n_hours, min(hour) AS first_hour, max(hour) AS last_hour,
+       {r6('max(flow)', 'max_flow')}, CAST(sum(CASE WHEN flow > 5.0 THEN 1 ELSE 0 END) AS BIGINT) AS hours_over_level
+FROM fl GROUP BY basin_id""", "fl")
+
+oracle("time_split", """
+SELECT basin_id, hour, CASE WHEN hour <= TIMESTAMP '2024-01-20 00:00:00' THEN 'train' ELSE 'test' END AS split
+FROM fl""", "fl")
+
+oracle("label_now", f"""
+SELECT basin_id, hour, {r6('flow', 'flow')}, CAST(flow > 25.0 AS INTEGER) AS is_flood FROM fl""", "fl")
+
+oracle("label_ahead", f"SELECT basin_id, hour, {r6('flow', 'flow')}, flood_in_1h FROM lab", "lab")
+
+oracle("class_balance", f"""
+SELECT basin_id, count(*) AS rows, CAST(sum(flood_in_1h) AS BIGINT) AS positives,
+       {r6('sum(flood_in_1h) * CAST(100 AS DOUBLE) / count(*)', 'positive_pct')},
+       {r6('(count(*) - sum(flood_in_1h)) / greatest(sum(flood_in_1h), 1)', 'scale_pos_weight')}
+FROM lab WHERE hour <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY basin_id""", "lab")
+
+# ----------------------------------------------------------- metrics
+oracle("flood_decision", f"""
+SELECT event_id, basin_id, {r6('proba', 'proba')},
+       CAST(proba >= 0.5 AS INTEGER) AS decision_v1, CAST(proba > 0.3 AS INTEGER) AS decision_v3,
+       CAST(proba >= 0.03 AS INTEGER) AS alert
+FROM v_scored""", "v_scored")
+
+oracle("class_weights", f"""
+SELECT c.basin_id, c.label, c.n_class, {r6('t.n / (2.0 * c.n_class)', 'balanced_weight')},
+       {r6('CASE WHEN c.label = 1 THEN (t.n - t.pos) / greatest(t.pos, 1) ELSE 1.0 END', 'boost_weight')}
+FROM (SELECT basin_id, label, count(*) AS n_class FROM v_scored GROUP BY basin_id, label) c
+JOIN (SELECT basin_id, count(*) AS n, sum(label) AS pos FROM v_scored GROUP BY basin_id) t
+  ON t.basin_id = c.basin_id""", "v_scored")
+
+oracle("confusion", """
+SELECT b.basin_id, g.actual, g.predicted,
+       CAST(count(p.basin_id) AS BIGINT) AS n
+FROM (SELECT DISTINCT basin_id FROM pl) b
+CROSS JOIN (SELECT CAST(a AS INTEGER) AS actual, CAST(q AS INTEGER) AS predicted
+            FROM (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS q)) g
+LEFT JOIN pl p ON p.basin_id = b.basin_id AND p.label = g.actual AND p.pred = g.predicted
+GROUP BY b.basin_id, g.actual, g.predicted""", "pl")
+
+_PRF = """
+, cnt AS (SELECT basin_id, count(*) AS n,
+                 sum(CASE WHEN label = 0 AND pred = 0 THEN 1 ELSE 0 END) AS c00,
+                 sum(CASE WHEN label = 0 AND pred = 1 THEN 1 ELSE 0 END) AS c01,
+                 sum(CASE WHEN label = 1 AND pred = 0 THEN 1 ELSE 0 END) AS c10,
+                 sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END) AS c11 FROM pl GROUP BY basin_id)
+, pc AS (SELECT basin_id, n, '0' AS class,
+                coalesce(c00 / nullif(c00 + c10, 0), 0) AS precision,
+                coalesce(c00 / nullif(c00 + c01, 0), 0) AS recall, c00 + c01 AS support FROM cnt
+         UNION ALL
+         SELECT basin_id, n, '1' AS class,
+                coalesce(c11 / nullif(c11 + c01, 0), 0) AS precision,
+                coalesce(c11 / nullif(c11 + c10, 0), 0) AS recall, c10 + c11 AS support FROM cnt)
+, pf AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM pc)
+"""
+oracle("class_report", _PRF.lstrip() + f"""
+SELECT basin_id, class, {r6('precision', 'precision')}, {r6('recall', 'recall')}, {r6('f1', 'f1')},
+       CAST(support AS BIGINT) AS support FROM pf
+UNION ALL
+SELECT basin_id, 'accuracy', NULL, NULL, {r6('(c00 + c11) / n', 'f1')}, CAST(n AS BIGINT) FROM cnt
+UNION ALL
+SELECT basin_id, 'macro avg', {r6('avg(precision)', 'p')}, {r6('avg(recall)', 'r')}, {r6('avg(f1)', 'f')},
+       CAST(max(n) AS BIGINT) FROM pf GROUP BY basin_id
+UNION ALL
+SELECT basin_id, 'weighted avg', {r6('sum(precision * support) / max(n)', 'p')},
+       {r6('sum(recall * support) / max(n)', 'r')}, {r6('sum(f1 * support) / max(n)', 'f')},
+       CAST(max(n) AS BIGINT) FROM pf GROUP BY basin_id""", "pl")
+# the body above starts with ", cnt AS": it continues the WITH list of pl
+ORACLES["class_report"] = ORACLES["class_report"].replace("\n, cnt AS", ", cnt AS", 1)
+
+oracle("roc_auc", f"""
+SELECT basin_id,
+       {r6('(sum(CASE WHEN label = 1 THEN avg_rank END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label)))', 'roc_auc')},
+       CAST(sum(label) AS BIGINT) AS positives, CAST(count(*) - sum(label) AS BIGINT) AS negatives
+FROM (SELECT basin_id, label,
+             rank() OVER (PARTITION BY basin_id ORDER BY proba)
+               + (count(*) OVER (PARTITION BY basin_id, proba) - 1) / 2.0 AS avg_rank
+      FROM v_scored)
+GROUP BY basin_id""", "v_scored")
+
+oracle("regression_metrics", f"""
+SELECT basin_id, count(*) AS n, {r6('avg(abs(e))', 'mae')}, {r6('sqrt(avg(e * e))', 'rmse')},
+       {r6('1 - sum(e * e) / sum((actual - mu) * (actual - mu))', 'r2')}
+FROM (SELECT basin_id, actual, actual - greatest(predicted, 0) AS e,
+             avg(actual) OVER (PARTITION BY basin_id) AS mu FROM v_scored)
+GROUP BY basin_id""", "v_scored")
+
+oracle("flood_metrics", f"""
+SELECT basin_id, CAST(sum(r) AS BIGINT) AS flood_hours, CAST(sum(r * h) AS BIGINT) AS true_pos,
+       CAST(sum(r) - sum(r * h) AS BIGINT) AS false_neg, CAST(sum((1 - r) * h) AS BIGINT) AS false_pos,
+       {r6('coalesce(sum(r * h) * 100.0 / nullif(sum(r), 0), 0)', 'recall_pct')},
+       {r6('coalesce(sum(CASE WHEN r = 1 THEN abs(actual - p) END) / nullif(sum(r), 0), 0)', 'flood_mae')}
+FROM (SELECT basin_id, actual, greatest(predicted, 0) AS p,
+             CASE WHEN actual > 25.0 THEN 1 ELSE 0 END AS r,
+             CASE WHEN greatest(predicted, 0) > 25.0 THEN 1 ELSE 0 END AS h FROM v_scored)
+GROUP BY basin_id""", "v_scored")
+
+oracle("event_peaks", f"""
+, sf AS (SELECT basin_id, ts, CAST(sum(nw) OVER (PARTITION BY basin_id ORDER BY ts
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS event_id
+         FROM (SELECT basin_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY basin_id ORDER BY ts) > INTERVAL 7 DAY
+                                        THEN 1 ELSE 0 END AS nw
+               FROM v_scored WHERE actual > 25.0))
+, ev AS (SELECT basin_id, event_id, min(ts) AS st, max(ts) AS en FROM sf GROUP BY basin_id, event_id)
+SELECT e.basin_id, e.event_id, {r6('max(s.actual)', 'peak_actual')}, {r6('max(s.predicted)', 'peak_predicted')},
+       count(*) AS rows_in_window
+FROM ev e JOIN v_scored s ON s.basin_id = e.basin_id
+ AND s.ts BETWEEN e.st - INTERVAL 72 HOUR AND e.en + INTERVAL 72 HOUR
+GROUP BY e.basin_id, e.event_id""".lstrip(), "v_scored")
