@@ -15,7 +15,10 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ..fixtures import view
 from ..operators import features as feat
-from ..operators import events, grid, metrics, quality, spatial, stats
+from ..functions.geo import haversine_km
+from ..functions.text import name_score
+from ..functions.timecols import as_text, forecast_windows
+from ..operators import events, forecast, grid, match, metrics, quality, spatial, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -285,3 +288,73 @@ def q_event_peaks(spark, d):
     ev = events.flood_events(events.flood_sessions(s, FIXTURE_FLOOD_LEVEL, flow="actual", order="ts"),
                              flow="actual", order="ts")
     return rounded(events.event_peaks(s, ev))
+
+
+# ------------------------------------------------- matching and forecast
+
+def twins(spark, d):
+    """Each location next to the settlement it was derived from."""
+    loc = view(spark, d, "v_locations")
+    st = view(spark, d, "v_settlements").select(
+        F.col("settlement_id"), F.col("name_eng"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    return loc.join(st, loc["ims_id"] == st["settlement_id"])
+
+
+@register("haversine")
+def q_haversine(spark, d):
+    t = twins(spark, d)
+    return rounded(t.select("ims_id", "settlement_id", F.round(
+        haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")), 2).alias("distance_km")))
+
+
+@register("name_score")
+def q_name_score(spark, d):
+    t = twins(spark, d)
+    return t.select("ims_id", "ims_name", "name_eng", name_score(F.col("ims_name"), F.col("name_eng")).alias("score"))
+
+
+def geo_matches(spark, d):
+    return match.geo_match(view(spark, d, "v_locations"), view(spark, d, "v_settlements"))
+
+
+@register("geo_match")
+def q_geo_match(spark, d):
+    return rounded(geo_matches(spark, d))
+
+
+@register("mapping_clean")
+def q_mapping_clean(spark, d):
+    return rounded(forecast.mapping_clean(geo_matches(spark, d)).drop("ims_key"))
+
+
+@register("forecast_windows")
+def q_forecast_windows(spark, d):
+    ev = view(spark, d, "v_rain")
+    cur, nxt = forecast_windows(F.col("measurement_time"))
+    return ev.select("event_id", "measurement_time", as_text(cur).alias("current_window"),
+                     as_text(nxt).alias("next_window"))
+
+
+def picked(spark, d):
+    fc = view(spark, d, "v_forecast")
+    # per location, as of 5 hours before its last forecast time
+    as_of = fc.groupBy("location_id").agg(
+        (F.max("forecast_time") - F.expr("INTERVAL 5 HOURS")).alias("as_of"))
+    return forecast.forecast_pick(fc.join(as_of, "location_id"), F.col("as_of"))
+
+
+@register("forecast_pick")
+def q_forecast_pick(spark, d):
+    return rounded(picked(spark, d))
+
+
+@register("forecast_match")
+def q_forecast_match(spark, d):
+    return rounded(forecast.forecast_match(geo_matches(spark, d), picked(spark, d)))
+
+
+@register("settlements_updated")
+def q_settlements_updated(spark, d):
+    matched = forecast.forecast_match(geo_matches(spark, d), picked(spark, d))
+    st = view(spark, d, "v_settlements").select("settlement_id", "name_eng")
+    return rounded(forecast.update_forecasts(st, matched))

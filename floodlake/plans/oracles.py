@@ -406,3 +406,90 @@ SELECT e.basin_id, e.event_id, {r6('max(s.actual)', 'peak_actual')}, {r6('max(s.
 FROM ev e JOIN v_scored s ON s.basin_id = e.basin_id
  AND s.ts BETWEEN e.st - INTERVAL 72 HOUR AND e.en + INTERVAL 72 HOUR
 GROUP BY e.basin_id, e.event_id""".lstrip(), "v_scored")
+
+# ------------------------------------------------- matching and forecast
+
+
+def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    a = (f"sin((radians({lat2}) - radians({lat1})) / 2) * sin((radians({lat2}) - radians({lat1})) / 2)"
+         f" + cos(radians({lat1})) * cos(radians({lat2})) * sin((radians({lon2}) - radians({lon1})) / 2)"
+         f" * sin((radians({lon2}) - radians({lon1})) / 2)")
+    return f"(6371.0 * (2 * atan2(sqrt({a}), sqrt(1 - ({a})))))"
+
+
+def lcs(a: str, b: str) -> str:
+    return f"""(CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE
+  list_reduce(string_split({a}, ''),
+     lambda row, ch: list_reduce(range(1, length({b}) + 1),
+         lambda acc, j: list_append(acc, CASE WHEN substr({b}, j, 1) = ch THEN row[j] + 1
+                                              ELSE greatest(row[j + 1], acc[j]) END), [0]),
+     list_transform(range(0, length({b}) + 1), lambda x: 0))[-1] END)"""
+
+
+def score(a: str, b: str) -> str:
+    la, lb = f"lower(coalesce({a}, ''))", f"lower(coalesce({b}, ''))"
+    return (f"(CASE WHEN length({la}) = 0 OR length({lb}) = 0 THEN 0 ELSE "
+            f"CAST(round_even(200.0 * {lcs(la, lb)} / (length({la}) + length({lb})), 0) AS INTEGER) END)")
+
+
+FRAG.update({
+    "tw": """SELECT l.*, s.settlement_id, s.name_eng, s.lat AS s_lat, s.lon AS s_lon
+             FROM v_locations l JOIN v_settlements s ON s.settlement_id = l.ims_id""",
+    "gp": f"""SELECT l.ims_id, s.settlement_id, s.name_eng, {hav('l.lat', 'l.lon', 's.lat', 's.lon')} AS d
+              FROM v_locations l, v_settlements s
+              WHERE {hav('l.lat', 'l.lon', 's.lat', 's.lon')} <= 5.0""",
+    "gs": """SELECT g.*, {sc} AS score FROM gp g JOIN v_locations l ON l.ims_id = g.ims_id""",
+    "gb": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ims_id ORDER BY score DESC, d, settlement_id) AS rn
+                           FROM gs) WHERE rn = 1""",
+    "gm": """SELECT l.ims_id, l.ims_name, CAST(b.settlement_id AS DOUBLE) AS matched_id,
+                    coalesce(b.name_eng, 'NO MATCH FOUND') AS matched_name,
+                    round(b.d, 2) AS distance_km, coalesce(b.score, 0) AS score
+             FROM v_locations l LEFT JOIN gb b ON b.ims_id = l.ims_id""",
+    "fa": """SELECT f.*, a.as_of,
+                    date_trunc('day', a.as_of - INTERVAL 3 HOUR)
+                      + to_hours(CAST(floor(hour(a.as_of - INTERVAL 3 HOUR) / 6) * 6 + 3 AS BIGINT)) AS cur_w
+             FROM v_forecast f JOIN (SELECT location_id, max(forecast_time) - INTERVAL 5 HOUR AS as_of
+                                     FROM v_forecast GROUP BY location_id) a ON a.location_id = f.location_id""",
+    "pk": """SELECT l.location_id,
+                    coalesce((SELECT coalesce(c.rain, 0) FROM fa c WHERE c.location_id = l.location_id
+                              AND c.forecast_time = c.cur_w ORDER BY c.pos DESC LIMIT 1), 0) AS current_rain,
+                    coalesce((SELECT coalesce(c.rain, 0) FROM fa c WHERE c.location_id = l.location_id
+                              AND c.forecast_time = c.cur_w + INTERVAL 6 HOUR ORDER BY c.pos DESC LIMIT 1), 0) AS next_rain
+             FROM (SELECT DISTINCT location_id FROM v_forecast) l""",
+    "mc": """SELECT CAST(ims_id AS VARCHAR) AS ims_key, CAST(CAST(matched_id AS DOUBLE) AS INTEGER) AS settlement_id,
+                    score, distance_km, ims_id FROM gm WHERE matched_id IS NOT NULL""",
+    "fm": """SELECT m.settlement_id, m.score, m.distance_km, m.ims_id, p.current_rain, p.next_rain
+             FROM mc m JOIN pk p ON CAST(p.location_id AS VARCHAR) = m.ims_key""",
+})
+FRAG["gs"] = FRAG["gs"].replace("{sc}", score("l.ims_name", "g.name_eng"))
+FRAG_DEPS.update({"tw": ("v_locations", "v_settlements"), "gp": ("v_locations", "v_settlements"),
+                  "gs": ("gp",), "gb": ("gs",), "gm": ("gb",), "fa": ("v_forecast",), "pk": ("fa",),
+                  "mc": ("gm",), "fm": ("mc", "pk")})
+
+oracle("haversine", f"""
+SELECT ims_id, settlement_id, (round({hav('lat', 'lon', 's_lat', 's_lon')}, 2) + 0.0) AS distance_km FROM tw""", "tw")
+oracle("name_score", f"SELECT ims_id, ims_name, name_eng, {score('ims_name', 'name_eng')} AS score FROM tw", "tw")
+oracle("geo_match", f"""
+SELECT ims_id, ims_name, matched_id, matched_name, {r6('distance_km', 'distance_km')}, score FROM gm""", "gm")
+oracle("mapping_clean", f"SELECT settlement_id, score, {r6('distance_km', 'distance_km')}, ims_id FROM mc", "mc")
+oracle("forecast_windows", """
+SELECT event_id, measurement_time,
+       strftime(date_trunc('day', measurement_time - INTERVAL 3 HOUR)
+                + to_hours(CAST(floor(hour(measurement_time - INTERVAL 3 HOUR) / 6) * 6 + 3 AS BIGINT)),
+                '%Y-%m-%d %H:%M:%S') AS current_window,
+       strftime(date_trunc('day', measurement_time - INTERVAL 3 HOUR)
+                + to_hours(CAST(floor(hour(measurement_time - INTERVAL 3 HOUR) / 6) * 6 + 9 AS BIGINT)),
+                '%Y-%m-%d %H:%M:%S') AS next_window
+FROM v_rain""", "v_rain")
+oracle("forecast_pick", f"""
+SELECT location_id, {r6('current_rain', 'current_rain')}, {r6('next_rain', 'next_rain')} FROM pk""", "pk")
+oracle("forecast_match", f"""
+SELECT settlement_id, score, {r6('distance_km', 'distance_km')}, ims_id,
+       {r6('current_rain', 'current_rain')}, {r6('next_rain', 'next_rain')} FROM fm""", "fm")
+oracle("settlements_updated", f"""
+SELECT s.settlement_id, s.name_eng, {r6('b.current_rain', 'current_6h_forecast')},
+       {r6('b.next_rain', 'next_6h_forecast')}
+FROM v_settlements s
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY settlement_id
+                                    ORDER BY score DESC, distance_km, ims_id) AS rn FROM fm) WHERE rn = 1) b
+  ON b.settlement_id = s.settlement_id""", "fm", "v_settlements")
