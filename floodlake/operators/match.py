@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, home_bucket, probe_buckets
-from ..functions.text import name_score
+from ..functions.text import name_score, name_score_fast
 
 # The search radius and the label of an unmatched location.
 MATCH_RADIUS_KM = 5.0
@@ -39,14 +39,17 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_km: float = MATCH_RAD
     return pairs.withColumn("distance_km", d).filter(F.col("distance_km") <= radius_km)
 
 
-def geo_match(locations: DataFrame, settlements: DataFrame, radius_km: float = MATCH_RADIUS_KM) -> DataFrame:
+def geo_match(locations: DataFrame, settlements: DataFrame, radius_km: float = MATCH_RADIUS_KM,
+              kernel: str = "arrow") -> DataFrame:
     """Best settlement per location: highest name score, then nearest, then
     smallest settlement id. ``locations``: ims_id, ims_name, lat, lon;
-    ``settlements``: settlement_id, name_eng, lat, lon."""
+    ``settlements``: settlement_id, name_eng, lat, lon. ``kernel='jvm'``
+    scores with the higher-order-function DP instead of the Arrow kernel."""
+    score = name_score if kernel == "jvm" else name_score_fast
     loc = locations.select("ims_id", "ims_name", "lat", "lon")
     st = settlements.select("settlement_id", "name_eng", "lat", "lon")
     pairs = radius_pairs(loc, st, radius_km)
-    scored = pairs.withColumn("score", name_score(F.col("ims_name"), F.col("r_name_eng")))
+    scored = pairs.withColumn("score", score(F.col("ims_name"), F.col("r_name_eng")))
     best = scored.groupBy("ims_id").agg(F.max(F.struct(
         F.col("score"), (-F.col("distance_km")).alias("neg_d"), (-F.col("r_settlement_id")).alias("neg_id"),
         F.col("r_settlement_id").alias("sid"), F.col("r_name_eng").alias("sname"),
