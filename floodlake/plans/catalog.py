@@ -18,7 +18,8 @@ from ..operators import features as feat
 from ..functions.geo import haversine_km
 from ..functions.text import name_score
 from ..functions.timecols import as_text, forecast_windows
-from ..operators import events, forecast, grid, match, metrics, quality, spatial, stats
+from ..operators import events, forecast, grid, live, match, metrics, quality, spatial, stats
+from ..sources import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -358,3 +359,85 @@ def q_settlements_updated(spark, d):
     matched = forecast.forecast_match(geo_matches(spark, d), picked(spark, d))
     st = view(spark, d, "v_settlements").select("settlement_id", "name_eng")
     return rounded(forecast.update_forecasts(st, matched))
+
+
+# ---------------------------------------------------------- live ingest
+# Raw feed text is built from the adapter views (JSON / XML the station
+# API would have returned) and parsed back by the source operators.
+
+STATION_JSON = """to_json(named_struct('stationId', CAST(s_suppkey AS INT), 'name', s_name, 'regionId', s_nationkey,
+  'monitors', CASE s_suppkey % 5
+     WHEN 0 THEN NULL
+     WHEN 1 THEN array(named_struct('channelId', 1, 'name', 'TD'), named_struct('channelId', 7, 'name', 'Rain'),
+                       named_struct('channelId', 8, 'name', 'Rain'))
+     WHEN 2 THEN array(named_struct('channelId', 0, 'name', 'Rain'))
+     WHEN 3 THEN array(named_struct('channelId', 3, 'name', 'WS'))
+     ELSE array(named_struct('channelId', s_nationkey + 1, 'name', 'Rain')) END))"""
+READING = ("named_struct('datetime', date_format(measurement_time, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), "
+           "'channels', array(named_struct('value', rain_amount_mm, 'status', status)))")
+LATEST_JSON = f"""CASE WHEN event_id % 50 = 0 THEN '{{"data": []}}'
+     WHEN event_id % 71 = 0 THEN '{{"data": [ broken'
+     ELSE to_json(named_struct('data', array({READING}))) END"""
+
+
+@register("rain_channel")
+def q_rain_channel(spark, d):
+    from ..fixtures import base
+    raw = base(spark, d, "supplier").select(F.expr(STATION_JSON).alias("json"))
+    return feeds.rain_channel(raw.select(feeds.parse_stations(F.col("json")).alias("s")).select("s.*"))
+
+
+@register("latest_measurement")
+def q_latest_measurement(spark, d):
+    raw = view(spark, d, "v_rain").select("event_id", "station_id", F.expr(LATEST_JSON).alias("json"))
+    rec = raw.select("event_id", "station_id", feeds.latest_reading(feeds.parse_envelope(F.col("json"))).alias("r"))
+    rec = rec.filter(F.col("r").isNotNull()).select("event_id", "station_id", "r.*")
+    return rounded(live.latest_per_key(rec, ["station_id"], ["measurement_time", "event_id"]))
+
+
+@register("monthly_flatten")
+def q_monthly_flatten(spark, d):
+    v = view(spark, d, "v_rain")
+    env = (v.groupBy("station_id", F.date_trunc("hour", "measurement_time").alias("h"))
+           .agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.expr(READING))).alias("data"))).alias("json")))
+    rows = feeds.flatten_readings(env.select("station_id", feeds.parse_envelope(F.col("json")).alias("env")))
+    return rounded(quality.quality_filter(rows).select("station_id", "measurement_time", "rain_amount_mm", "status"))
+
+
+@register("last_hour_rain")
+def q_last_hour_rain(spark, d):
+    v = view(spark, d, "v_rain").withColumn("day", F.date_trunc("day", "measurement_time"))
+    return rounded(live.last_hour_rain(v, ["station_id", "day"], "measurement_time"))
+
+
+def named_rain(spark, d):
+    rain = view(spark, d, "v_rain")
+    st = view(spark, d, "v_stations").select("station_id", "station_name")
+    return rain.join(st, "station_id", "left").withColumn(
+        "station_name", F.coalesce("station_name", F.format_string("station-%d", F.col("station_id"))))
+
+
+@register("registered_only")
+def q_registered_only(spark, d):
+    return rounded(quality.registered(view(spark, d, "v_rain"), view(spark, d, "v_stations")))
+
+
+@register("unregistered")
+def q_unregistered(spark, d):
+    return quality.unregistered(named_rain(spark, d), view(spark, d, "v_stations")).select(
+        "station_id", "entry")
+
+
+@register("insert_new_rows")
+def q_insert_new_rows(spark, d):
+    batch = named_rain(spark, d)
+    target = view(spark, d, "v_rain").filter(F.dayofmonth("measurement_time") <= 15)
+    new = live.upsert_new(batch, target, view(spark, d, "v_stations"))
+    return rounded(new.select("event_id", "station_id", "measurement_time", "rain_amount_mm", "status"))
+
+
+@register("rain_union")
+def q_rain_union(spark, d):
+    v = quality.quality_filter(view(spark, d, "v_rain"))
+    files = [v.filter(F.dayofmonth("measurement_time") <= 20), v.filter(F.dayofmonth("measurement_time") >= 10)]
+    return rounded(grid.hourly_rain(quality.union_files(files)))

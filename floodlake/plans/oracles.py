@@ -493,3 +493,59 @@ FROM v_settlements s
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY settlement_id
                                     ORDER BY score DESC, distance_km, ims_id) AS rn FROM fm) WHERE rn = 1) b
   ON b.settlement_id = s.settlement_id""", "fm", "v_settlements")
+
+# ---------------------------------------------------------- live ingest
+ORACLES["rain_channel"] = """
+SELECT CAST(s_suppkey AS INTEGER) AS station_id, s_name AS station_name, s_nationkey AS region_id,
+       CAST(CASE s_suppkey % 5 WHEN 1 THEN 7 WHEN 4 THEN s_nationkey + 1 END AS INTEGER) AS channel_id
+FROM supplier WHERE s_suppkey % 5 IN (1, 4)"""
+
+oracle("latest_measurement", f"""
+SELECT station_id, arg_max(event_id, (measurement_time, event_id)) AS event_id,
+       max(measurement_time) AS measurement_time,
+       {r6('arg_max(rain_amount_mm, (measurement_time, event_id))', 'rain_amount_mm')},
+       arg_max(status, (measurement_time, event_id)) AS status
+FROM v_rain WHERE event_id % 50 <> 0 AND event_id % 71 <> 0 GROUP BY station_id""", "v_rain")
+
+oracle("monthly_flatten", f"""
+SELECT station_id, measurement_time, {r6('rain_amount_mm', 'rain_amount_mm')}, status
+FROM v_rain WHERE rain_amount_mm >= 0 AND status = 1""", "v_rain")
+
+oracle("last_hour_rain", f"""
+SELECT station_id, day, {r6('coalesce(sum(CASE WHEN status = 1 THEN rain_amount_mm END), 0)', 'last_hour_rain')},
+       count(*) AS n_taken
+FROM (SELECT *, date_trunc('day', measurement_time) AS day,
+             row_number() OVER (PARTITION BY station_id, date_trunc('day', measurement_time)
+                                ORDER BY measurement_time DESC) AS rn FROM v_rain)
+WHERE rn <= 6 GROUP BY station_id, day""", "v_rain")
+
+oracle("registered_only", f"""
+SELECT event_id, station_id, basin_id, measurement_time, {r6('rain_amount_mm', 'rain_amount_mm')}, status
+FROM v_rain r WHERE EXISTS (SELECT 1 FROM v_stations s WHERE s.station_id = r.station_id)""", "v_rain", "v_stations")
+
+oracle("unregistered", """
+SELECT r.station_id, printf('%d (%s)', r.station_id, 'station-' || r.station_id) AS entry
+FROM v_rain r WHERE NOT EXISTS (SELECT 1 FROM v_stations s WHERE s.station_id = r.station_id)""",
+       "v_rain", "v_stations")
+
+oracle("insert_new_rows", f"""
+SELECT event_id, station_id, measurement_time, {r6('rain_amount_mm', 'rain_amount_mm')}, status
+FROM (SELECT *, row_number() OVER (PARTITION BY station_id, measurement_time ORDER BY event_id) AS rn
+      FROM v_rain r WHERE EXISTS (SELECT 1 FROM v_stations s WHERE s.station_id = r.station_id)) b
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM v_rain t WHERE day(t.measurement_time) <= 15
+                               AND t.station_id = b.station_id AND t.measurement_time = b.measurement_time)""",
+       "v_rain", "v_stations")
+
+FRAG.update({
+    "un": """SELECT * FROM rain_q WHERE day(measurement_time) <= 20
+             UNION ALL SELECT * FROM rain_q WHERE day(measurement_time) >= 10""",
+    "un_agg": """SELECT basin_id, station_id, date_trunc('hour', measurement_time) AS hour,
+                        sum(rain_amount_mm) AS s, max(rain_amount_mm) AS mx FROM un GROUP BY ALL""",
+})
+FRAG_DEPS.update({"un": ("rain_q",), "un_agg": ("un",)})
+oracle("rain_union", f"""
+SELECT g.basin_id, g.station_id, g.hour, {r6('coalesce(a.s, 0)', 'hourly_rain_sum')},
+       {r6('coalesce(a.mx, 0)', 'max_10min_intensity')}
+FROM (SELECT basin_id, station_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour
+      FROM un_agg GROUP BY basin_id, station_id) g
+LEFT JOIN un_agg a ON a.basin_id = g.basin_id AND a.station_id = g.station_id AND a.hour = g.hour""", "un_agg")
