@@ -18,7 +18,7 @@ WINDOW_OFFSET_HOURS = 3
 
 def parse_number(c: Column, default: float | None = 0.0) -> Column:
     """Text -> double; unparsable -> ``default`` (no error under ANSI)."""
-    v = F.try_cast(F.trim(c), "double") if hasattr(F, "try_cast") else F.expr("try_cast(trim(x) as double)")
+    v = F.trim(c).try_cast("double")
     v = F.when(F.isnan(v), F.lit(None)).otherwise(v)  # NaN never enters a frame
     return v if default is None else F.coalesce(v, F.lit(default))
 

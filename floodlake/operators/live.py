@@ -61,18 +61,18 @@ def first_valid_obs(feed: DataFrame) -> DataFrame:
     return (feed.select("*", unescape_unicode(F.col("name")).alias("raw_name"), obs.alias("_o"))
             .filter(F.col("_o").isNotNull())
             .select(*[c for c in feed.columns if c not in ("name", "obs")], "raw_name",
-                    F.try_cast(F.col("_o.flow"), "double").alias("flow_m3s"),
+                    F.col("_o.flow").try_cast("double").alias("flow_m3s"),
                     last_updated(F.col("_o.date"), F.col("_o.time")).alias("last_updated")))
 
 
-def basin_peak_flow(first_obs: DataFrame, names: DataFrame) -> DataFrame:
+def basin_peak_flow(first_obs: DataFrame, names: DataFrame, order: str = "feed_id") -> DataFrame:
     """Map raw station names to sub-basins (unmapped dropped) and keep the
-    largest flow per sub-basin with its time and raw name; ties go to the
-    smaller raw name."""
+    largest flow per sub-basin with its time and raw name; on equal flows
+    the station earlier in the feed (``order``) wins."""
     mapped = first_obs.join(F.broadcast(names), "raw_name")  # fixed-size dimension
     g = mapped.groupBy("sub_basin").agg(F.min_by(
         F.struct("flow_m3s", "last_updated", "raw_name"),
-        F.struct((-F.col("flow_m3s")).alias("f"), F.col("raw_name").alias("n"))).alias("_b"))
+        F.struct((-F.col("flow_m3s")).alias("f"), F.col(order).alias("o"))).alias("_b"))
     return g.select("sub_basin", F.col("_b.flow_m3s").alias("flow_m3s"),
                     F.col("_b.last_updated").alias("last_updated"), F.col("_b.raw_name").alias("raw_name"))
 
@@ -83,4 +83,4 @@ def route_basin(df: DataFrame, routing: DataFrame, key: str = "sub_basin") -> Da
 
 
 def normalize_flow(c: Column) -> Column:
-    return F.try_cast(c, "double")
+    return c.try_cast("double")

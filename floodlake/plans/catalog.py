@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from ..fixtures import base as base_table
 from ..fixtures import view
 from ..operators import features as feat
 from ..functions.geo import haversine_km
-from ..functions.text import name_score
+from ..functions.text import name_score, unescape_unicode
 from ..functions.timecols import as_text, forecast_windows
 from ..operators import events, forecast, grid, live, match, metrics, quality, spatial, stats
-from ..sources import feeds
+from ..sources import dims, feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -441,3 +442,74 @@ def q_rain_union(spark, d):
     v = quality.quality_filter(view(spark, d, "v_rain"))
     files = [v.filter(F.dayofmonth("measurement_time") <= 20), v.filter(F.dayofmonth("measurement_time") >= 10)]
     return rounded(grid.hourly_rain(quality.union_files(files)))
+
+
+# ------------------------------------------------------------ flow feed
+N_FEED_NAMES = len(dims.FEED_STATION_SUB_BASIN)
+
+
+def feed(spark, d):
+    """Live flow feed text: one station per order, one observation per line
+    (some flows empty or missing); names from the published list, every
+    4th escaped as \\uXXXX, every 9th order an unknown station."""
+    li = base_table(spark, d, "lineitem")
+    obs = F.struct(
+        F.expr("CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN '' "
+               "WHEN l_linenumber = 2 AND l_orderkey % 5 = 0 THEN NULL "
+               "ELSE format_string('%.1f', l_quantity) END").alias("flow"),
+        F.date_format("l_shipdate", "dd/MM/yyyy").alias("date"),
+        F.format_string("%02d:00", F.col("l_linenumber")).alias("time"))
+    st = li.groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"),
+                                                         F.col("l_suppkey").alias("s"), obs.alias("o")))),
+                    lambda e: e["o"]).alias("obs"))
+    names = F.broadcast(dims.feed_name_index(spark))  # fixed size
+    st = st.join(names, (F.col("l_orderkey") % N_FEED_NAMES).cast("int") == names["idx"], "left")
+    name = (F.when(F.col("l_orderkey") % 9 == 0, F.format_string("station-%d", F.col("l_orderkey")))
+            .when(F.col("l_orderkey") % 4 == 0, F.col("escaped_name")).otherwise(F.col("raw_name")))
+    text = F.to_json(F.struct(name.alias("name"), F.col("obs")))
+    return st.select(F.col("l_orderkey").alias("feed_id"), text.alias("json"))
+
+
+def parsed_feed(spark, d):
+    return feed(spark, d).select("feed_id", feeds.parse_flow_feed(F.col("json")).alias("s")).select("feed_id", "s.*")
+
+
+@register("flow_feed")
+def q_flow_feed(spark, d):
+    return parsed_feed(spark, d).select("feed_id", "name", F.size("obs").alias("n_obs"))
+
+
+@register("unescape_names")
+def q_unescape_names(spark, d):
+    return parsed_feed(spark, d).select("feed_id", unescape_unicode(F.col("name")).alias("raw_name"))
+
+
+def first_obs(spark, d):
+    return live.first_valid_obs(parsed_feed(spark, d))
+
+
+@register("first_valid_obs")
+def q_first_valid_obs(spark, d):
+    return rounded(first_obs(spark, d))
+
+
+def peaks(spark, d):
+    return live.basin_peak_flow(first_obs(spark, d), dims.feed_names(spark))
+
+
+@register("basin_peak_flow")
+def q_basin_peak_flow(spark, d):
+    return rounded(peaks(spark, d))
+
+
+@register("route_basin")
+def q_route_basin(spark, d):
+    return rounded(live.route_basin(peaks(spark, d), dims.routing(spark)))
+
+
+@register("basin_threshold")
+def q_basin_threshold(spark, d):
+    routed = live.route_basin(peaks(spark, d), dims.routing(spark)).filter(F.col("model_basin").isNotNull())
+    out = dims.basin_threshold(routed.select("sub_basin", F.col("model_basin").alias("basin")), spark, "v3")
+    return rounded(out.select("sub_basin", "basin", "threshold"))

@@ -549,3 +549,73 @@ SELECT g.basin_id, g.station_id, g.hour, {r6('coalesce(a.s, 0)', 'hourly_rain_su
 FROM (SELECT basin_id, station_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour
       FROM un_agg GROUP BY basin_id, station_id) g
 LEFT JOIN un_agg a ON a.basin_id = g.basin_id AND a.station_id = g.station_id AND a.hour = g.hour""", "un_agg")
+
+# ------------------------------------------------------------ flow feed
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _feed_dims() -> tuple[str, str]:
+    from ..sources.dims import FEED_STATION_SUB_BASIN, MODEL_BASIN_ROUTING
+    idx = ", ".join(f"({i}, {_q(n)})" for i, (n, _) in enumerate(FEED_STATION_SUB_BASIN))
+    sub = ", ".join(f"({_q(n)}, {_q(b)})" for n, b in dict(FEED_STATION_SUB_BASIN).items())
+    route = ", ".join(f"({_q(s)}, {_q(m)})" for m, subs in MODEL_BASIN_ROUTING.items() for s in subs)
+    return (f"SELECT * FROM (VALUES {idx}) AS t(idx, raw_name)",
+            f"SELECT * FROM (VALUES {sub}) AS t(raw_name, sub_basin)") + (
+        f"SELECT * FROM (VALUES {route}) AS t(sub_basin, model_basin)",)
+
+
+_IDX, _SUB, _ROUTE = _feed_dims()
+FRAG.update({
+    "fidx": _IDX, "fsub": _SUB, "froute": _ROUTE,
+    "fobs": """SELECT l_orderkey AS feed_id, l_linenumber, l_partkey, l_suppkey,
+                      CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN ''
+                           WHEN l_linenumber = 2 AND l_orderkey % 5 = 0 THEN NULL
+                           ELSE printf('%.1f', l_quantity) END AS flow,
+                      strftime(l_shipdate, '%d/%m/%Y') AS date, printf('%02d:00', l_linenumber) AS time
+               FROM lineitem""",
+    "fst": """SELECT o.feed_id, count(*) AS n_obs,
+                     CASE WHEN o.feed_id % 9 = 0 THEN 'station-' || o.feed_id ELSE any_value(i.raw_name) END AS raw_name
+              FROM fobs o LEFT JOIN fidx i ON i.idx = o.feed_id % 65 GROUP BY o.feed_id""",
+    "ffirst": """SELECT s.feed_id, s.raw_name, TRY_CAST(f.flow AS DOUBLE) AS flow_m3s,
+                        f.date || ' ' || f.time AS last_updated
+                 FROM fst s JOIN (SELECT *, row_number() OVER (PARTITION BY feed_id
+                                                              ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
+                                  FROM fobs WHERE flow IS NOT NULL AND flow <> '') f
+                   ON f.feed_id = s.feed_id AND f.rn = 1""",
+    "fpeak": """SELECT sub_basin, flow_m3s, last_updated, raw_name
+                FROM (SELECT f.*, n.sub_basin, row_number() OVER (PARTITION BY n.sub_basin
+                                                ORDER BY f.flow_m3s DESC, f.feed_id) AS rn
+                      FROM ffirst f JOIN fsub n ON n.raw_name = f.raw_name) WHERE rn = 1""",
+})
+FRAG_DEPS.update({"fst": ("fobs", "fidx"), "ffirst": ("fst",), "fpeak": ("ffirst", "fsub")})
+
+oracle("flow_feed", """
+SELECT feed_id, CASE WHEN feed_id % 9 = 0 OR feed_id % 4 <> 0 THEN raw_name
+                    ELSE array_to_string(list_transform(string_split(raw_name, ''),
+                           lambda c: CASE WHEN unicode(c) > 127 THEN '\\u' || lpad(lower(hex(unicode(c))), 4, '0')
+                                          ELSE c END), '') END AS name, n_obs
+FROM fst""", "fst")
+oracle("unescape_names", "SELECT feed_id, raw_name FROM fst", "fst")
+oracle("first_valid_obs", f"SELECT feed_id, raw_name, {r6('flow_m3s', 'flow_m3s')}, last_updated FROM ffirst",
+       "ffirst")
+oracle("basin_peak_flow", f"SELECT sub_basin, {r6('flow_m3s', 'flow_m3s')}, last_updated, raw_name FROM fpeak",
+       "fpeak")
+oracle("route_basin", f"""
+SELECT p.sub_basin, {r6('p.flow_m3s', 'flow_m3s')}, p.last_updated, p.raw_name, r.model_basin
+FROM fpeak p LEFT JOIN froute r ON r.sub_basin = p.sub_basin""", "fpeak", "froute")
+
+
+def _thresholds(version: str) -> str:
+    from ..sources.dims import BASIN_THRESHOLDS
+    vals = ", ".join(f"({_q(b)}, CAST({t} AS DOUBLE))" for b, t in BASIN_THRESHOLDS[version].items())
+    return f"SELECT * FROM (VALUES {vals}) AS t(basin, threshold)"
+
+
+FRAG["fthr3"] = _thresholds("v3")
+oracle("basin_threshold", f"""
+SELECT p.sub_basin, r.model_basin AS basin, {r6('coalesce(t.threshold, 5.0)', 'threshold')}
+FROM fpeak p JOIN froute r ON r.sub_basin = p.sub_basin LEFT JOIN fthr3 t ON t.basin = r.model_basin""",
+       "fpeak", "froute", "fthr3")

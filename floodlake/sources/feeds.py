@@ -134,7 +134,7 @@ def forecast_rows(locations: DataFrame, loc: str = "loc") -> DataFrame:
     or empty rain -> 0.0; ``pos`` is the feed order inside a location."""
     x = locations.filter(F.col(f"{loc}.LocationMetaData").isNotNull())
     x = x.select("*", F.posexplode_outer(f"{loc}.LocationData.Forecast").alias("pos", "_f"))
-    rain = F.coalesce(F.try_cast(F.nullif(F.trim(F.col("_f.Rain")), F.lit("")), "double"), F.lit(0.0))
+    rain = F.coalesce(F.nullif(F.trim(F.col("_f.Rain")), F.lit("")).try_cast("double"), F.lit(0.0))
     return x.select("*", F.col(f"{loc}.LocationMetaData.LocationId").alias("location_id"),
                     F.col("_f.ForecastTime").alias("forecast_time_text"),
                     parse_time(F.col("_f.ForecastTime"), ["yyyy-MM-dd HH:mm:ss"]).alias("forecast_time"),
@@ -146,8 +146,8 @@ def location_coords(locations: DataFrame, loc: str = "loc") -> DataFrame:
     an unparsable one makes both NULL."""
     md = F.col(f"{loc}.LocationMetaData")
     lat_t, lon_t = F.trim(md["DisplayLat"]), F.trim(md["DisplayLon"])
-    lat = F.try_cast(F.nullif(lat_t, F.lit("")), "double")
-    lon = F.try_cast(F.nullif(lon_t, F.lit("")), "double")
+    lat = F.nullif(lat_t, F.lit("")).try_cast("double")
+    lon = F.nullif(lon_t, F.lit("")).try_cast("double")
     bad = ((F.coalesce(lat_t, F.lit("")) != "") & lat.isNull()) | ((F.coalesce(lon_t, F.lit("")) != "") & lon.isNull())
     return (locations.filter(md.isNotNull())
             .select(md["LocationId"].alias("ims_id"), md["LocationNameEng"].alias("ims_name"),
