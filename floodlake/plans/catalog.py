@@ -17,10 +17,10 @@ from ..fixtures import base as base_table
 from ..fixtures import view
 from ..operators import features as feat
 from ..functions.geo import haversine_km
-from ..functions.text import name_score, unescape_unicode
+from ..functions.text import basin_from_file, name_score, station_from_file, unescape_unicode
 from ..functions.timecols import as_text, forecast_windows
-from ..operators import events, forecast, grid, live, match, metrics, quality, spatial, stats
-from ..sources import dims, feeds
+from ..operators import alerts, events, forecast, grid, live, match, metrics, quality, spatial, stats
+from ..sources import dims, feeds, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -194,7 +194,8 @@ def q_flood_events(spark, d):
 
 @register("event_cutoff")
 def q_event_cutoff(spark, d):
-    return events.event_cutoff(events.flood_events(sessions(spark, d)))
+    out = events.event_cutoff(events.flood_events(sessions(spark, d)))
+    return out.withColumn("cutoff_event", F.col("cutoff_event").cast("double"))
 
 
 @register("peak_hydrograph")
@@ -513,3 +514,108 @@ def q_basin_threshold(spark, d):
     routed = live.route_basin(peaks(spark, d), dims.routing(spark)).filter(F.col("model_basin").isNotNull())
     out = dims.basin_threshold(routed.select("sub_basin", F.col("model_basin").alias("basin")), spark, "v3")
     return rounded(out.select("sub_basin", "basin", "threshold"))
+
+
+# ------------------------------------------------- warnings and digests
+WARNING_COLOR = ("CASE o_orderpriority WHEN '1-URGENT' THEN 'Red' WHEN '2-HIGH' THEN 'Orange' "
+                 "WHEN '3-MEDIUM' THEN 'Yellow' ELSE 'Green' END")
+WARNING_XML = f"""concat('<item>',
+  CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE concat('<title>', {WARNING_COLOR}, ' warning - flash floods</title>') END,
+  CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('<description>&lt;p style=''padding-bottom:30px;''&gt;Regions: Region ',
+       CAST(o_custkey % 25 AS STRING), '. Timeframe: ', format_string('%02d', CAST(o_orderkey % 20 AS INT)),
+       ':00 to 22:00 LT&lt;/p&gt;</description>') END,
+  '</item>')"""
+DIGEST_DATE = "30/01/2024"
+
+
+def warnings(spark, d):
+    raw = base_table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"),
+                                                F.expr(WARNING_XML).alias("xml"))
+    items = raw.select("item_id", feeds.parse_warning(F.col("xml")).alias("w")).select("item_id", "w.*")
+    return feeds.clean_warnings(items)
+
+
+@register("warnings_clean")
+def q_warnings_clean(spark, d):
+    return warnings(spark, d).select("item_id", F.col("title_clean").alias("title"), "details")
+
+
+@register("warnings_digest")
+def q_warnings_digest(spark, d):
+    return alerts.warnings_digest(warnings(spark, d), DIGEST_DATE)
+
+
+@register("alert_digest")
+def q_alert_digest(spark, d):
+    rows = named_rain(spark, d).filter(F.col("rain_amount_mm") >= 5.0)
+    return rounded(alerts.alert_digest(rows, 5.0))
+
+
+# ------------------------------------------------------- forecast XML
+FORECAST_XML = """concat('<Location><LocationMetaData><LocationId>', CAST(location_id AS STRING),
+  '</LocationId><LocationNameEng>Loc ', CAST(location_id AS STRING),
+  '</LocationNameEng><DisplayLat></DisplayLat><DisplayLon></DisplayLon></LocationMetaData>',
+  CASE WHEN location_id % 17 = 0 THEN '' ELSE concat('<LocationData>', array_join(transform(fs, f -> concat(
+    '<Forecast><ForecastTime>', date_format(f.forecast_time, 'yyyy-MM-dd HH:mm:ss'), '</ForecastTime><Rain>',
+    coalesce(CAST(f.rain AS STRING), ''), '</Rain></Forecast>')), ''), '</LocationData>') END,
+  '</Location>')"""
+
+
+@register("forecast_flatten")
+def q_forecast_flatten(spark, d):
+    fc = view(spark, d, "v_forecast").withColumn("day", F.date_trunc("day", "forecast_time"))
+    el = fc.groupBy("location_id", "day").agg(
+        F.array_sort(F.collect_list(F.struct("forecast_time", "pos", "rain"))).alias("fs"))
+    loc = el.select(feeds.parse_forecast_location(F.expr(FORECAST_XML)).alias("loc"))
+    rows = feeds.forecast_rows(loc)
+    return rounded(rows.select(F.col("location_id").cast("int").alias("location_id"), "forecast_time",
+                               "rain", F.col("pos").cast("double").alias("pos")))
+
+
+LOCATION_XML = """concat('<Location><LocationMetaData><LocationId>', CAST(ims_id AS STRING),
+  '</LocationId><LocationNameEng>', ims_name, '</LocationNameEng><DisplayLat>',
+  CASE WHEN lat IS NULL THEN '' WHEN ims_id % 13 = 0 THEN 'n/a' ELSE CAST(lat AS STRING) END,
+  '</DisplayLat><DisplayLon>', CAST(lon AS STRING), '</DisplayLon></LocationMetaData></Location>')"""
+
+
+@register("location_coords")
+def q_location_coords(spark, d):
+    loc = view(spark, d, "v_locations").select(feeds.parse_forecast_location(F.expr(LOCATION_XML)).alias("loc"))
+    out = feeds.location_coords(loc)
+    return rounded(out.withColumn("ims_id", F.col("ims_id").cast("bigint")))
+
+
+# ------------------------------------------------------------ raw CSV
+RAIN_CSV = """concat_ws(',', concat('station-', CAST(station_id AS STRING)),
+  CASE WHEN event_id % 29 = 0 THEN '31/02/2024 10:00'
+       WHEN event_id % 31 = 0 THEN date_format(measurement_time, 'd/M/yyyy H:mm')
+       ELSE date_format(measurement_time, 'dd/MM/yyyy HH:mm') END,
+  CASE WHEN event_id % 23 = 0 THEN 'abc' ELSE CAST(rain_amount_mm AS STRING) END)"""
+FLOW_CSV = """concat_ws(',', '0', CAST(basin_id AS STRING), 'nahal', concat('Stream ', CAST(basin_id AS STRING)), '2024',
+  CASE WHEN second(measurement_time) = 13 THEN '31/02/2024 10:00:00'
+       ELSE date_format(measurement_time, 'dd/MM/yyyy HH:mm:ss') END,
+  '0.5', CASE WHEN minute(measurement_time) = 7 THEN 'n/a' ELSE CAST(flow AS STRING) END, '1', '1', '0')"""
+
+
+@register("rain_clean")
+def q_rain_clean(spark, d):
+    lines = view(spark, d, "v_rain").select("event_id", F.expr(RAIN_CSV).alias("line"))
+    return rounded(files.clean_rain_lines(lines).select("event_id", "station", "measurement_time", "rainfall"))
+
+
+@register("flow_clean")
+def q_flow_clean(spark, d):
+    lines = view(spark, d, "v_flow").select(F.expr(FLOW_CSV).alias("line"))
+    out = files.clean_flow_lines(lines)
+    return rounded(out.select(F.col("station_code").cast("int").alias("basin_id"), "measurement_time", "flow"))
+
+
+@register("name_from_file")
+def q_name_from_file(spark, d):
+    s = base_table(spark, d, "supplier")
+    rain_file = F.concat(F.lit("/data/ims/"), F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit("_"))),
+                         F.lit("_2010_2018.csv"))
+    dataset = F.concat(F.lit("organized/AegisEco_"), F.replace(F.col("s_name"), F.lit("#"), F.lit("_")),
+                       F.lit("_ML_Dataset_v3.csv"))
+    return s.select("s_suppkey", station_from_file(rain_file).alias("station_name"),
+                    basin_from_file(dataset, 2).alias("basin_name"))

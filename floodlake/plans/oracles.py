@@ -268,7 +268,7 @@ SELECT basin_id, event_id, start_time, end_time, n_hours, {r6('peak_flow', 'peak
 
 oracle("event_cutoff", """
 SELECT p.basin_id, p.n AS n_events, p.nt AS n_test_events,
-       CASE WHEN p.n - p.nt - 1 >= 0 THEN CAST(p.n - p.nt - 1 AS INTEGER) END AS cutoff_event,
+       CASE WHEN p.n - p.nt - 1 >= 0 THEN CAST(p.n - p.nt - 1 AS DOUBLE) END AS cutoff_event,
        e.end_time AS cutoff_time
 FROM (SELECT basin_id, count(*) AS n, CAST(greatest(2, floor(count(*) * 0.2)) AS BIGINT) AS nt
       FROM fe GROUP BY basin_id) p
@@ -619,3 +619,67 @@ oracle("basin_threshold", f"""
 SELECT p.sub_basin, r.model_basin AS basin, {r6('coalesce(t.threshold, 5.0)', 'threshold')}
 FROM fpeak p JOIN froute r ON r.sub_basin = p.sub_basin LEFT JOIN fthr3 t ON t.basin = r.model_basin""",
        "fpeak", "froute", "fthr3")
+
+# ------------------------------------------------- warnings and digests
+_COLOR = ("CASE o_orderpriority WHEN '1-URGENT' THEN 'Red' WHEN '2-HIGH' THEN 'Orange' "
+          "WHEN '3-MEDIUM' THEN 'Yellow' ELSE 'Green' END")
+FRAG["wn"] = f"""SELECT o_orderkey AS item_id,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'No Title' ELSE {_COLOR} || ' warning - flash floods' END AS title,
+       CASE WHEN o_orderkey % 13 = 0 THEN 'No Description'
+            ELSE 'Regions: Region ' || CAST(o_custkey % 25 AS VARCHAR) || '. Timeframe: '
+                 || printf('%02d', o_orderkey % 20) || ':00 to 22:00 LT' END AS details,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'No' ELSE {_COLOR} END AS color,
+       CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'Flash Floods' END AS wtype,
+       CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'Region ' || CAST(o_custkey % 25 AS VARCHAR) END AS regions,
+       CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE printf('%02d', o_orderkey % 20) || ':00 to 22:00 LT' END AS tf
+FROM orders"""
+oracle("warnings_clean", "SELECT item_id, title, details FROM wn", "wn")
+oracle("warnings_digest", """
+SELECT NULL::VARCHAR AS sort_key, CASE WHEN count(*) > 0 THEN '# 30/01/2024'
+       ELSE 'No active warnings currently in the IMS feed.' END AS block FROM wn
+UNION ALL
+SELECT CAST(item_id AS VARCHAR), '## ' || color || ' - ' || wtype || chr(10) || 'Regions: ' || regions || chr(10)
+       || 'Timeframe: ' || tf FROM wn""", "wn")
+oracle("alert_digest", f"""
+, hr5 AS (SELECT coalesce(s.station_name, 'station-' || r.station_id) AS station_name, r.measurement_time,
+                 r.rain_amount_mm FROM v_rain r LEFT JOIN v_stations s ON s.station_id = r.station_id
+          WHERE r.rain_amount_mm >= 5.0)
+SELECT NULL::DOUBLE AS sort_key, CASE WHEN count(*) > 0 THEN printf('Found %d records exceeding 5.0mm:', count(*))
+       ELSE 'No stations recorded rainfall above 5.0mm.' END AS line FROM hr5
+UNION ALL
+SELECT {r6('rain_amount_mm', 'sort_key')}, printf('- Station ''%s'' at %s: %smm', station_name,
+       strftime(measurement_time, '%Y-%m-%d %H:%M:%S'), CAST(rain_amount_mm AS VARCHAR)) FROM hr5""".lstrip(),
+       "v_rain", "v_stations")
+
+# ------------------------------------------------------- forecast XML
+oracle("forecast_flatten", f"""
+SELECT location_id, forecast_time, {r6('coalesce(rain, 0)', 'rain')},
+       CAST(row_number() OVER (PARTITION BY location_id, date_trunc('day', forecast_time)
+                               ORDER BY forecast_time, pos) - 1 AS DOUBLE) AS pos
+FROM v_forecast WHERE location_id % 17 <> 0
+UNION ALL
+SELECT location_id, NULL::TIMESTAMP, 0.0, NULL::DOUBLE
+FROM (SELECT DISTINCT location_id, date_trunc('day', forecast_time) AS d FROM v_forecast WHERE location_id % 17 = 0)""",
+       "v_forecast")
+oracle("location_coords", f"""
+SELECT ims_id, ims_name,
+       {r6("CASE WHEN lat IS NOT NULL AND ims_id % 13 = 0 THEN NULL ELSE lat END", 'lat')},
+       {r6("CASE WHEN lat IS NOT NULL AND ims_id % 13 = 0 THEN NULL ELSE lon END", 'lon')}
+FROM v_locations""", "v_locations")
+
+# ------------------------------------------------------------ raw CSV
+oracle("rain_clean", f"""
+SELECT event_id, 'station-' || station_id AS station, date_trunc('minute', measurement_time) AS measurement_time,
+       {r6('CASE WHEN event_id % 23 = 0 THEN 0.0 ELSE rain_amount_mm END', 'rainfall')}
+FROM v_rain WHERE event_id % 29 <> 0""", "v_rain")
+oracle("flow_clean", f"""
+SELECT basin_id, date_trunc('second', measurement_time) AS measurement_time,
+       {r6('CASE WHEN minute(measurement_time) = 7 THEN NULL ELSE flow END', 'flow')}
+FROM v_flow WHERE second(measurement_time) <> 13""", "v_flow")
+ORACLES["name_from_file"] = """
+SELECT s_suppkey,
+       array_to_string(list_transform(list_slice(string_split(lower(replace(s_name, '#', '_')) || '_2010_2018', '_'),
+                                                 1, len(string_split(lower(replace(s_name, '#', '_')), '_'))),
+         lambda w: upper(w[1]) || lower(w[2:])), ' ') AS station_name,
+       upper((string_split(s_name, '#'))[1][1]) || lower((string_split(s_name, '#'))[1][2:]) AS basin_name
+FROM supplier"""
