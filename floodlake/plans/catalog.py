@@ -348,19 +348,19 @@ def picked(spark, d):
 
 @register("forecast_pick")
 def q_forecast_pick(spark, d):
-    return rounded(picked(spark, d))
+    return picked(spark, d)  # picked values pass through unrounded
 
 
 @register("forecast_match")
 def q_forecast_match(spark, d):
-    return rounded(forecast.forecast_match(geo_matches(spark, d), picked(spark, d)))
+    return forecast.forecast_match(geo_matches(spark, d), picked(spark, d))
 
 
 @register("settlements_updated")
 def q_settlements_updated(spark, d):
     matched = forecast.forecast_match(geo_matches(spark, d), picked(spark, d))
     st = view(spark, d, "v_settlements").select("settlement_id", "name_eng")
-    return rounded(forecast.update_forecasts(st, matched))
+    return forecast.update_forecasts(st, matched)
 
 
 # ---------------------------------------------------------- live ingest
@@ -568,8 +568,9 @@ def q_forecast_flatten(spark, d):
         F.array_sort(F.collect_list(F.struct("forecast_time", "pos", "rain"))).alias("fs"))
     loc = el.select(feeds.parse_forecast_location(F.expr(FORECAST_XML)).alias("loc"))
     rows = feeds.forecast_rows(loc)
-    return rounded(rows.select(F.col("location_id").cast("int").alias("location_id"), "forecast_time",
-                               "rain", F.col("pos").cast("double").alias("pos")))
+    # rain passes through unchanged, so it is compared unrounded
+    return rows.select(F.col("location_id").cast("int").alias("location_id"), "forecast_time",
+                       "rain", F.col("pos").cast("double").alias("pos"))
 
 
 LOCATION_XML = """concat('<Location><LocationMetaData><LocationId>', CAST(ims_id AS STRING),

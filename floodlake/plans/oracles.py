@@ -482,13 +482,12 @@ SELECT event_id, measurement_time,
                 '%Y-%m-%d %H:%M:%S') AS next_window
 FROM v_rain""", "v_rain")
 oracle("forecast_pick", f"""
-SELECT location_id, {r6('current_rain', 'current_rain')}, {r6('next_rain', 'next_rain')} FROM pk""", "pk")
+SELECT location_id, current_rain, next_rain FROM pk""", "pk")
 oracle("forecast_match", f"""
-SELECT settlement_id, score, {r6('distance_km', 'distance_km')}, ims_id,
-       {r6('current_rain', 'current_rain')}, {r6('next_rain', 'next_rain')} FROM fm""", "fm")
+SELECT settlement_id, score, distance_km, ims_id, current_rain, next_rain FROM fm""", "fm")
 oracle("settlements_updated", f"""
-SELECT s.settlement_id, s.name_eng, {r6('b.current_rain', 'current_6h_forecast')},
-       {r6('b.next_rain', 'next_6h_forecast')}
+SELECT s.settlement_id, s.name_eng, b.current_rain AS current_6h_forecast,
+       b.next_rain AS next_6h_forecast
 FROM v_settlements s
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY settlement_id
                                     ORDER BY score DESC, distance_km, ims_id) AS rn FROM fm) WHERE rn = 1) b
@@ -653,7 +652,7 @@ SELECT {r6('rain_amount_mm', 'sort_key')}, printf('- Station ''%s'' at %s: %smm'
 
 # ------------------------------------------------------- forecast XML
 oracle("forecast_flatten", f"""
-SELECT location_id, forecast_time, {r6('coalesce(rain, 0)', 'rain')},
+SELECT location_id, forecast_time, coalesce(rain, 0) AS rain,
        CAST(row_number() OVER (PARTITION BY location_id, date_trunc('day', forecast_time)
                                ORDER BY forecast_time, pos) - 1 AS DOUBLE) AS pos
 FROM v_forecast WHERE location_id % 17 <> 0
