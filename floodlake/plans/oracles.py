@@ -682,3 +682,18 @@ SELECT s_suppkey,
          lambda w: upper(w[1]) || lower(w[2:])), ' ') AS station_name,
        upper((string_split(s_name, '#'))[1][1]) || lower((string_split(s_name, '#'))[1][2:]) AS basin_name
 FROM supplier"""
+
+# ------------------------------------------------------------ streaming
+oracle("stream_rolling_rain", f"""
+SELECT station_id, ws AS window_start, ws + INTERVAL 1 HOUR AS window_end,
+       {r6('sum(CASE WHEN status = 1 THEN rain_amount_mm END)', 'rain_1h')}, count(*) AS n_readings
+FROM (SELECT r.*, b.ws FROM v_rain r,
+        LATERAL (SELECT date_trunc('hour', r.measurement_time)
+                        + to_minutes(CAST(floor(minute(r.measurement_time) / 10) * 10 AS BIGINT))
+                        - to_minutes(CAST(10 * k AS BIGINT)) AS ws
+                 FROM range(0, 6) AS t(k)) b)
+GROUP BY station_id, ws""", "v_rain")
+oracle("stream_alerts", f"""
+SELECT event_id, station_id, measurement_time, {r6('rain_amount_mm', 'rain_amount_mm')}, status
+FROM v_rain WHERE rain_amount_mm >= 5.0""", "v_rain")
+oracle("stream_insert_once", "SELECT DISTINCT station_id, measurement_time FROM v_rain", "v_rain")
