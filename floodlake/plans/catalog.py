@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..fixtures import base as base_table
+from ..session import cut_lineage
 from ..fixtures import view
 from ..operators import features as feat
 from ..functions.geo import haversine_km
 from ..functions.text import basin_from_file, name_score, station_from_file, unescape_unicode
 from ..functions.timecols import as_text, forecast_windows
-from ..operators import alerts, events, forecast, grid, live, match, metrics, quality, spatial, stats
+from ..operators import alerts, events, forecast, grid, live, match, metrics, ml, quality, spatial, stats
 from ..sources import dims, feeds, files
 from ..streaming import streams
 
@@ -669,3 +670,50 @@ def q_stream_insert_once(spark, d):
                               batch_fn=streams.idempotent_insert(target, keys),
                               checkpoint=streams.scratch_path(spark, "checkpoints", "insert"))
     return spark.read.parquet(target).select(*keys)
+
+
+# --------------------------------------------------------------- models
+FIXTURE_BASINS = [0, 1]   # the adapter views put every station in basin 0 or 1
+LEAKY_SAME_HOUR = ["Flow_Rate_of_Change"]  # flow = lag1 + rate of change: dropped for same-hour targets
+
+
+@register("align_features")
+def q_align_features(spark, d):
+    fc = feat.clean_features(merged(spark, d)).drop("Soil_Moisture_EWM").withColumn("extra", F.lit(1.0))
+    return rounded(ml.align_features(fc, feat.FEATURE_NAMES, keep=["basin_id", "hour"]))
+
+
+def model_frame(spark, d):
+    fc = feat.clean_features(merged(spark, d))
+    return events.time_split(events.label_now(fc, FIXTURE_FLOOD_LEVEL, out="label"), FIXTURE_SPLIT_AT)
+
+
+def rf_models(spark, d):
+    frame = cut_lineage(model_frame(spark, d))  # features materialized once for all fits
+    names = [n for n in feat.FEATURE_NAMES if n not in LEAKY_SAME_HOUR]
+    out = []
+    for b in FIXTURE_BASINS:   # one model per basin, each fit distributed
+        part = frame.filter(F.col("basin_id") == b)
+        model = ml.train_rf(part.filter(F.col("split") == "train"), names)
+        out.append((b, model, names, part))
+    return out
+
+
+@register("flood_model_rf")
+def q_flood_model_rf(spark, d):
+    scored = None
+    for b, model, names, part in rf_models(spark, d):
+        bundle = ml.Bundle(basin=str(b), model_type="random_forest", flood_stage=FIXTURE_FLOOD_LEVEL,
+                           feature_names=names, decision_threshold=ml.RF_DECISION)
+        s = ml.score(part.filter(F.col("split") == "test"), model, bundle)
+        scored = s if scored is None else scored.unionByName(s)
+    return scored
+
+
+@register("feature_importance")
+def q_feature_importance(spark, d):
+    out = None
+    for b, model, names, _ in rf_models(spark, d):
+        imp = ml.importances(spark, model, names).withColumn("basin_id", F.lit(b))
+        out = imp if out is None else out.unionByName(imp)
+    return out

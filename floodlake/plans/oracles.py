@@ -697,3 +697,9 @@ oracle("stream_alerts", f"""
 SELECT event_id, station_id, measurement_time, {r6('rain_amount_mm', 'rain_amount_mm')}, status
 FROM v_rain WHERE rain_amount_mm >= 5.0""", "v_rain")
 oracle("stream_insert_once", "SELECT DISTINCT station_id, measurement_time FROM v_rain", "v_rain")
+
+# --------------------------------------------------------------- models
+_al_cols = ", ".join("0.0 AS Soil_Moisture_EWM" if c == "Soil_Moisture_EWM"
+                     else (f"CAST({c} AS DOUBLE) AS {c}" if c in _INT_FEATURES else r6(c, c))
+                     for c in FEATURE_NAMES)
+ORACLES["align_features"] = _features_clean(f"SELECT basin_id, hour, {_al_cols} FROM fc")
