@@ -59,7 +59,8 @@ def rolling_rain_stream(df: DataFrame, delay: str = "1 hour", ts: str = "event_t
 
 def session_stream(df: DataFrame, threshold: float, gap: str = "7 days", delay: str = "1 hour",
                    ts: str = "event_time", flow: str = "flow", basin: str = "basin_id") -> DataFrame:
-    """Flood sessions: readings above ``threshold`` closer than ``gap``."""
+    """Flood sessions: readings above ``threshold`` closer than ``gap``
+    (append mode: a session is emitted once the watermark passes its end)."""
     return (df.filter(F.col(flow) > threshold).withWatermark(ts, delay)
             .groupBy(basin, F.session_window(ts, gap).alias("s"))
             .agg(F.count(F.lit(1)).alias("n_readings"), F.max(flow).alias("peak_flow")))
