@@ -20,22 +20,26 @@ def hour_of(ts: str | Column) -> Column:
 
 
 def hour_grid(df: DataFrame, keys: Sequence[str], hour: str = "hour") -> DataFrame:
-    """Dense hourly grid between the first and last hour of each key.
+    """Dense hourly grid between the first and last hour of each key
+    (standalone form: one row per key and hour, no values)."""
+    keys = list(keys)
+    bounds = df.groupBy(*keys).agg(F.min(hour).alias("_lo"), F.max(hour).alias("_hi"))
+    return bounds.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 HOUR"))).alias(hour))
+
 
-    Two-level expansion (days, then hours inside a day) keeps every
-    generated array small whatever the time span of a series.
+def fill_gaps(agg: DataFrame, keys: Sequence[str], hour: str = "hour") -> DataFrame:
+    """Expand each hourly row into itself plus the empty hours before the
+    next row of its key (``_h``; ``_real`` marks the original hour).
+
+    One window over the hourly rows replaces a min/max pass plus a join:
+    the input is read once, and the output keeps the key partitioning, so
+    a later ordered window on the same key needs no further shuffle.
     """
     keys = list(keys)
-    bounds = df.groupBy(*keys).agg(F.min(hour).alias("_lo"), F.max(hour).alias("_hi"))
-    days = bounds.select(
-        *keys, "_lo", "_hi",
-        F.explode(F.sequence(F.date_trunc("day", "_lo"), F.col("_hi"),
-                             F.expr("INTERVAL 1 DAY"))).alias("_day"))
-    return days.select(
-        *keys,
-        F.explode(F.sequence(F.greatest("_day", "_lo"),
-                             F.least(F.col("_day") + F.expr("INTERVAL 23 HOURS"), F.col("_hi")),
-                             F.expr("INTERVAL 1 HOUR"))).alias(hour))
+    w = Window.partitionBy(*keys).orderBy(hour)
+    x = agg.withColumn("_last", F.coalesce(F.lead(hour).over(w) - F.expr("INTERVAL 1 HOUR"), F.col(hour)))
+    x = x.select("*", F.explode(F.sequence(F.col(hour), F.col("_last"), F.expr("INTERVAL 1 HOUR"))).alias("_h"))
+    return x.drop("_last").withColumn("_real", F.col("_h") == F.col(hour))
 
 
 def hourly_rain(df: DataFrame, keys: Sequence[str] = ("basin_id", "station_id"),
@@ -46,12 +50,12 @@ def hourly_rain(df: DataFrame, keys: Sequence[str] = ("basin_id", "station_id"),
     keys = list(keys)
     agg = (df.withColumn("hour", F.date_trunc("hour", ts))
            .groupBy(*keys, "hour")
-           .agg(F.sum(value).alias("hourly_rain_sum"), F.max(value).alias("max_10min_intensity")))
-    grid = hour_grid(agg, keys)
-    return (grid.join(agg, keys + ["hour"], "left")
-            .select(*keys, "hour",
-                    F.coalesce("hourly_rain_sum", F.lit(0.0)).alias("hourly_rain_sum"),
-                    F.coalesce("max_10min_intensity", F.lit(0.0)).alias("max_10min_intensity")))
+           .agg(F.sum(value).alias("_s"), F.max(value).alias("_m")))
+    g = fill_gaps(agg, keys)
+    zero = F.lit(0.0)
+    return g.select(*keys, F.col("_h").alias("hour"),
+                    F.when(F.col("_real"), F.coalesce("_s", zero)).otherwise(zero).alias("hourly_rain_sum"),
+                    F.when(F.col("_real"), F.coalesce("_m", zero)).otherwise(zero).alias("max_10min_intensity"))
 
 
 def forward_fill(col: str, keys: Sequence[str], order: str = "hour", default: float = 0.0) -> Column:
@@ -63,13 +67,14 @@ def forward_fill(col: str, keys: Sequence[str], order: str = "hour", default: fl
 
 def hourly_flow(df: DataFrame, keys: Sequence[str] = ("basin_id",),
                 ts: str = "measurement_time", value: str = "flow") -> DataFrame:
-    """Hourly maximum flow on a dense grid, forward-filled, leading gap 0."""
+    """Hourly maximum flow on a dense grid, forward-filled, leading gap 0.
+    A filled hour carries the value of the hour that opened the gap, so the
+    forward fill is one more window on the same partitioning."""
     keys = list(keys)
     agg = (df.withColumn("hour", F.date_trunc("hour", ts))
            .groupBy(*keys, "hour").agg(F.max(value).alias("_flow")))
-    grid = hour_grid(agg, keys)
-    return (grid.join(agg, keys + ["hour"], "left")
-            .select(*keys, "hour", forward_fill("_flow", keys).alias("flow")))
+    g = fill_gaps(agg, keys).select(*keys, F.col("_h").alias("hour"), "_flow")
+    return g.select(*keys, "hour", forward_fill("_flow", keys).alias("flow"))
 
 
 def hour_coverage(df: DataFrame, keys: Sequence[str] = ("basin_id",),
@@ -77,6 +82,7 @@ def hour_coverage(df: DataFrame, keys: Sequence[str] = ("basin_id",),
     """Dense grid with the number of readings in each hour (0 for a gap)."""
     keys = list(keys)
     agg = (df.withColumn("hour", F.date_trunc("hour", ts))
-           .groupBy(*keys, "hour").agg(F.count(F.lit(1)).alias("n_readings")))
-    return (hour_grid(agg, keys).join(agg, keys + ["hour"], "left")
-            .select(*keys, "hour", F.coalesce("n_readings", F.lit(0)).cast("bigint").alias("n_readings")))
+           .groupBy(*keys, "hour").agg(F.count(F.lit(1)).alias("_n")))
+    g = fill_gaps(agg, keys)
+    return g.select(*keys, F.col("_h").alias("hour"),
+                    F.when(F.col("_real"), F.col("_n")).otherwise(F.lit(0)).cast("bigint").alias("n_readings"))

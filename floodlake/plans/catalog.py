@@ -23,6 +23,7 @@ from ..functions.timecols import as_text, forecast_windows
 from ..operators import alerts, events, forecast, grid, live, match, metrics, ml, quality, spatial, stats
 from ..sources import dims, feeds, files
 from ..streaming import streams
+from . import hydrology
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -49,7 +50,7 @@ def clean_rain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def station_hours(spark: SparkSession, d: str) -> DataFrame:
-    return grid.hourly_rain(clean_rain(spark, d))
+    return hydrology.station_hours(view(spark, d, "v_rain"))
 
 
 def basin_flow(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +58,7 @@ def basin_flow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.merge_flow(spatial.basin_stats(station_hours(spark, d)), basin_flow(spark, d))
+    return hydrology.basin_hours(view(spark, d, "v_rain"), view(spark, d, "v_flow"))
 
 
 # --------------------------------------------------------- filters / grid
