@@ -92,17 +92,26 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = SWEEP_THRESHOLD
 
 def flood_sessions(df: DataFrame, threshold: float | Column, gap: str = EVENT_GAP, flow: str = "flow",
                    keys: Sequence[str] = ("basin_id",), order: str = "hour") -> DataFrame:
-    """Flood hours (flow above threshold) numbered into events: a new event
-    starts when the gap to the previous flood hour is more than ``gap``
-    (exactly ``gap`` stays in the event). Ids start at 0 per key."""
+    """Flood rows (flow above threshold) numbered into events: a new event
+    starts when the gap to the previous flood row is more than ``gap``
+    (exactly ``gap`` stays in the event). Ids start at 0 per key.
+
+    Rows are first reduced to (key, clock hour, first and last time): a gap
+    longer than an hour can only fall between hours, so ordering the hours
+    of a key is exact and never sorts a busy key's raw rows in one task.
+    The ids go back to the rows with an equi-join on (key, hour).
+    """
+    keys = list(keys)
     thr = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    w = Window.partitionBy(*keys).orderBy(order)
-    floods = df.filter(F.col(flow) > thr)
-    prev = F.lag(order, 1).over(w)
-    new = F.when(prev.isNotNull() & (F.col(order) > prev + F.expr(f"INTERVAL {gap}")), 1).otherwise(0)
-    return (floods.withColumn("_new", new)
-            .withColumn("event_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-            .drop("_new"))
+    floods = df.filter(F.col(flow) > thr).withColumn("_hb", F.date_trunc("hour", order))
+    hours = floods.groupBy(*keys, "_hb").agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    w = Window.partitionBy(*keys).orderBy("_hb")
+    prev = F.lag("_hi", 1).over(w)
+    new = F.when(prev.isNotNull() & (F.col("_lo") > prev + F.expr(f"INTERVAL {gap}")), 1).otherwise(0)
+    ids = (hours.withColumn("_new", new)
+           .withColumn("event_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+           .select(*keys, "_hb", "event_id"))
+    return floods.join(ids, keys + ["_hb"]).drop("_hb")
 
 
 def flood_events(sessions: DataFrame, flow: str = "flow", keys: Sequence[str] = ("basin_id",),
@@ -134,6 +143,7 @@ def peak_hydrograph(df: DataFrame, days: int = HYDROGRAPH_DAYS, flow: str = "flo
     keys = list(keys)
     peak = df.groupBy(*keys).agg(
         F.min_by(order, F.struct((-F.col(flow)).alias("f"), F.col(order).alias("t"))).alias("peak_time"))
+    peak = F.broadcast(peak)  # one row per key
     lo = F.col("peak_time") - F.expr(f"INTERVAL {days} DAYS")
     hi = F.col("peak_time") + F.expr(f"INTERVAL {days} DAYS")
     return (df.join(peak, keys).filter(F.col(order).between(lo, hi))

@@ -28,8 +28,9 @@ def station_align(hourly: DataFrame, basin: str = "basin_id", station: str = "st
     station of the basin), 0 where the station had no row that hour."""
     hours = hourly.select(basin, "hour").distinct()
     stations = hourly.select(basin, station).distinct()
-    # equi-join on the basin: the stations of one basin times its hours
-    grid = hours.join(stations, basin)
+    # the stations of one basin times its hours; the station list (bounded by
+    # the station catalog) is broadcast so the hours are never shuffled by basin
+    grid = hours.join(F.broadcast(stations), basin)
     return (grid.join(hourly.select(basin, station, "hour", rain, intensity),
                       [basin, station, "hour"], "left")
             .select(basin, "hour", station,
@@ -43,7 +44,7 @@ def basin_stats(hourly: DataFrame, basin: str = "basin_id", station: str = "stat
     of stations with rain > 0, intensity max and mean over all N stations."""
     n = basin_station_counts(hourly, basin, station)
     cell = Window.partitionBy(basin, "hour")
-    rows = (hourly.join(n, basin)
+    rows = (hourly.join(F.broadcast(n), basin)  # one row per basin
             .withColumn("_mean", F.sum(rain).over(cell) / F.col("n_stations"))
             .withColumn("_dev2", F.pow(F.col(rain) - F.col("_mean"), 2)))
     g = rows.groupBy(basin, "hour").agg(

@@ -291,8 +291,9 @@ def q_flood_metrics(spark, d):
 @register("event_peaks")
 def q_event_peaks(spark, d):
     s = scored(spark, d)
-    ev = events.flood_events(events.flood_sessions(s, FIXTURE_FLOOD_LEVEL, flow="actual", order="ts"),
-                             flow="actual", order="ts")
+    floods = events.flood_sessions(s.select("basin_id", "ts", "actual"), FIXTURE_FLOOD_LEVEL,
+                                   flow="actual", order="ts")
+    ev = events.flood_events(floods, flow="actual", order="ts")
     return rounded(events.event_peaks(s, ev))
 
 
@@ -481,7 +482,7 @@ def parsed_feed(spark, d):
 
 @register("flow_feed")
 def q_flow_feed(spark, d):
-    return parsed_feed(spark, d).select("feed_id", "name", F.size("obs").alias("n_obs"))
+    return parsed_feed(spark, d).select("feed_id", "name", F.size("obs").cast("bigint").alias("n_obs"))
 
 
 @register("unescape_names")

@@ -19,13 +19,13 @@ from ..session import cut_lineage
 
 def station_hours(rain: DataFrame, materialize: bool = True) -> DataFrame:
     hr = grid.hourly_rain(quality.quality_filter(rain))
-    return cut_lineage(hr) if materialize else hr
+    return cut_lineage(hr, "station_hours") if materialize else hr
 
 
 def basin_hours(rain: DataFrame, flow: DataFrame, materialize: bool = True) -> DataFrame:
     """Basin rain statistics inner-merged with hourly flow, one row per (basin, hour)."""
     merged = spatial.merge_flow(spatial.basin_stats(station_hours(rain, materialize)), grid.hourly_flow(flow))
-    return cut_lineage(merged) if materialize else merged
+    return cut_lineage(merged, "basin_hours") if materialize else merged
 
 
 def basin_features(rain: DataFrame, flow: DataFrame, materialize: bool = True) -> DataFrame:
