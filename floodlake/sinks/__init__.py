@@ -1,0 +1,74 @@
+"""Sinks (K1-K6): committed file writes instead of database statements.
+
+Tables are parquet folders; every write is a Spark job whose output is
+committed atomically, so a failed or retried task never leaves partial
+rows behind.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.live import upsert_new
+
+
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - the table does not exist yet
+        return None
+
+
+def insert_new(df: DataFrame, target_path: str, stations: DataFrame,
+               keys: Sequence[str] = ("station_id", "measurement_time"),
+               partition_by: Sequence[str] = ()) -> int:
+    """K1: append only registered, not-yet-stored rows (first of duplicated
+    keys in the batch); returns the number of rows inserted. Running it
+    twice with the same batch inserts nothing the second time."""
+    spark = df.sparkSession
+    existing = _read_or_none(spark, target_path)
+    target = existing if existing is not None else df.limit(0)
+    new = upsert_new(df, target, stations, keys)
+    if existing is not None:
+        new = new.select(*existing.columns)
+    new = new.cache()  # counted and written once
+    n = new.count()
+    w = new.write.mode("append")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(target_path)
+    new.unpersist()
+    return n
+
+
+def append(df: DataFrame, target_path: str) -> None:
+    """K2: plain append, no key or station check (a rerun duplicates)."""
+    df.write.mode("append").parquet(target_path)
+
+
+def write_settlements(settlements: DataFrame, path: str) -> None:
+    """K3: the updated settlements table is written whole to a new path
+    (readers switch to it); the old version stays readable meanwhile."""
+    settlements.write.mode("overwrite").parquet(path)
+
+
+def write_grid(df: DataFrame, path: str, partition_by: Sequence[str] = ("basin_id",), fmt: str = "parquet") -> None:
+    """K4: hourly grids and feature sets, one folder per basin."""
+    df.write.mode("overwrite").partitionBy(*partition_by).format(fmt).option("header", True).save(path)
+
+
+def write_review(matches: DataFrame, path: str) -> None:
+    """K5: the match review listing, weakest first, as one CSV file (the
+    listing has one row per forecast location, a small result)."""
+    (matches.orderBy("score", "ims_id").coalesce(1)
+     .write.mode("overwrite").option("header", True).csv(path))
+
+
+def stamp(df: DataFrame, **cols) -> DataFrame:
+    """Add constant metadata columns (run id, model version) before a write."""
+    for k, v in cols.items():
+        df = df.withColumn(k, F.lit(v))
+    return df
