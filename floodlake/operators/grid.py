@@ -14,11 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hour_of(ts: str | Column) -> Column:
-    """Clock hour of a timestamp, keeping its (NTZ or LTZ) type."""
-    return F.date_trunc("hour", ts)
-
-
 def hour_grid(df: DataFrame, keys: Sequence[str], hour: str = "hour") -> DataFrame:
     """Dense hourly grid between the first and last hour of each key
     (standalone form: one row per key and hour, no values)."""

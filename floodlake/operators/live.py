@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import last_updated, unescape_unicode
@@ -28,13 +28,15 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.groupBy(*keys).agg(best.alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in others])
 
 
-def last_hour_rain(df: DataFrame, keys: Sequence[str] = ("station_id", "day"), order: str = "pos",
-                   rows: int = LAST_HOUR_ROWS) -> DataFrame:
+def last_hour_rain(df: DataFrame, keys: Sequence[str] = ("station_id", "day"),
+                   order: str | Sequence[str] = "pos", rows: int = LAST_HOUR_ROWS) -> DataFrame:
     """Sum of the readings with status 1 among the last ``rows`` entries of
     each series (filter after taking; sentinels are not excluded); a series
-    without rows is simply absent (the caller treats it as 0.0)."""
+    without rows is simply absent (the caller treats it as 0.0). ``order``
+    may list tie-breaking columns after the position."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    order = [order] if isinstance(order, str) else list(order)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     last = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= rows)
     return last.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col("status") == 1, F.col("rain_amount_mm"))), F.lit(0.0)).alias("last_hour_rain"),
@@ -81,6 +83,3 @@ def route_basin(df: DataFrame, routing: DataFrame, key: str = "sub_basin") -> Da
     """Attach the model basin of each sub-basin (NULL when not routed)."""
     return df.join(F.broadcast(routing), key, "left")
 
-
-def normalize_flow(c: Column) -> Column:
-    return c.try_cast("double")

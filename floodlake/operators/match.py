@@ -61,7 +61,3 @@ def geo_match(locations: DataFrame, settlements: DataFrame, radius_km: float = M
                     F.round(F.col("b.d"), 2).alias("distance_km"),
                     F.coalesce(F.col("b.score"), F.lit(0)).alias("score")))
 
-
-def review_order(matches: DataFrame) -> DataFrame:
-    """Review listing: weakest matches first (NO MATCH at the top)."""
-    return matches.orderBy("score", "ims_id")

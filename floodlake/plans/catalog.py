@@ -413,7 +413,7 @@ def q_monthly_flatten(spark, d):
 @register("last_hour_rain")
 def q_last_hour_rain(spark, d):
     v = view(spark, d, "v_rain").withColumn("day", F.date_trunc("day", "measurement_time"))
-    return rounded(live.last_hour_rain(v, ["station_id", "day"], "measurement_time"))
+    return rounded(live.last_hour_rain(v, ["station_id", "day"], ["measurement_time", "event_id"]))
 
 
 def named_rain(spark, d):

@@ -515,7 +515,7 @@ SELECT station_id, day, {r6('coalesce(sum(CASE WHEN status = 1 THEN rain_amount_
        count(*) AS n_taken
 FROM (SELECT *, date_trunc('day', measurement_time) AS day,
              row_number() OVER (PARTITION BY station_id, date_trunc('day', measurement_time)
-                                ORDER BY measurement_time DESC) AS rn FROM v_rain)
+                                ORDER BY measurement_time DESC, event_id DESC) AS rn FROM v_rain)
 WHERE rn <= 6 GROUP BY station_id, day""", "v_rain")
 
 oracle("registered_only", f"""

@@ -9,6 +9,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Suggested settings for a large cluster (passed at submit time; the code
+# never forces them). Shuffle partitions start high and AQE coalesces them to
+# ~256 MB; scan splits of 256 MB; skewed join partitions are split.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def build_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                   app: str = "floodlake", event_log_dir: str | None = None) -> SparkSession:
     """Local session for tests and the bench. On a cluster the submitter's
