@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import forecast_windows
@@ -44,10 +44,10 @@ def update_forecasts(settlements: DataFrame, matched: DataFrame) -> DataFrame:
     """New forecast columns for matched settlements, old values elsewhere.
     A settlement mapped twice takes the best score, then the nearest, then
     the smallest location id."""
-    w = Window.partitionBy("settlement_id").orderBy(F.col("score").desc(), F.col("distance_km").asc(),
-                                                   F.col("ims_id").asc())
-    best = (matched.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .select("settlement_id", F.col("current_rain").alias("_cur"), F.col("next_rain").alias("_nxt")))
+    rank = F.struct(F.col("score"), (-F.col("distance_km")).alias("d"), (-F.col("ims_id")).alias("i"))
+    best = (matched.groupBy("settlement_id")
+            .agg(F.max_by(F.struct("current_rain", "next_rain"), rank).alias("_b"))
+            .select("settlement_id", F.col("_b.current_rain").alias("_cur"), F.col("_b.next_rain").alias("_nxt")))
     s = settlements
     for c in ("current_6h_forecast", "next_6h_forecast"):
         if c not in s.columns:
