@@ -44,14 +44,23 @@ def last_hour_rain(df: DataFrame, keys: Sequence[str] = ("station_id", "day"),
 
 
 def upsert_new(df: DataFrame, target: DataFrame, stations: DataFrame,
-               keys: Sequence[str] = ("station_id", "measurement_time"), order: str = "event_id") -> DataFrame:
+               keys: Sequence[str] = ("station_id", "measurement_time"), order: str = "event_id",
+               prune_by: str | None = None) -> DataFrame:
     """Rows an idempotent insert would add: registered stations only, the
     first of duplicated keys in the batch (by ``order``), and nothing
-    whose key is already in ``target`` (ON CONFLICT DO NOTHING)."""
+    whose key is already in ``target`` (ON CONFLICT DO NOTHING).
+
+    ``prune_by`` names a partition column of ``target`` (a day): the stored
+    table is first cut to the batch's values of it with a semi-join on the
+    broadcast set of those values (a few hundred per year at most), which
+    Spark prunes to those partitions, so a poll never scans all history."""
     keys = list(keys)
     batch = registered(fill_defaults(df), stations)
     first = latest_per_key(batch.withColumn("_o", -F.col(order)), keys, ["_o"]).drop("_o")
-    return first.join(target.select(*keys), keys, "left_anti")
+    stored = target.select(*keys)
+    if prune_by is not None:
+        stored = stored.join(F.broadcast(batch.select(prune_by).distinct()), prune_by, "left_semi")
+    return first.join(stored, keys, "left_anti")
 
 
 # ------------------------------------------------------------- live flow

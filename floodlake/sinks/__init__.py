@@ -24,22 +24,23 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 def insert_new(df: DataFrame, target_path: str, stations: DataFrame,
                keys: Sequence[str] = ("station_id", "measurement_time"),
-               partition_by: Sequence[str] = ()) -> int:
+               time_col: str = "measurement_time", day_col: str = "day") -> int:
     """K1: append only registered, not-yet-stored rows (first of duplicated
     keys in the batch); returns the number of rows inserted. Running it
-    twice with the same batch inserts nothing the second time."""
+    twice with the same batch inserts nothing the second time.
+
+    The stored table is partitioned by ``day``; only the days present in
+    the batch are read back for the key check (see ``upsert_new``)."""
     spark = df.sparkSession
+    batch = df.withColumn(day_col, F.to_date(time_col))
     existing = _read_or_none(spark, target_path)
-    target = existing if existing is not None else df.limit(0)
-    new = upsert_new(df, target, stations, keys)
+    target = existing if existing is not None else batch.limit(0)
+    new = upsert_new(batch, target, stations, list(keys) + [day_col], prune_by=day_col)
     if existing is not None:
         new = new.select(*existing.columns)
     new = new.cache()  # counted and written once
     n = new.count()
-    w = new.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(target_path)
+    new.write.mode("append").partitionBy(day_col).parquet(target_path)
     new.unpersist()
     return n
 

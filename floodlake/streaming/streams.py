@@ -99,18 +99,23 @@ def latest_by_key(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFr
             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]))
 
 
-def idempotent_insert(target_path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def idempotent_insert(target_path: str, keys: Sequence[str], time_col: str = "measurement_time",
+                      day_col: str = "day") -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body: append only rows whose keys the target lacks
-    (all-time uniqueness; replaying a batch adds nothing)."""
+    (all-time uniqueness; replaying a batch adds nothing). The target is
+    partitioned by day and matched on it, so each micro-batch reads only
+    the days it touches."""
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = batch.dropDuplicates(list(keys))
+        first = batch.withColumn(day_col, F.to_date(time_col)).dropDuplicates(list(keys))
         try:
-            existing = spark.read.parquet(target_path).select(*keys)
-            first = first.join(existing, list(keys), "left_anti")
+            existing = spark.read.parquet(target_path).select(*keys, day_col)
+            days = F.broadcast(first.select(day_col).distinct())   # days of this micro-batch
+            existing = existing.join(days, day_col, "left_semi")    # pruned to those partitions
+            first = first.join(existing, list(keys) + [day_col], "left_anti")
         except Exception:  # noqa: BLE001 - no target yet
             pass
-        first.write.mode("append").parquet(target_path)
+        first.write.mode("append").partitionBy(day_col).parquet(target_path)
     return fn
 
 

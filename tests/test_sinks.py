@@ -41,3 +41,23 @@ def test_hourly_files_station_from_name(spark, tmp_path):
     df = files.read_hourly(spark, [str(p) for p in sorted(tmp_path.glob("*.csv"))])
     got = {(r.station_id, r.Rain) for r in df.collect()}
     assert got == {("Bet_Jamal", 1.5), ("Bet_Jamal", 0.0), ("Jerusalem_Center", 1.5), ("Jerusalem_Center", 0.0)}
+
+
+def test_insert_reads_only_batch_days(spark, tmp_path):
+    stations = spark.createDataFrame([(1,)], "station_id int")
+    old = spark.createDataFrame([(i, 1, T + dt.timedelta(days=i), 1.0, 1) for i in range(10)],
+                                "event_id long, station_id int, measurement_time timestamp_ntz, "
+                                "rain_amount_mm double, status int")
+    path = str(tmp_path / "t")
+    assert sinks.insert_new(old, path, stations) == 10
+    batch = old.filter(F.col("event_id") == 3).unionByName(
+        spark.createDataFrame([(99, 1, T + dt.timedelta(days=3, hours=1), 2.0, 1)], old.schema))
+    assert sinks.insert_new(batch, path, stations) == 1
+    # the anti-join prunes the stored table to the batch's day
+    from floodlake.operators.live import upsert_new
+    target = spark.read.parquet(path)
+    plan = upsert_new(batch.withColumn("day", F.to_date("measurement_time")), target, stations,
+                      ["station_id", "measurement_time", "day"], prune_by="day")
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in text.lower()
