@@ -71,3 +71,23 @@ def test_models_fit_score_and_bundle(spark, tmp_path):
     assert meta.decision() == 0.5 and meta.horizon() == 3 and meta.feature_names == FEATURE_NAMES
     imp = ml.importances(spark, model, FEATURE_NAMES).collect()
     assert len(imp) == len(FEATURE_NAMES) and abs(sum(r.importance for r in imp) - 1.0) < 1e-9
+
+
+def test_score_stream_batches(spark, tmp_path):
+    df = frame(spark, 120)
+    model = ml.train_rf(df, numTrees=5, maxDepth=3)
+    land = str(tmp_path / "features")
+    df.drop("label").repartition(3).write.parquet(land)
+    s = streams.ingest_stream(spark, land, spark.read.parquet(land).schema, files_per_trigger=1)
+    out = str(tmp_path / "scores")
+    streams.run_available(s, out, batch_fn=streams.score_batches(model, out, 0.03))
+    scored = spark.read.parquet(out)
+    assert scored.count() == 120 and scored.select("batch_id").distinct().count() == 3
+    assert scored.filter((F.col("flood_probability") >= 0.03) != (F.col("alert") == 1)).count() == 0
+
+
+def test_time_slice_inclusive(spark):
+    from floodlake.operators.events import time_slice
+    df = spark.createDataFrame([(0, T + dt.timedelta(hours=i)) for i in range(10)], "basin_id int, hour timestamp_ntz")
+    out = time_slice(df, "2024-01-01 02:00:00", "2024-01-01 05:00:00")
+    assert out.count() == 4
