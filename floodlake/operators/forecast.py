@@ -19,9 +19,11 @@ def forecast_pick(forecast: DataFrame, as_of: Column | str, location: str = "loc
     is_cur = F.col("forecast_time") == F.col("_cur")
     is_nxt = F.col("forecast_time") == F.col("_nxt")
     rain = F.coalesce(F.col("rain"), F.lit(0.0))
+    # feed order: element (if several Location elements) then position
+    order = F.struct("element", "pos") if "element" in forecast.columns else F.col("pos")
     g = x.groupBy(location).agg(
-        F.max_by(F.when(is_cur, rain), F.when(is_cur, F.col("pos"))).alias("current_rain"),
-        F.max_by(F.when(is_nxt, rain), F.when(is_nxt, F.col("pos"))).alias("next_rain"))
+        F.max_by(F.when(is_cur, rain), F.when(is_cur, order)).alias("current_rain"),
+        F.max_by(F.when(is_nxt, rain), F.when(is_nxt, order)).alias("next_rain"))
     return g.select(location, F.coalesce("current_rain", F.lit(0.0)).alias("current_rain"),
                     F.coalesce("next_rain", F.lit(0.0)).alias("next_rain"))
 

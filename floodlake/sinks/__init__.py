@@ -61,11 +61,17 @@ def write_grid(df: DataFrame, path: str, partition_by: Sequence[str] = ("basin_i
     df.write.mode("overwrite").partitionBy(*partition_by).format(fmt).option("header", True).save(path)
 
 
+# Column names of the reviewed mapping file.
+REVIEW_COLUMNS = ["IMS_ID", "IMS_Name", "Matched_DB_ID", "Matched_DB_Name", "Distance_KM", "Confidence_Score"]
+
+
 def write_review(matches: DataFrame, path: str) -> None:
-    """K5: the match review listing, weakest first, as one CSV file (the
-    listing has one row per forecast location, a small result)."""
-    (matches.orderBy("score", "ims_id").coalesce(1)
-     .write.mode("overwrite").option("header", True).csv(path))
+    """K5: the match review listing, weakest first, as one CSV file with the
+    mapping file's columns (one row per forecast location, a small result);
+    after review it is read back by ``files.read_mapping``."""
+    cols = ["ims_id", "ims_name", "matched_id", "matched_name", "distance_km", "score"]
+    out = matches.orderBy("score", "ims_id").select(*[F.col(c).alias(n) for c, n in zip(cols, REVIEW_COLUMNS)])
+    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def stamp(df: DataFrame, **cols) -> DataFrame:

@@ -156,5 +156,9 @@ def location_coords(locations: DataFrame, loc: str = "loc") -> DataFrame:
 
 
 def read_forecast(spark: SparkSession, path: str) -> DataFrame:
+    """Forecast rows of a feed file; ``element`` is the position of the
+    Location element in the feed (a later element overrides an earlier one
+    with the same id, like a later duplicate inside one element)."""
     raw = spark.read.format("xml").option("rowTag", "Location").schema(FORECAST_LOCATION).load(path)
-    return forecast_rows(raw.select(F.struct(*raw.columns).alias("loc")))
+    locs = raw.select(F.struct(*raw.columns).alias("loc"), F.monotonically_increasing_id().alias("element"))
+    return forecast_rows(locs)

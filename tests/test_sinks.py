@@ -31,7 +31,7 @@ def test_grid_and_review_outputs(spark, tmp_path):
                               "distance_km double, score int")
     sinks.write_review(m, str(tmp_path / "review"))
     back = spark.read.option("header", True).csv(str(tmp_path / "review")).collect()
-    assert back[0].matched_name == "NO MATCH FOUND"
+    assert back[0].Matched_DB_Name == "NO MATCH FOUND"
 
 
 def test_hourly_files_station_from_name(spark, tmp_path):
