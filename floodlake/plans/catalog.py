@@ -78,7 +78,8 @@ def q_high_rainfall(spark, d):
 
 @register("hourly_rain")
 def q_hourly_rain(spark, d):
-    return rounded(station_hours(spark, d))
+    # a single consumer: nothing to gain from materializing the grid here
+    return rounded(hydrology.station_hours(view(spark, d, "v_rain"), materialize=False))
 
 
 @register("hourly_flow")

@@ -73,7 +73,7 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), "tables", name, uuid.uuid4().hex)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
