@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-SLOW = {"flood_model_rf", "feature_importance"}
+SLOW = {"flood_model_rf", "feature_importance", "flow_model_gbt"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")   # no pair-of-everything joins
 
 
