@@ -58,7 +58,7 @@ def station_from_file(path: Column) -> Column:
 
 def basin_from_file(path: Column, part: int = 1) -> Column:
     """'sorek_2010_2019.csv' -> 'Sorek' (``part`` = 1), or the second part
-    for dataset files ('AegisEco_Beer_Sheva_...' -> 'Beer'); first letter
+    for dataset files ('Flood_Beer_Sheva_...' -> 'Beer'); first letter
     upper, the rest lower."""
     base = F.element_at(F.split(path, "/"), -1)
     p = F.element_at(F.split(base, "_"), part)

@@ -621,7 +621,7 @@ def q_name_from_file(spark, d):
     s = base_table(spark, d, "supplier")
     rain_file = F.concat(F.lit("/data/ims/"), F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit("_"))),
                          F.lit("_2010_2018.csv"))
-    dataset = F.concat(F.lit("organized/AegisEco_"), F.replace(F.col("s_name"), F.lit("#"), F.lit("_")),
+    dataset = F.concat(F.lit("organized/Flood_"), F.replace(F.col("s_name"), F.lit("#"), F.lit("_")),
                        F.lit("_ML_Dataset_v3.csv"))
     return s.select("s_suppkey", station_from_file(rain_file).alias("station_name"),
                     basin_from_file(dataset, 2).alias("basin_name"))
