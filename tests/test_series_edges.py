@@ -123,3 +123,20 @@ def test_peak_hydrograph_first_of_ties(spark):
 def test_row_split_floor(spark):
     out = events.row_split(series(spark, list(range(11)))).orderBy("hour").collect()
     assert [r.split for r in out].count("train") == 8
+
+
+def test_label_ahead_time_aligned_skips_missing_hour(spark):
+    rows = [(0, T0, 1.0), (0, T0 + dt.timedelta(hours=1), 20.0), (0, T0 + dt.timedelta(hours=3), 30.0),
+            (0, T0 + dt.timedelta(hours=4), 1.0)]
+    df = spark.createDataFrame(rows, "basin_id int, hour timestamp_ntz, flow double")
+    by_row = [r.flood_in_1h for r in events.label_ahead(df, 10.0, 1).orderBy("hour").collect()]
+    by_time = [r.flood_in_1h for r in events.label_ahead(df, 10.0, 1, align="time").orderBy("hour").collect()]
+    assert by_row == [1, 1, 0, 0]       # the row after hour 1 is hour 3 (a removed gap)
+    assert by_time == [1, 0, 0, 0]      # hour 2 does not exist: no label from hour 3
+
+
+def test_hour_grid_dense(spark):
+    rows = [(0, T0), (0, T0 + dt.timedelta(hours=5)), (1, T0 + dt.timedelta(hours=2))]
+    df = spark.createDataFrame(rows, "basin_id int, hour timestamp_ntz")
+    got = {(r.basin_id, r.hour) for r in grid.hour_grid(df, ["basin_id"]).collect()}
+    assert got == {(0, T0 + dt.timedelta(hours=i)) for i in range(6)} | {(1, T0 + dt.timedelta(hours=2))}
