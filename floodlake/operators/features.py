@@ -87,29 +87,28 @@ def ewm(df: DataFrame, col: str, out: str, alpha: float = EWM_ALPHA, shift: int
     beta = 1.0 - alpha
     w = Window.partitionBy(*keys).orderBy(order)
     r = F.row_number().over(w) - 1
-    x = df.withColumn("_r", r)
-    x = x.withColumn("_blk", F.floor(F.col("_r") / block)).withColumn("_p", F.col("_r") % block)
+    x = df.select("*", r.alias("_r"), F.floor(r / block).alias("_blk"), (r % block).alias("_p"))
     v = F.when(F.col("_r") == 0, F.col(col)).otherwise(F.col(col) * alpha)
     wb = (Window.partitionBy(*keys, "_blk").orderBy("_r")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     x = x.withColumn("_loc", F.pow(beta, F.col("_p")) * F.sum(v * F.pow(beta, -F.col("_p"))).over(wb))
     ends = (x.groupBy(*keys, "_blk")
             .agg(F.max_by("_loc", "_p").alias("L"), F.count(F.lit(1)).alias("n")))
-    folded = ends.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_blk", "L", "n"))).alias("_b"))
-    # carry into block k = value at the end of block k-1
-    carries = folded.select(*keys, F.aggregate(
-        "_b",
+    # carry into block k = value at the end of block k-1 (a short fold per series)
+    fold = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("_blk", "L", "n"))),
         F.struct(F.array().cast("array<double>").alias("c"), F.lit(0.0).alias("y")),
         lambda acc, e: F.struct(
             F.concat(acc["c"], F.array(acc["y"])).alias("c"),
-            (F.pow(F.lit(beta), e["n"]) * acc["y"] + e["L"]).alias("y")),
-    )["c"].alias("_c"))
-    carries = carries.select(*keys, F.posexplode("_c").alias("_blk", "_carry"))
-    y = (x.join(carries, keys + ["_blk"], "left")
-         .withColumn("_y", F.col("_loc") + F.pow(beta, F.col("_p") + 1) * F.coalesce("_carry", F.lit(0.0))))
-    yv = F.lag("_y", shift).over(w) if shift else F.col("_y")
-    return y.withColumn(out, yv).drop("_r", "_blk", "_p", "_loc", "_carry", "_y")
+            (F.pow(F.lit(beta), e["n"]) * acc["y"] + e["L"]).alias("y")))["c"]
+    carries = (ends.groupBy(*keys).agg(fold.alias("_c"))
+               .select(*keys, F.posexplode("_c").alias("_blk", "_carry")))
+    y = F.col("_loc") + F.pow(beta, F.col("_p") + 1) * F.coalesce("_carry", F.lit(0.0))
+    joined = x.join(carries, keys + ["_blk"], "left")
+    keep = [c for c in df.columns]
+    if shift:
+        return joined.select(*keep, F.lag(y, shift).over(w).alias(out))
+    return joined.select(*keep, y.alias(out))
 
 
 def seasonality(ts: str = "hour") -> list[Column]:
@@ -127,9 +126,10 @@ def seasonality(ts: str = "hour") -> list[Column]:
     ]
 
 
-def rain_features(df: DataFrame, keys: Sequence[str] = ("basin_id",)) -> DataFrame:
+def rain_features(df: DataFrame, keys: Sequence[str] = ("basin_id",), extra: Sequence[Column] = ()) -> DataFrame:
     """Rolling rain, rain and intensity lags, acceleration, seasonality;
-    soil moisture is added by ``ewm`` (it needs its own block windows)."""
+    soil moisture is added by ``ewm`` (it needs its own block windows).
+    ``extra`` columns ride along in the same projection."""
     w = series_window(keys)
     lags = []
     for n in RAIN_LAGS:
@@ -141,6 +141,7 @@ def rain_features(df: DataFrame, keys: Sequence[str] = ("basin_id",)) -> DataFra
         *lags,
         diff("Basin_Rain_Mean", keys).alias("Rain_Acceleration"),
         *seasonality("hour"),
+        *extra,
     )
 
 
@@ -169,9 +170,9 @@ def clean_features(merged: DataFrame, keys: Sequence[str] = ("basin_id",)) -> Da
     """
     keys = list(keys)
     df = ewm(merged, "Basin_Rain_Mean", "Soil_Moisture_EWM", keys=keys)
-    df = rain_features(df, keys)
-    df = df.withColumn("flow", F.when(~suspicious_hours("flow", keys=keys), F.col("flow")))
-    df = flow_features(df, "flow", keys)
+    df = rain_features(df, keys, extra=[
+        F.when(~suspicious_hours("flow", keys=keys), F.col("flow")).alias("_flow2")])
+    df = flow_features(df.drop("flow").withColumnRenamed("_flow2", "flow"), "flow", keys)
     cols = keys + ["hour"] + FEATURE_NAMES + ["flow"]
     return df.select(*cols).dropna("any", subset=FEATURE_NAMES + ["flow"])
 
