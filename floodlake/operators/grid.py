@@ -24,7 +24,7 @@ def hour_grid(df: DataFrame, keys: Sequence[str], hour: str = "hour") -> DataFra
 
 def fill_gaps(agg: DataFrame, keys: Sequence[str], hour: str = "hour") -> DataFrame:
     """Expand each hourly row into itself plus the empty hours before the
-    next row of its key (``_h``; ``_real`` marks the original hour).
+    next row of its key (``_h``; the original hour is where ``_h == hour``).
 
     One window over the hourly rows replaces a min/max pass plus a join:
     the input is read once, and the output keeps the key partitioning, so
@@ -32,9 +32,9 @@ def fill_gaps(agg: DataFrame, keys: Sequence[str], hour: str = "hour") -> DataFr
     """
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(hour)
-    x = agg.withColumn("_last", F.coalesce(F.lead(hour).over(w) - F.expr("INTERVAL 1 HOUR"), F.col(hour)))
-    x = x.select("*", F.explode(F.sequence(F.col(hour), F.col("_last"), F.expr("INTERVAL 1 HOUR"))).alias("_h"))
-    return x.drop("_last").withColumn("_real", F.col("_h") == F.col(hour))
+    x = agg.select("*", F.coalesce(F.lead(hour).over(w) - F.expr("INTERVAL 1 HOUR"), F.col(hour)).alias("_last"))
+    return x.select(*agg.columns, F.explode(F.sequence(F.col(hour), F.col("_last"),
+                                                       F.expr("INTERVAL 1 HOUR"))).alias("_h"))
 
 
 def hourly_rain(df: DataFrame, keys: Sequence[str] = ("basin_id", "station_id"),
@@ -47,10 +47,10 @@ def hourly_rain(df: DataFrame, keys: Sequence[str] = ("basin_id", "station_id"),
            .groupBy(*keys, "hour")
            .agg(F.sum(value).alias("_s"), F.max(value).alias("_m")))
     g = fill_gaps(agg, keys)
-    zero = F.lit(0.0)
+    zero, real = F.lit(0.0), F.col("_h") == F.col("hour")
     return g.select(*keys, F.col("_h").alias("hour"),
-                    F.when(F.col("_real"), F.coalesce("_s", zero)).otherwise(zero).alias("hourly_rain_sum"),
-                    F.when(F.col("_real"), F.coalesce("_m", zero)).otherwise(zero).alias("max_10min_intensity"))
+                    F.when(real, F.coalesce("_s", zero)).otherwise(zero).alias("hourly_rain_sum"),
+                    F.when(real, F.coalesce("_m", zero)).otherwise(zero).alias("max_10min_intensity"))
 
 
 def forward_fill(col: str, keys: Sequence[str], order: str = "hour", default: float = 0.0) -> Column:
@@ -68,8 +68,9 @@ def hourly_flow(df: DataFrame, keys: Sequence[str] = ("basin_id",),
     keys = list(keys)
     agg = (df.withColumn("hour", F.date_trunc("hour", ts))
            .groupBy(*keys, "hour").agg(F.max(value).alias("_flow")))
-    g = fill_gaps(agg, keys).select(*keys, F.col("_h").alias("hour"), "_flow")
-    return g.select(*keys, "hour", forward_fill("_flow", keys).alias("flow"))
+    g = fill_gaps(agg, keys)
+    return g.select(*keys, F.col("_h").alias("hour"),
+                    forward_fill("_flow", keys, order="_h").alias("flow"))
 
 
 def hour_coverage(df: DataFrame, keys: Sequence[str] = ("basin_id",),
@@ -80,4 +81,5 @@ def hour_coverage(df: DataFrame, keys: Sequence[str] = ("basin_id",),
            .groupBy(*keys, "hour").agg(F.count(F.lit(1)).alias("_n")))
     g = fill_gaps(agg, keys)
     return g.select(*keys, F.col("_h").alias("hour"),
-                    F.when(F.col("_real"), F.col("_n")).otherwise(F.lit(0)).cast("bigint").alias("n_readings"))
+                    F.when(F.col("_h") == F.col("hour"), F.col("_n")).otherwise(F.lit(0)).cast("bigint")
+                    .alias("n_readings"))

@@ -44,9 +44,10 @@ def basin_stats(hourly: DataFrame, basin: str = "basin_id", station: str = "stat
     of stations with rain > 0, intensity max and mean over all N stations."""
     n = basin_station_counts(hourly, basin, station)
     cell = Window.partitionBy(basin, "hour")
+    mean = F.sum(rain).over(cell) / F.col("n_stations")
     rows = (hourly.join(F.broadcast(n), basin)  # one row per basin
-            .withColumn("_mean", F.sum(rain).over(cell) / F.col("n_stations"))
-            .withColumn("_dev2", F.pow(F.col(rain) - F.col("_mean"), 2)))
+            .select(basin, "hour", "n_stations", rain, intensity, mean.alias("_mean"),
+                    F.pow(F.col(rain) - mean, 2).alias("_dev2")))
     g = rows.groupBy(basin, "hour").agg(
         F.first("n_stations").alias("_n"),
         F.count(F.lit(1)).alias("_k"),
