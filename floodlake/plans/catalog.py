@@ -348,7 +348,8 @@ def picked(spark, d):
     # per location, as of 5 hours before its last forecast time
     as_of = fc.groupBy("location_id").agg(
         (F.max("forecast_time") - F.expr("INTERVAL 5 HOURS")).alias("as_of"))
-    return forecast.forecast_pick(fc.join(as_of, "location_id"), F.col("as_of"))
+    # one row per location: broadcast, so the forecast rows are not shuffled by location
+    return forecast.forecast_pick(fc.join(F.broadcast(as_of), "location_id"), F.col("as_of"))
 
 
 @register("forecast_pick")
