@@ -50,3 +50,11 @@ def grid_profile(df: DataFrame, flow: str = "flow", keys: Sequence[str] = ("basi
         F.count(F.lit(1)).alias("n_hours"), F.min(order).alias("first_hour"), F.max(order).alias("last_hour"),
         F.max(flow).alias("max_flow"),
         F.sum((F.col(flow) > level).cast("int")).cast("bigint").alias("hours_over_level"))
+
+
+def dataset_profile(features: DataFrame, feature_names: Sequence[str], flow: str = "flow",
+                    keys: Sequence[str] = ("basin_id",), order: str = "hour") -> DataFrame:
+    """Profile of a feature dataset: hours, range, max flow, feature count."""
+    return features.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_hours"), F.min(order).alias("first_hour"), F.max(order).alias("last_hour"),
+        F.max(flow).alias("max_flow"), F.lit(len(feature_names)).cast("int").alias("n_features"))

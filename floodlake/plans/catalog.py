@@ -155,6 +155,11 @@ def q_features_clean(spark, d):
     return rounded(feat.clean_features(merged(spark, d)))
 
 
+@register("dataset_profile")
+def q_dataset_profile(spark, d):
+    return rounded(stats.dataset_profile(feat.clean_features(merged(spark, d)), feat.FEATURE_NAMES))
+
+
 @register("clean_audit")
 def q_clean_audit(spark, d):
     m = merged(spark, d)

@@ -220,6 +220,9 @@ def _features_clean(body: str) -> str:
 
 
 ORACLES["features_clean"] = _features_clean(f"SELECT basin_id, hour, {_fc_cols}, {r6('flow2', 'flow')} FROM fc")
+ORACLES["dataset_profile"] = _features_clean(f"""
+SELECT basin_id, count(*) AS n_hours, min(hour) AS first_hour, max(hour) AS last_hour,
+       {r6('max(flow2)', 'max_flow')}, CAST(38 AS INTEGER) AS n_features FROM fc GROUP BY basin_id""")
 ORACLES["clean_audit"] = _features_clean("""
 SELECT b.basin_id, b.rows_before, coalesce(a.rows_after, 0) AS rows_after,
        b.rows_before - coalesce(a.rows_after, 0) AS rows_removed,
