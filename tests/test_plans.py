@@ -23,3 +23,18 @@ def test_hourly_grid_scans_raw_once_with_pushdown(spark, tmp_path):
     final = plan.split("Initial Plan")[0]
     assert final.count("FileScan parquet") == 1
     assert "PushedFilters: [IsNotNull(rain_amount_mm), IsNotNull(status), GreaterThanOrEqual(rain_amount_mm,0.0)" in final
+
+
+def test_hot_station_is_combined_before_the_shuffle(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    # station 0 holds ~90% of the readings
+    rows = [(0, 0 if i % 10 else 1 + i % 3, t0 + dt.timedelta(minutes=i), 1.0, 1) for i in range(3000)]
+    raw = spark.createDataFrame(rows, "basin_id int, station_id int, measurement_time timestamp_ntz, "
+                                      "rain_amount_mm double, status int")
+    df = grid.hourly_rain(raw)
+    plan = final_plan(df).split("Initial Plan")[0]
+    # partial sums/maxima are computed per task before rows are exchanged
+    assert "partial_sum" in plan and "partial_max" in plan
+    first = plan.index("partial_sum")
+    assert "Exchange hashpartitioning(basin_id" in plan[:first] or "ShuffleQueryStage" in plan[:first]
+    assert df.filter("station_id = 0").count() == 50   # 3000 minutes -> 50 hours, no gap
