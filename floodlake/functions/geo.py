@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Mean Earth radius (km) and the shortest length of one
@@ -57,29 +57,30 @@ def _cell_of(lon: Column, n_cells: Column) -> Column:
     return F.least(F.floor(x * n_cells / 360.0).cast("long"), n_cells - 1)
 
 
-def home_bucket(lat: Column, lon: Column, radius_km: float) -> Column:
-    """(band, cell) of a point: the build side of a radius join."""
-    band = F.floor(lat / band_height(radius_km)).cast("long")
-    n = _band_cells(band, radius_km)
-    return F.struct(band.alias("band"), _cell_of(lon, n).alias("cell"))
+def with_home_bucket(df: DataFrame, lat: str, lon: str, radius_km: float, out: str = "_bk") -> DataFrame:
+    """Add the (band, cell) bucket of each point: the build side of a radius join.
+    Staged projections keep every derived value a column, so the plan stays small."""
+    h = band_height(radius_km)
+    x = df.select("*", F.floor(F.col(lat) / h).cast("long").alias("_band"))
+    x = x.select("*", _band_cells(F.col("_band"), radius_km).alias("_n"))
+    return x.select(*df.columns, F.struct(F.col("_band").alias("band"),
+                                          _cell_of(F.col(lon), F.col("_n")).alias("cell")).alias(out))
 
 
-def probe_buckets(lat: Column, lon: Column, radius_km: float) -> Column:
-    """All (band, cell) buckets that can hold a point within ``radius_km``:
-    the probe side of a radius join (at most 9 per point)."""
+def with_probe_buckets(df: DataFrame, lat: str, lon: str, radius_km: float, out: str = "_bk") -> DataFrame:
+    """One row per bucket that can hold a point within ``radius_km`` of each
+    point (at most 3 bands x 3 cells): the probe side of a radius join."""
     h = band_height(radius_km)
-    band0 = F.floor(lat / h).cast("long")
-
-    def per_band(db):
-        band = band0 + db
-        n = _band_cells(band, radius_km)
-        edge = F.greatest(F.abs(lat), F.abs(band * h), F.abs((band + 1) * h))
-        half = _half_width_deg(radius_km, edge)
-        full = half >= 180.0
-        lo = F.floor(F.pmod(lon - half + 180.0, F.lit(360.0)) * n / 360.0).cast("long")
-        span = F.floor((lon + half + 180.0) * n / 360.0).cast("long") - F.floor((lon - half + 180.0) * n / 360.0).cast("long")
-        cells = F.when(full | (span + 1 >= n), F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(
-            F.transform(F.sequence(F.lit(0).cast("long"), span), lambda k: F.pmod(lo + k, n)))
-        return F.transform(F.array_distinct(cells), lambda c: F.struct(band.alias("band"), c.alias("cell")))
-
-    return F.flatten(F.array(per_band(-1), per_band(0), per_band(1)))
+    x = df.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_db"))
+    x = x.select("*", (F.floor(F.col(lat) / h) + F.col("_db")).cast("long").alias("_band"))
+    band = F.col("_band")
+    edge = F.greatest(F.abs(F.col(lat)), F.abs(band * h), F.abs((band + 1) * h))
+    x = x.select("*", _band_cells(band, radius_km).alias("_n"), _half_width_deg(radius_km, edge).alias("_half"))
+    n, half, lo_x = F.col("_n"), F.col("_half"), F.col(lon) + 180.0
+    x = x.select("*", F.floor(F.pmod(lo_x - half, F.lit(360.0)) * n / 360.0).cast("long").alias("_lo"),
+                 (F.floor((lo_x + half) * n / 360.0) - F.floor((lo_x - half) * n / 360.0)).cast("long").alias("_span"))
+    lo, span = F.col("_lo"), F.col("_span")
+    cells = F.when((half >= 180.0) | (span + 1 >= n), F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), span), lambda k: F.pmod(lo + k, n)))
+    x = x.select("*", F.explode(F.array_distinct(cells)).alias("_cell"))
+    return x.select(*df.columns, F.struct(band.alias("band"), F.col("_cell").alias("cell")).alias(out))

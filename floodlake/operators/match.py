@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_km, home_bucket, probe_buckets
+from ..functions.geo import haversine_km, with_home_bucket, with_probe_buckets
 from ..functions.text import name_score, name_score_fast
 
 # The search radius and the label of an unmatched location.
@@ -29,11 +29,9 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_km: float = MATCH_RAD
     prefixed ``r_``."""
     la, lo = left_cols
     ra, ro = right_cols
-    probes = (left.filter(F.col(la).isNotNull() & F.col(lo).isNotNull())
-              .select("*", F.explode(probe_buckets(F.col(la), F.col(lo), radius_km)).alias("_bk")))
+    probes = with_probe_buckets(left.filter(F.col(la).isNotNull() & F.col(lo).isNotNull()), la, lo, radius_km)
     r = right.filter(F.col(ra).isNotNull() & F.col(ro).isNotNull())
-    r = r.select(*[F.col(c).alias(f"r_{c}") for c in r.columns],
-                 home_bucket(F.col(ra), F.col(ro), radius_km).alias("_bk"))
+    r = with_home_bucket(r.select(*[F.col(c).alias(f"r_{c}") for c in r.columns]), f"r_{ra}", f"r_{ro}", radius_km)
     pairs = probes.join(r, "_bk").drop("_bk")
     d = haversine_km(F.col(la), F.col(lo), F.col(f"r_{ra}"), F.col(f"r_{ro}"))
     return pairs.withColumn("distance_km", d).filter(F.col("distance_km") <= radius_km)
