@@ -110,3 +110,17 @@ def test_geo_match_keeps_unmatched_and_null_coords(spark):
 def test_haversine_null(spark):
     df = spark.createDataFrame([(None, 1.0, 2.0, 3.0)], "a double, b double, c double, d double")
     assert df.select(haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("x")).first().x is None
+
+
+def test_golden_mapping_replay(spark):
+    """The published mapping: 120 scores equal the formula exactly; the other
+    28 all carry the hand-review value 50."""
+    from golden_names import GOLDEN_MAPPING
+    df = spark.createDataFrame(GOLDEN_MAPPING, "a string, b string, want int")
+    rows = df.select("a", "b", "want", name_score(F.col("a"), F.col("b")).alias("jvm"),
+                     name_score_fast(F.col("a"), F.col("b")).alias("arrow")).collect()
+    assert len(rows) == 148
+    assert all(r.jvm == r.arrow for r in rows)
+    exact = [r for r in rows if r.jvm == r.want]
+    assert len(exact) == 120
+    assert all(r.want == 50 for r in rows if r.jvm != r.want)
