@@ -39,10 +39,15 @@ def station_align(hourly: DataFrame, basin: str = "basin_id", station: str = "st
 
 
 def basin_stats(hourly: DataFrame, basin: str = "basin_id", station: str = "station_id",
-                rain: str = "hourly_rain_sum", intensity: str = "max_10min_intensity") -> DataFrame:
+                rain: str = "hourly_rain_sum", intensity: str = "max_10min_intensity",
+                stations: DataFrame | None = None) -> DataFrame:
     """Per (basin, hour): mean, max, sample std (0 for one station), number
-    of stations with rain > 0, intensity max and mean over all N stations."""
-    n = basin_station_counts(hourly, basin, station)
+    of stations with rain > 0, intensity max and mean over all N stations.
+
+    N is the number of stations configured for the basin when ``stations``
+    (station -> basin) is given, else the stations present in ``hourly``
+    (which then reads ``hourly`` twice; materialize it first)."""
+    n = basin_station_counts(stations if stations is not None else hourly, basin, station)
     cell = Window.partitionBy(basin, "hour")
     mean = F.sum(rain).over(cell) / F.col("n_stations")
     rows = (hourly.join(F.broadcast(n), basin)  # one row per basin

@@ -22,11 +22,18 @@ def station_hours(rain: DataFrame, materialize: bool = True) -> DataFrame:
     return cut_lineage(hr, "station_hours") if materialize else hr
 
 
-def basin_hours(rain: DataFrame, flow: DataFrame, materialize: bool = True) -> DataFrame:
-    """Basin rain statistics inner-merged with hourly flow, one row per (basin, hour)."""
-    merged = spatial.merge_flow(spatial.basin_stats(station_hours(rain, materialize)), grid.hourly_flow(flow))
+def basin_hours(rain: DataFrame, flow: DataFrame, materialize: bool = True,
+                stations: DataFrame | None = None) -> DataFrame:
+    """Basin rain statistics inner-merged with hourly flow, one row per (basin, hour).
+
+    With the configured ``stations`` (station -> basin) the station-hour grid
+    has a single consumer, so it is not materialized: raw rain is still read
+    once."""
+    hr = station_hours(rain, materialize and stations is None)
+    merged = spatial.merge_flow(spatial.basin_stats(hr, stations=stations), grid.hourly_flow(flow))
     return cut_lineage(merged, "basin_hours") if materialize else merged
 
 
-def basin_features(rain: DataFrame, flow: DataFrame, materialize: bool = True) -> DataFrame:
-    return feat.clean_features(basin_hours(rain, flow, materialize))
+def basin_features(rain: DataFrame, flow: DataFrame, materialize: bool = True,
+                   stations: DataFrame | None = None) -> DataFrame:
+    return feat.clean_features(basin_hours(rain, flow, materialize, stations))
