@@ -97,3 +97,18 @@ def test_forecast_windows(spark):
     cur, nxt = forecast_windows(F.col("t"))
     for r in df.select("t", cur.alias("c"), nxt.alias("n")).collect():
         assert (r.c, r.n) == cases[r.t]
+
+
+def test_readme_file_calls(spark, tmp_path):
+    from floodlake.operators import grid
+    write(str(tmp_path / "hefez_hayim_2010_2018.csv"),
+          "Station,DateTime,Rainfall\nH,01/02/2020 10:00,0.5\nH,01/02/2020 10:10,1.5\nH,01/02/2020 12:00,2\n")
+    rain = files.read_rain_csv(spark, [str(tmp_path / "hefez_hayim_2010_2018.csv")])
+    hr = grid.hourly_rain(rain, keys=["station_name"], value="rainfall").orderBy("hour").collect()
+    assert [(r.station_name, r.hourly_rain_sum) for r in hr] == [("Hefez Hayim", 2.0), ("Hefez Hayim", 0.0),
+                                                                  ("Hefez Hayim", 2.0)]
+    write(str(tmp_path / "sorek_2010_2019.csv"),
+          "1,17,x,Sorek,2020,01/02/2020 10:00:00,0.1,3.5,a,b,c\n1,17,x,Sorek,2020,01/02/2020 12:30:00,0.1,n/a,a,b,c\n")
+    fl = grid.hourly_flow(files.read_flow_csv(spark, str(tmp_path / "sorek_2010_2019.csv")),
+                          keys=["station_code"]).orderBy("hour").collect()
+    assert [r.flow for r in fl] == [3.5, 3.5, 3.5]
