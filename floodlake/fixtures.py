@@ -63,14 +63,32 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# The driver's tables are read-only, so the lazy readers and view plans are
+# built once per Spark application (file listing and schema inference
+# included) and reused by every query; no data is cached.
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _memo(spark: SparkSession, key: tuple, make) -> DataFrame:
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - remote session: key by the session only
+        app = None
+    k = (id(spark), app) + key
+    if k not in _PLANS:
+        _PLANS[k] = make()
+    return _PLANS[k]
+
+
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return _memo(spark, ("base", sf_dir, name), lambda: spark.read.parquet(table_path(sf_dir, name)))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Spark DataFrame of one adapter view over ``sf_dir``."""
     tables, sql = VIEWS[name]
-    return spark.sql(sql, **{t: base(spark, sf_dir, t) for t in tables})
+    return _memo(spark, ("view", sf_dir, name),
+                 lambda: spark.sql(sql, **{t: base(spark, sf_dir, t) for t in tables}))
 
 
 def duck_view_sql(name: str) -> str:
