@@ -103,7 +103,7 @@ def flood_sessions(df: DataFrame, threshold: float | Column, gap: str = EVENT_GA
     """
     keys = list(keys)
     thr = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    floods = df.filter(F.col(flow) > thr).withColumn("_hb", F.date_trunc("hour", order))
+    floods = df.filter(F.col(flow) > thr).withColumn("_hb", F.date_trunc("hour", order))  # internal key
     hours = floods.groupBy(*keys, "_hb").agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     w = Window.partitionBy(*keys).orderBy("_hb")
     prev = F.lag("_hi", 1).over(w)

@@ -12,6 +12,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
+
+
+def truncate(df: DataFrame, ts: str, unit: str = "hour") -> Column:
+    """``date_trunc`` that keeps a TIMESTAMP_NTZ column NTZ (``date_trunc``
+    itself returns TIMESTAMP, which would tie the result to the session
+    time zone)."""
+    c = F.date_trunc(unit, F.col(ts))
+    return c.cast("timestamp_ntz") if isinstance(df.schema[ts].dataType, TimestampNTZType) else c
 
 
 def hour_grid(df: DataFrame, keys: Sequence[str], hour: str = "hour") -> DataFrame:
@@ -43,7 +52,7 @@ def hourly_rain(df: DataFrame, keys: Sequence[str] = ("basin_id", "station_id"),
     series range without a reading get 0, 0. Duplicated input rows are
     not removed (they count twice, as in the source files)."""
     keys = list(keys)
-    agg = (df.withColumn("hour", F.date_trunc("hour", ts))
+    agg = (df.withColumn("hour", truncate(df, ts))
            .groupBy(*keys, "hour")
            .agg(F.sum(value).alias("_s"), F.max(value).alias("_m")))
     g = fill_gaps(agg, keys)
@@ -66,7 +75,7 @@ def hourly_flow(df: DataFrame, keys: Sequence[str] = ("basin_id",),
     A filled hour carries the value of the hour that opened the gap, so the
     forward fill is one more window on the same partitioning."""
     keys = list(keys)
-    agg = (df.withColumn("hour", F.date_trunc("hour", ts))
+    agg = (df.withColumn("hour", truncate(df, ts))
            .groupBy(*keys, "hour").agg(F.max(value).alias("_flow")))
     g = fill_gaps(agg, keys)
     return g.select(*keys, F.col("_h").alias("hour"),
@@ -77,7 +86,7 @@ def hour_coverage(df: DataFrame, keys: Sequence[str] = ("basin_id",),
                   ts: str = "measurement_time") -> DataFrame:
     """Dense grid with the number of readings in each hour (0 for a gap)."""
     keys = list(keys)
-    agg = (df.withColumn("hour", F.date_trunc("hour", ts))
+    agg = (df.withColumn("hour", truncate(df, ts))
            .groupBy(*keys, "hour").agg(F.count(F.lit(1)).alias("_n")))
     g = fill_gaps(agg, keys)
     return g.select(*keys, F.col("_h").alias("hour"),

@@ -419,7 +419,8 @@ def q_monthly_flatten(spark, d):
 
 @register("last_hour_rain")
 def q_last_hour_rain(spark, d):
-    v = view(spark, d, "v_rain").withColumn("day", F.date_trunc("day", "measurement_time"))
+    rain = view(spark, d, "v_rain")
+    v = rain.withColumn("day", grid.truncate(rain, "measurement_time", "day"))
     return rounded(live.last_hour_rain(v, ["station_id", "day"], ["measurement_time", "event_id"]))
 
 
