@@ -518,7 +518,8 @@ def q_basin_peak_flow(spark, d):
 
 @register("route_basin")
 def q_route_basin(spark, d):
-    return rounded(live.route_basin(peaks(spark, d), dims.routing(spark)))
+    routed = live.route_basin(peaks(spark, d), dims.routing(spark))
+    return rounded(routed.orderBy(F.col("flow_m3s").desc(), "sub_basin"))  # live listing, highest flow first
 
 
 @register("basin_threshold")
