@@ -139,3 +139,12 @@ def test_hour_grid_dense(spark):
     df = spark.createDataFrame(rows, "basin_id int, hour timestamp_ntz")
     got = {(r.basin_id, r.hour) for r in grid.hour_grid(df, ["basin_id"]).collect()}
     assert got == {(0, T0 + dt.timedelta(hours=i)) for i in range(6)} | {(1, T0 + dt.timedelta(hours=2))}
+
+
+def test_flow_distribution_approx_option(spark):
+    df = series(spark, list(range(1, 1001)))
+    exact = stats.flow_distribution(df).collect()[0]
+    approx = stats.flow_distribution(df, approx=True).collect()[0]
+    assert exact.median_flow == pytest.approx(500.5)
+    assert abs(approx.median_flow - exact.median_flow) <= 1.0
+    assert abs(approx.p99_flow - exact.p99_flow) <= 1.0 and approx.max_flow == exact.max_flow

@@ -91,3 +91,12 @@ def test_time_slice_inclusive(spark):
     df = spark.createDataFrame([(0, T + dt.timedelta(hours=i)) for i in range(10)], "basin_id int, hour timestamp_ntz")
     out = time_slice(df, "2024-01-01 02:00:00", "2024-01-01 05:00:00")
     assert out.count() == 4
+
+
+def test_feature_columns_and_union(spark):
+    from floodlake.operators.quality import union_files
+    df = frame(spark, 4)
+    cols = ml.feature_columns(df, target=("flow", "label"))
+    assert cols == FEATURE_NAMES
+    both = union_files([df.select("basin_id", "flow"), df.select("flow", "basin_id")])
+    assert both.count() == 8 and both.columns == ["basin_id", "flow"]
