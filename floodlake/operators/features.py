@@ -65,13 +65,22 @@ def rolling_sum(col: str, rows: int, shift: int = 1, keys: Sequence[str] = ("bas
     return F.when(F.count(col).over(w) == rows, F.sum(col).over(w))
 
 
+def _over(keys: Sequence[str], order: str = "hour", frame: str = "") -> str:
+    part = ", ".join(f"`{k}`" for k in keys)
+    return f"OVER (PARTITION BY {part} ORDER BY `{order}`{(' ' + frame) if frame else ''})"
+
+
+# The bulk feature projections are written as SQL expressions: one parse in
+# the JVM per column instead of many Python-to-JVM calls per Column, which
+# keeps plan construction cheap. They mean exactly what the Column helpers
+# above build.
+
 def flow_features(df: DataFrame, flow: str = "flow", keys: Sequence[str] = ("basin_id",)) -> DataFrame:
-    return df.select(
-        "*",
-        *lag_columns(flow, FLOW_LAGS, "Flow_lag", keys),
-        diff(flow, keys).alias("Flow_Rate_of_Change"),
-        active_flag(flow, ACTIVE_FLOW, keys).alias("Flow_Is_Active"),
-    )
+    w = _over(keys)
+    exprs = [f"lag(`{flow}`, {n}) {w} AS Flow_lag{n}h" for n in FLOW_LAGS]
+    exprs.append(f"`{flow}` - lag(`{flow}`, 1) {w} AS Flow_Rate_of_Change")
+    exprs.append(f"coalesce(CAST(lag(`{flow}`, 1) {w} > {ACTIVE_FLOW!r}D AS INT), 0) AS Flow_Is_Active")
+    return df.select("*", *[F.expr(e) for e in exprs])
 
 
 def ewm(df: DataFrame, col: str, out: str, alpha: float = EWM_ALPHA, shift: int = 1,
@@ -130,19 +139,23 @@ def rain_features(df: DataFrame, keys: Sequence[str] = ("basin_id",), extra: Seq
     """Rolling rain, rain and intensity lags, acceleration, seasonality;
     soil moisture is added by ``ewm`` (it needs its own block windows).
     ``extra`` columns ride along in the same projection."""
-    w = series_window(keys)
-    lags = []
+    w = _over(keys)
+    exprs = []
+    for n in ROLLING_HOURS:
+        fw = _over(keys, frame=f"ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING")
+        exprs.append(f"CASE WHEN count(Basin_Rain_Mean) {fw} = {n} THEN sum(Basin_Rain_Mean) {fw} END "
+                     f"AS Rolling_Rain_{n}h")
     for n in RAIN_LAGS:
-        lags.append(F.lag("Basin_Rain_Mean", n).over(w).alias(f"Basin_Rain_lag{n}h"))
-        lags.append(F.lag("Basin_Intensity_Max", n).over(w).alias(f"Basin_Intensity_lag{n}h"))
-    return df.select(
-        "*",
-        *[rolling_sum("Basin_Rain_Mean", n, 1, keys).alias(f"Rolling_Rain_{n}h") for n in ROLLING_HOURS],
-        *lags,
-        diff("Basin_Rain_Mean", keys).alias("Rain_Acceleration"),
-        *seasonality("hour"),
-        *extra,
-    )
+        exprs.append(f"lag(Basin_Rain_Mean, {n}) {w} AS Basin_Rain_lag{n}h")
+        exprs.append(f"lag(Basin_Intensity_Max, {n}) {w} AS Basin_Intensity_lag{n}h")
+    exprs.append(f"Basin_Rain_Mean - lag(Basin_Rain_Mean, 1) {w} AS Rain_Acceleration")
+    two_pi = f"{2 * 3.141592653589793!r}D"
+    exprs += [f"sin({two_pi} * month(hour) / 12) AS Month_Sin", f"cos({two_pi} * month(hour) / 12) AS Month_Cos",
+              f"sin({two_pi} * hour(hour) / 24) AS Hour_Sin", f"cos({two_pi} * hour(hour) / 24) AS Hour_Cos",
+              "CAST(month(hour) IN (10, 11) AS INT) AS Is_Early_Winter",
+              "CAST(month(hour) IN (12, 1, 2) AS INT) AS Is_Peak_Winter",
+              "CAST(month(hour) IN (6, 7, 8, 9) AS INT) AS Is_Summer"]
+    return df.select("*", *[F.expr(e) for e in exprs], *extra)
 
 
 def suspicious_hours(flow: str = "flow", flow_min: float = SUSPICIOUS_FLOW,
