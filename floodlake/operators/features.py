@@ -104,12 +104,10 @@ def ewm(df: DataFrame, col: str, out: str, alpha: float = EWM_ALPHA, shift: int
     ends = (x.groupBy(*keys, "_blk")
             .agg(F.max_by("_loc", "_p").alias("L"), F.count(F.lit(1)).alias("n")))
     # carry into block k = value at the end of block k-1 (a short fold per series)
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("_blk", "L", "n"))),
-        F.struct(F.array().cast("array<double>").alias("c"), F.lit(0.0).alias("y")),
-        lambda acc, e: F.struct(
-            F.concat(acc["c"], F.array(acc["y"])).alias("c"),
-            (F.pow(F.lit(beta), e["n"]) * acc["y"] + e["L"]).alias("y")))["c"]
+    fold = F.expr(
+        "aggregate(array_sort(collect_list(struct(_blk, L, n))), "
+        "named_struct('c', CAST(array() AS ARRAY<DOUBLE>), 'y', CAST(0 AS DOUBLE)), "
+        f"(acc, e) -> named_struct('c', concat(acc.c, array(acc.y)), 'y', pow({beta!r}D, e.n) * acc.y + e.L)).c")
     carries = (ends.groupBy(*keys).agg(fold.alias("_c"))
                .select(*keys, F.posexplode("_c").alias("_blk", "_carry")))
     y = F.col("_loc") + F.pow(beta, F.col("_p") + 1) * F.coalesce("_carry", F.lit(0.0))
