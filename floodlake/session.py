@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -52,8 +53,11 @@ def build_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``;
-    only when it is unset (tests, a laptop) fall back to a scratch folder."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a single-machine master (``local[...]``: tests, a laptop) may run
+    without it and then gets a scratch folder; on a cluster every executor
+    would write to its own disk, so a missing setting is an error."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - no JVM context (remote session): use the setting as is
@@ -63,6 +67,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master if sc is not None else ""
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="floodlake-ckpt-")
     if sc is None:
         return configured
@@ -70,13 +77,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared checkpoint folder, marked for
+    removal when the application ends (results may still read it until then)."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", name, uuid.uuid4().hex)
+    try:
+        jvm = spark.sparkContext._jvm
+    except Exception:  # noqa: BLE001 - remote session: the folder's own retention applies
+        return path
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return path
+
+
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and
     read it back: later consumers start from this table (column pruning and
     filter pushdown included) instead of replaying the lineage, and the
     files survive the loss of any executor."""
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", name, uuid.uuid4().hex)
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
