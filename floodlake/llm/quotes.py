@@ -28,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, wrap
@@ -74,16 +74,18 @@ def parse_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
 _PARSED = "own string, said array<string>, quoted array<struct<level int, passage int, chars int, sentence string>>"
 
 
-@F.pandas_udf(f"struct<{_PARSED}>")
-def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        out = []
-        for text in texts:
-            own, passages = parse_quotes(text or "")
-            out.append((own if text is not None else None, sorted(set(sentences(own))),
-                        [{"level": level, "passage": k, "chars": len(s), "sentence": s}
-                         for k, (level, passage) in enumerate(passages) for s in sentences(passage)]))
-        yield pd.DataFrame(out, columns=["own", "said", "quoted"])
+def _parse(text: Column) -> Column:
+    @F.pandas_udf(f"struct<{_PARSED}>")
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                own, passages = parse_quotes(t or "")
+                out.append((own if t is not None else None, sorted(set(sentences(own))),
+                            [{"level": level, "passage": k, "chars": len(s), "sentence": s}
+                             for k, (level, passage) in enumerate(passages) for s in sentences(passage)]))
+            yield pd.DataFrame(out, columns=["own", "said", "quoted"])
+    return parse(text)
 
 
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
