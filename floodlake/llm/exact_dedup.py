@@ -30,8 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, cut_lineage, scratch_folder, strip_chars
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: state on disk, without files of some MB allocated ahead in every partition
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -47,12 +51,14 @@ def with_digest(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
 
 @contextmanager
 def _rocksdb(spark: SparkSession):
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def feed_state(stream: DataFrame, state_dir: str) -> None:
@@ -66,7 +72,8 @@ def feed_state(stream: DataFrame, state_dir: str) -> None:
 
 def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
     """digest, group_size, keep_id, keep_locator of every digest ever fed."""
-    state = spark.read.format("statestore").load(state_dir)
+    with _rocksdb(spark):
+        state = cut_lineage(spark.read.format("statestore").load(state_dir), "dedup_state")
     value = state.schema["value"].dataType
     n, best = (f"value.`{f.name}`" for f in value.fields)
     return state.select("key.digest", F.col(n).alias("group_size"), (-F.col(f"{best}.neg_id")).alias("keep_id"),
@@ -82,7 +89,7 @@ def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFra
     landed.write.parquet(feed_dir)
     feed = spark.read.schema(landed.schema).parquet(feed_dir)
     feed_state(spark.readStream.schema(landed.schema).parquet(feed_dir), state_dir)
-    state = cut_lineage(read_state(spark, state_dir), "dedup_groups")
+    state = read_state(spark, state_dir)
     clash = cut_lineage(_clashes(docs, feed, state, ident, text), "dedup_clashes")
     groups = feed.select("doc_id", "digest", "n_chars").join(state, "digest")
     if not clash.isEmpty():
