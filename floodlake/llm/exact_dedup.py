@@ -102,7 +102,8 @@ def _clashes(docs: DataFrame, feed: DataFrame, state: DataFrame, ident: str, tex
     """Digests whose documents differ in their full bytes."""
     hits = feed.join(state.where("group_size > 1").select("digest"), "digest", "left_semi").select("doc_id").distinct()
     texts = docs.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    again = (texts.join(hits, texts.doc_id.eqNullSafe(hits.doc_id), "left_semi")
+    # the hits grow with the corpus: a merge join at every size, not a broadcast while they are few
+    again = (texts.join(hits.hint("merge"), texts.doc_id.eqNullSafe(hits.doc_id), "left_semi")
              .select(normalised(F.col("text")).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256))))
     return (again.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
             .where("low <> high").select("digest"))
