@@ -4,11 +4,11 @@ Every document gives a digest (SHA-256 of its text without blanks). A
 Structured Streaming aggregation keeps one state per digest, on disk
 (RocksDB), without a watermark, so nothing ever expires: how many documents
 had it, and which one stays (most characters, then smallest id) with its
-locator (the file it came from). Documents may arrive in any number of
+locator (with the id it finds the content). Documents may arrive in any number of
 batches; feeding more later continues the same state.
 
 A digest that was hit again is checked by its full bytes: the texts of its
-documents are fetched by id and file, and the smallest and the largest
+documents are fetched by id and locator, and the smallest and the largest
 normalised text per digest must be equal. That is an aggregate with partial
 results, so a group that holds a third of all rows is reduced in every task
 first. Should two texts share a digest, the group is split by text.
@@ -42,11 +42,16 @@ def normalised(text: Column) -> Column:
     return strip_chars(F.coalesce(text, F.lit("")), BLANKS)
 
 
+def locator(text: Column) -> Column:
+    """Finds a row's content among the rows of its id: the hash of its text as it is."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def with_digest(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, digest, n_chars, locator; works on a batch and on a stream."""
     t = F.col(f"`{text}`")
     return docs.select(F.col(f"`{ident}`").alias("doc_id"), F.unhex(F.sha2(normalised(t), 256)).alias("digest"),
-                       F.length(F.coalesce(t, F.lit(""))).cast("long").alias("n_chars"), F.input_file_name().alias("locator"))
+                       F.length(F.coalesce(t, F.lit(""))).cast("long").alias("n_chars"), locator(t).alias("locator"))
 
 
 @contextmanager
@@ -100,10 +105,10 @@ def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFra
 
 def _clashes(docs: DataFrame, feed: DataFrame, state: DataFrame, ident: str, text: str) -> DataFrame:
     """Digests whose documents differ in their full bytes."""
-    hits = feed.join(state.where("group_size > 1").select("digest"), "digest", "left_semi").select("doc_id").distinct()
-    texts = docs.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    hits = feed.join(state.where("group_size > 1").select("digest"), "digest", "left_semi").select("doc_id", "locator").distinct()
+    texts = docs.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), locator(F.col(f"`{text}`")).alias("locator"))
     # the hits grow with the corpus: a merge join at every size, not a broadcast while they are few
-    again = (texts.join(hits.hint("merge"), texts.doc_id.eqNullSafe(hits.doc_id), "left_semi")
+    again = (texts.join(hits.hint("merge"), texts.doc_id.eqNullSafe(hits.doc_id) & (texts.locator == hits.locator), "left_semi")
              .select(normalised(F.col("text")).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256))))
     return (again.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
             .where("low <> high").select("digest"))
@@ -112,11 +117,11 @@ def _clashes(docs: DataFrame, feed: DataFrame, state: DataFrame, ident: str, tex
 def _split(docs: DataFrame, groups: DataFrame, clash: DataFrame, ident: str, text: str) -> DataFrame:
     """Groups again, by full text for the digests in ``clash``."""
     mine = (docs.select(F.col(f"`{ident}`").alias("doc_id"), normalised(F.col(f"`{text}`")).alias("body"),
-                        F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("n_chars"))
+                        F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("n_chars"), locator(F.col(f"`{text}`")).alias("locator"))
             .withColumn("digest", F.unhex(F.sha2("body", 256))).join(clash, "digest", "left_semi"))
     by_text = mine.groupBy("digest", "body").agg(
-        F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"))).alias("best"))
+        F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), "locator")).alias("best"))
     split = (mine.join(by_text, ["digest", "body"])
              .select("digest", "doc_id", "n_chars", "group_size", (-F.col("best.neg_id")).alias("keep_id"),
-                     F.lit(None).cast("string").alias("keep_locator")))
+                     F.col("best.locator").alias("keep_locator")))
     return groups.join(clash, "digest", "left_anti").unionByName(split)

@@ -38,8 +38,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def repeated_words(words: Column) -> Column:
     """Number of words inside 3-word windows that occur twice or more: sort
     the window hashes with their places, keep those equal to a neighbour, and
-    count the places they cover. Windows are compared by two 32-bit-seeded
-    64-bit hashes' worth of words (xxHash64 of the three words)."""
+    count the places they cover. Within one text, windows are told apart by the
+    64-bit hash of their words."""
     windows = lambda w: F.array_sort(F.transform(
         F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
         lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
@@ -75,11 +75,11 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     m = F.col("f") / F.col("n")
     # weighted variance of the host rates, less what drawing n documents adds to it
     v = F.col("ss") / F.col("n") - m * m - m * (1 - m) * F.col("hosts") / F.col("n")
-    prior = total.select(m.alias("m"), F.when(v > 0, F.greatest(m * (1 - m) / v - 1, F.lit(0.0))).otherwise(FIRM).alias("k"))
-    rate = (f + F.col("k") * F.col("m")) / (n + F.col("k"))
-    # the prior is one row: attached to every host by a constant key
-    return (by.withColumn("one", F.lit(1)).join(F.broadcast(prior.withColumn("one", F.lit(1))), "one")
-            .select("host", "host_docs", rate.alias("host_rate"), (rate < limit).alias("host_ok")))
+    # two numbers for the whole corpus
+    prior = total.select(m.alias("m"), F.when(v > 0, F.greatest(m * (1 - m) / v - 1, F.lit(0.0))).otherwise(FIRM).alias("k")).first()
+    mean, k = (F.lit(x).cast("double") for x in prior)
+    rate = (f + k * mean) / (n + k)
+    return by.select("host", "host_docs", rate.alias("host_rate"), (rate < limit).alias("host_ok"))
 
 
 def judge_quality(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT,
