@@ -5,7 +5,10 @@ writes every result as Parquet to the shared checkpoint folder and reads it
 back as the next stage's documents. All stages but the last keep the columns
 of their input, whatever else it holds; rows with null columns, empty and
 very long texts, repeated rows and empty tables pass through as the operators
-define them."""
+define them.
+
+The ids that a deduplication keeps or drops grow with the corpus, so they
+meet the documents in merge joins at every size, never in broadcasts."""
 
 from __future__ import annotations
 
@@ -30,7 +33,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays = exact_dedup.dedup(docs).where("kept").select(key, "digest")
     rows = wrap(docs).select("row", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")).alias("key"),
                              F.unhex(F.sha2(exact_dedup.normalised(F.col("row.text")), 256)).alias("digest"))
-    return unwrap(rows.join(stays, ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"]))
+    return unwrap(rows.join(stays.hint("merge"), ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"]))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +41,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     goes = (simhash.near_duplicates(docs).where("doc_id <> component_id")
             .select(F.col("doc_id").alias("id")).distinct())
     rows = wrap(docs)
-    return unwrap(rows.join(goes, F.col("row.doc_id") == F.col("id"), "left_anti"))
+    return unwrap(rows.join(goes.hint("merge"), F.col("row.doc_id") == F.col("id"), "left_anti"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
