@@ -18,7 +18,7 @@ three bytes), its output the text completed so far. Bytes that are not UTF-8
 become U+FFFD.
 
 Both are exact for texts of any length, need memory bounded by ``KEEP``
-entries each (the tables start afresh beyond it, results stay the same), run
+(or twice as many) entries each (the tables start afresh beyond it, results stay the same), run
 per document and shuffle nothing.
 
 Defined cases: null text counts as empty (no ids); empty tables give empty
@@ -39,7 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: entries kept in each lazily filled table of a Python worker
-KEEP = 600_000
+KEEP = 150_000
+#: rows handled at a time, so that a worker holds little beside its tables
+ROWS = 500
 #: longer pieces are not kept whole but always run through the transducer
 LONG_PIECE = 48
 #: bytes between two looks for tokens that can be emitted; tokens decoded at a time
@@ -77,7 +79,7 @@ class Pieces(dict):
     def __missing__(self, text: str) -> bytes:
         ids = pack(self.piece(text.encode("utf-8")))
         if len(text) <= LONG_PIECE:
-            if len(self) >= KEEP:
+            if len(self) >= 2 * KEEP:
                 self.clear()
             self[text] = ids
         return ids
@@ -94,7 +96,7 @@ class Encoder:
         self.partial = {t[:k] for t in ranks for k in range(len(t) + 1)}
         self.bytes = [bytes((b,)) for b in range(256)]
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces = Pieces(self.piece)
         self._reset()
 
@@ -102,6 +104,7 @@ class Encoder:
         self.numbers: dict[tuple, int] = {((None, b""),): 0}
         self.states = list(self.numbers)
         self.moves: dict[int, tuple[int, int]] = {}
+        self.shared: dict[tuple, tuple] = {}    # states hold the same few hypotheses
 
     def _split(self, tok: int) -> tuple[int, int] | None:
         """The two tokens whose merge made ``tok``; None for a single byte."""
@@ -137,22 +140,24 @@ class Encoder:
                 return True
 
     def _fits(self, left: int, right: int) -> bool:
-        ok = self.pairs.get((left, right))
+        key = left << 32 | right
+        ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) >= 2 * KEEP:
                 self.pairs.clear()
-            ok = self.pairs[left, right] = self._survives(left, right)
+            ok = self.pairs[key] = self._survives(left, right)
         return ok
 
     def _move(self, number: int, byte: int) -> tuple[int, int]:
         """Next state and the token that ends at this byte."""
         live = []
         ended = None
-        b, partial, ranks = self.bytes[byte], self.partial, self.ranks
+        b, partial, ranks, shared = self.bytes[byte], self.partial, self.ranks, self.shared
         for last, part in self.states[number]:
             part = part + b
             if part in partial:
-                live.append((last, part))
+                held = (last, part)
+                live.append(shared.setdefault(held, held))
                 if ended is None:
                     tok = ranks.get(part)
                     if tok is not None and (last is None or self._fits(last, tok)):
@@ -256,7 +261,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(files.value, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [enc.encode_bytes(t or "") for t in _strings(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())],
                                              names=[*batch.schema.names[:-1], "ids"])
@@ -276,7 +281,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = _decoder(files.value)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [dec.decode(np.frombuffer(x.as_buffer() or b"", "<u4").tolist() if x.is_valid else ())
                      for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
@@ -286,5 +291,11 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
     return df.mapInArrow(run, out)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _strings(column: pa.Array) -> Iterator[str | None]:
     return (x.as_py() for x in column)
