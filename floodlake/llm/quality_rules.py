@@ -92,6 +92,7 @@ def judge_quality(docs: DataFrame, text: str = "text", host: str = "source", lim
     judged = cut_lineage(
         src.select(row.alias("row"), F.col(f"row.`{host}`").alias("host"), text_stats(F.col(f"row.`{text}`")).alias("s"))
         .select("row", "host", "s.*", base_failed(F.col("s")).alias("base_failed")), "quality")
-    hosts = host_verdicts(judged.select("host", "base_failed"), limit).withColumnRenamed("host", "h")
+    # written first, so that the join knows its size: texts are not shuffled by host while the verdicts are few
+    hosts = cut_lineage(host_verdicts(judged.select("host", "base_failed"), limit).withColumnRenamed("host", "h"), "quality_hosts")
     return (judged.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left")
             .select("row", "host", *STATS, "base_failed", "host_rate", (~F.col("base_failed") & F.col("host_ok")).alias("kept")))
