@@ -53,7 +53,9 @@ def station_from_file(path: Column) -> Column:
     parts = F.split(stem, "_")
     kept = F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0)))
     name = F.array_join(kept, " ")
-    return F.initcap(F.when(F.length(name) > 0, name).otherwise(F.element_at(parts, 1)))
+    name = F.when(F.length(name) > 0, name).otherwise(F.element_at(parts, 1))
+    # title case: every run of letters starts with a capital, also behind a hyphen
+    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1)), F.initcap), "")
 
 
 def basin_from_file(path: Column, part: int = 1) -> Column:
@@ -62,7 +64,7 @@ def basin_from_file(path: Column, part: int = 1) -> Column:
     upper, the rest lower."""
     base = F.element_at(F.split(path, "/"), -1)
     p = F.element_at(F.split(base, "_"), part)
-    return F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, F.length(p))))
 
 
 def last_updated(date: Column, time: Column) -> Column:

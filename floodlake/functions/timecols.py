@@ -32,8 +32,8 @@ def parse_time(c: Column, patterns: Sequence[str]) -> Column:
 def window_start(ts: Column) -> Column:
     """Start of the 6-hour forecast window holding ``ts`` (03, 09, 15, 21;
     before 03:00 it is 21:00 of the previous day)."""
-    shifted = ts - F.expr(f"INTERVAL {WINDOW_OFFSET_HOURS} HOURS")
-    day = F.date_trunc("day", shifted)
+    shifted = ts.cast("timestamp_ntz") - F.expr(f"INTERVAL {WINDOW_OFFSET_HOURS} HOURS")
+    day = F.to_date(shifted).cast("timestamp_ntz")   # no zone, so no hour is lost on the day the clock changes
     k = F.floor(F.hour(shifted) / WINDOW_HOURS).cast("int")
     return (day + F.make_dt_interval(hours=k * WINDOW_HOURS + WINDOW_OFFSET_HOURS)).cast("timestamp_ntz")
 

@@ -141,7 +141,7 @@ def peak_hydrograph(df: DataFrame, days: int = HYDROGRAPH_DAYS, flow: str = "flo
                     keys: Sequence[str] = ("basin_id",), order: str = "hour") -> DataFrame:
     """Series within +-``days`` of the time of maximum flow (first of ties)."""
     keys = list(keys)
-    peak = df.groupBy(*keys).agg(
+    peak = df.where(F.col(flow).isNotNull()).groupBy(*keys).agg(
         F.min_by(order, F.struct((-F.col(flow)).alias("f"), F.col(order).alias("t"))).alias("peak_time"))
     peak = F.broadcast(peak)  # one row per key
     lo = F.col("peak_time") - F.expr(f"INTERVAL {days} DAYS")

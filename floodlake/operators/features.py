@@ -7,6 +7,7 @@ exchange and one sort for the whole feature set.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +36,13 @@ FEATURE_NAMES = [
 FLOW_FEATURES = ["Flow_lag1h", "Flow_lag2h", "Flow_lag3h", "Flow_lag6h", "Flow_lag12h",
                  "Flow_lag24h", "Flow_Rate_of_Change", "Flow_Is_Active"]
 
-EWM_BLOCK = 512
+#: rows of an EWM block at most; the weights inside must stay in a double's range
+EWM_BLOCK, EWM_EXPONENT = 512, 600.0
+
+
+def ewm_block(alpha: float) -> int:
+    """Rows of a block whose weights (1 - alpha)^-p stay below e^600."""
+    return EWM_BLOCK if alpha <= 0 else 1 if alpha >= 1 else max(1, min(EWM_BLOCK, int(EWM_EXPONENT / -math.log1p(-alpha))))
 
 
 def series_window(keys: Sequence[str] = ("basin_id",), order: str = "hour") -> Window:
@@ -84,7 +91,7 @@ def flow_features(df: DataFrame, flow: str = "flow", keys: Sequence[str] = ("bas
 
 
 def ewm(df: DataFrame, col: str, out: str, alpha: float = EWM_ALPHA, shift: int = 1,
-        keys: Sequence[str] = ("basin_id",), order: str = "hour", block: int = EWM_BLOCK) -> DataFrame:
+        keys: Sequence[str] = ("basin_id",), order: str = "hour", block: int | None = None) -> DataFrame:
     """Exponentially weighted mean, ``adjust=False`` (y0 = x0,
     y_t = (1-a) y_{t-1} + a x_t), shifted ``shift`` rows.
 
@@ -94,6 +101,7 @@ def ewm(df: DataFrame, col: str, out: str, alpha: float = EWM_ALPHA, shift: int
     """
     keys = list(keys)
     beta = 1.0 - alpha
+    block = block or ewm_block(alpha)
     w = Window.partitionBy(*keys).orderBy(order)
     r = F.row_number().over(w) - 1
     x = df.select("*", r.alias("_r"), F.floor(r / block).alias("_blk"), (r % block).alias("_p"))

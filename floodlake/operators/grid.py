@@ -19,8 +19,15 @@ def truncate(df: DataFrame, ts: str, unit: str = "hour") -> Column:
     """``date_trunc`` that keeps a TIMESTAMP_NTZ column NTZ (``date_trunc``
     itself returns TIMESTAMP, which would tie the result to the session
     time zone)."""
-    c = F.date_trunc(unit, F.col(ts))
-    return c.cast("timestamp_ntz") if isinstance(df.schema[ts].dataType, TimestampNTZType) else c
+    c = F.col(ts)
+    if not isinstance(df.schema[ts].dataType, TimestampNTZType):
+        return F.date_trunc(unit, c)
+    day = F.to_date(c).cast("timestamp_ntz")
+    if unit == "day":
+        return day
+    if unit == "hour":
+        return day + F.make_dt_interval(hours=F.hour(c))
+    raise ValueError(f"hour or day, not {unit}")
 
 
 def hour_grid(df: DataFrame, keys: Sequence[str], hour: str = "hour") -> DataFrame:

@@ -80,7 +80,8 @@ def basin_peak_flow(first_obs: DataFrame, names: DataFrame, order: str = "feed_i
     """Map raw station names to sub-basins (unmapped dropped) and keep the
     largest flow per sub-basin with its time and raw name; on equal flows
     the station earlier in the feed (``order``) wins."""
-    mapped = first_obs.join(F.broadcast(names), "raw_name")  # fixed-size dimension
+    # an unparsable flow is no flow; the names are a fixed-size dimension
+    mapped = first_obs.where(F.col("flow_m3s").isNotNull()).join(F.broadcast(names), "raw_name")
     g = mapped.groupBy("sub_basin").agg(F.min_by(
         F.struct("flow_m3s", "last_updated", "raw_name"),
         F.struct((-F.col("flow_m3s")).alias("f"), F.col(order).alias("o"))).alias("_b"))

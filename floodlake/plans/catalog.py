@@ -525,7 +525,10 @@ def q_route_basin(spark, d):
 @register("basin_threshold")
 def q_basin_threshold(spark, d):
     routed = live.route_basin(peaks(spark, d), dims.routing(spark)).filter(F.col("model_basin").isNotNull())
-    out = dims.basin_threshold(routed.select("sub_basin", F.col("model_basin").alias("basin")), spark, "v3")
+    # thresholds are keyed by the name that a dataset's file name yields
+    key = basin_from_file(F.concat(F.lit("Flood_"), F.replace(F.col("model_basin"), F.lit(" "), F.lit("_"))), 2)
+    named = routed.select("sub_basin", F.col("model_basin").alias("basin"), key.alias("file_basin"))
+    out = dims.basin_threshold(named, spark, "v3", basin="file_basin")
     return rounded(out.select("sub_basin", "basin", "threshold"))
 
 
@@ -643,7 +646,7 @@ def q_name_from_file(spark, d):
 def landed_rain(spark, d) -> tuple[str, object]:
     rows = view(spark, d, "v_rain").select("event_id", "station_id", "measurement_time", "rain_amount_mm", "status")
     path = streams.scratch_path(spark, "landing", "rain")
-    rows.repartitionByRange(4, "measurement_time").write.parquet(path)
+    rows.repartitionByRange("measurement_time").write.parquet(path)
     return path, rows.schema
 
 
@@ -684,7 +687,6 @@ def q_stream_insert_once(spark, d):
 
 
 # --------------------------------------------------------------- models
-FIXTURE_BASINS = [0, 1]   # the adapter views put every station in basin 0 or 1
 LEAKY_SAME_HOUR = ["Flow_Rate_of_Change"]  # flow = lag1 + rate of change: dropped for same-hour targets
 
 
@@ -699,11 +701,16 @@ def model_frame(spark, d):
     return events.time_split(events.label_now(fc, FIXTURE_FLOOD_LEVEL, out="label"), FIXTURE_SPLIT_AT)
 
 
+def basins_of(frame) -> list:
+    """The basins of the data: one row each, for one model each."""
+    return [r[0] for r in frame.select("basin_id").distinct().orderBy("basin_id").collect()]
+
+
 def rf_models(spark, d):
     frame = cut_lineage(model_frame(spark, d))  # features materialized once for all fits
     names = [n for n in feat.FEATURE_NAMES if n not in LEAKY_SAME_HOUR]
     out = []
-    for b in FIXTURE_BASINS:   # one model per basin, each fit distributed
+    for b in basins_of(frame):   # one model per basin, each fit distributed
         part = frame.filter(F.col("basin_id") == b)
         model = ml.train_rf(part.filter(F.col("split") == "train"), names)
         out.append((b, model, names, part))
@@ -735,7 +742,7 @@ def q_flow_model_gbt(spark, d):
     """Boosted flow regressor per basin, early-stopped on the test period:
     MAE, RMSE, R2 and the flood-hour report."""
     fc = feat.clean_features(merged(spark, d))
-    out = models.flow_regressor(fc, FIXTURE_BASINS, FIXTURE_FLOOD_LEVEL, FIXTURE_SPLIT_AT)
+    out = models.flow_regressor(fc, basins_of(fc), FIXTURE_FLOOD_LEVEL, FIXTURE_SPLIT_AT)
     result = None
     for b, r in out.items():
         part = r["metrics"].join(r["flood"], "basin_id").withColumn(

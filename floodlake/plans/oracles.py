@@ -619,7 +619,8 @@ def _thresholds(version: str) -> str:
 FRAG["fthr3"] = _thresholds("v3")
 oracle("basin_threshold", f"""
 SELECT p.sub_basin, r.model_basin AS basin, {r6('coalesce(t.threshold, 5.0)', 'threshold')}
-FROM fpeak p JOIN froute r ON r.sub_basin = p.sub_basin LEFT JOIN fthr3 t ON t.basin = r.model_basin""",
+FROM fpeak p JOIN froute r ON r.sub_basin = p.sub_basin LEFT JOIN fthr3 t
+  ON t.basin = upper(substr(split_part(r.model_basin, ' ', 1), 1, 1)) || lower(substr(split_part(r.model_basin, ' ', 1), 2))""",
        "fpeak", "froute", "fthr3")
 
 # ------------------------------------------------- warnings and digests

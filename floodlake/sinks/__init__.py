@@ -13,13 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.live import upsert_new
-
-
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the table does not exist yet
-        return None
+from ..session import read_if_there
 
 
 def insert_new(df: DataFrame, target_path: str, stations: DataFrame,
@@ -33,7 +27,7 @@ def insert_new(df: DataFrame, target_path: str, stations: DataFrame,
     the batch are read back for the key check (see ``upsert_new``)."""
     spark = df.sparkSession
     batch = df.withColumn(day_col, F.to_date(time_col))
-    existing = _read_or_none(spark, target_path)
+    existing = read_if_there(spark, target_path)
     target = existing if existing is not None else batch.limit(0)
     new = upsert_new(batch, target, stations, list(keys) + [day_col], prune_by=day_col)
     if existing is not None:

@@ -100,7 +100,10 @@ def parse_flow_feed(text: Column) -> Column:
 
 
 def read_flow_feed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FLOW_STATION).option("multiLine", True).json(path)
+    """One row per station with ``feed_id``, its position in the feed's array."""
+    feed = F.from_json("value", ArrayType(FLOW_STATION))
+    return (spark.read.text(path, wholetext=True).select(F.posexplode(feed).alias("feed_id", "s"))
+            .select("feed_id", "s.*"))
 
 
 # ----------------------------------------------------- XML feeds

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, read_if_there
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
@@ -108,13 +108,11 @@ def idempotent_insert(target_path: str, keys: Sequence[str], time_col: str = "me
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         first = batch.withColumn(day_col, F.to_date(time_col)).dropDuplicates(list(keys))
-        try:
-            existing = spark.read.parquet(target_path).select(*keys, day_col)
+        existing = read_if_there(spark, target_path)
+        if existing is not None:
             days = F.broadcast(first.select(day_col).distinct())   # days of this micro-batch
-            existing = existing.join(days, day_col, "left_semi")    # pruned to those partitions
+            existing = existing.select(*keys, day_col).join(days, day_col, "left_semi")    # pruned to those partitions
             first = first.join(existing, list(keys) + [day_col], "left_anti")
-        except Exception:  # noqa: BLE001 - no target yet
-            pass
         first.write.mode("append").partitionBy(day_col).parquet(target_path)
     return fn
 
