@@ -10,8 +10,9 @@ label, by gradient ascent on the exact conditional likelihood
 (forward-backward gives the expected counts). A document's score is the mean
 of its lines' forward-backward marginals, weighted by line length.
 
-The sample is bounded: the ``RUNS`` runs of smallest hash among all labelled
-documents' runs, features only (at most RUNS x RUN x 20 numbers). Scoring
+The sample is bounded: the ``DOCS`` labelled documents of smallest id hash,
+drawn by their ids alone, and the ``RUNS`` runs of smallest hash among theirs,
+features only (at most RUNS x RUN x 20 numbers). Scoring
 reads whole texts, each chain in full.
 
 With two labels a message of the chain is one number, the log-odds, and all
@@ -33,8 +34,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: bounds of the training sample: runs, and lines of a run
-RUNS, RUN = 8000, 32
+from .common import cut_lineage
+
+#: bounds of the training sample: documents, runs of them, and lines of a run
+DOCS, RUNS, RUN = 3000, 8000, 32
 STEPS, RATE, DECAY = 250, 0.1, 2e-4
 
 _ALL = bytes(range(256))
@@ -162,7 +165,7 @@ def train(runs: Sequence[tuple[np.ndarray, int]], steps: int = STEPS) -> LineFie
 
 
 def sample_runs(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "quality",
-                runs: int = RUNS) -> list[tuple[np.ndarray, int]]:
+                docs_bound: int = DOCS, runs: int = RUNS) -> list[tuple[np.ndarray, int]]:
     """The training sample: runs of lines with their document's label."""
     @F.pandas_udf("array<struct<k int, x binary>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -175,7 +178,10 @@ def sample_runs(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text:
 
     marked = labels.select(F.col(f"`{ident}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)")
     src = docs.select(F.col(f"`{ident}`").alias("i"), F.col(f"`{text}`").alias("text"))
-    rows = (src.join(marked, "i").select("i", "y", F.explode(cut("text")).alias("r"))
+    # draw by id first: a bounded, written table, so the texts of all others stay where they are
+    drawn = cut_lineage(src.select("i").join(marked, "i").orderBy(F.md5(F.col("i").cast("string")), "i", "y").limit(docs_bound)
+                        .distinct(), "crf_sample")
+    rows = (src.join(F.broadcast(drawn), "i").select("i", "y", F.explode(cut("text")).alias("r"))
             .select("y", "r.x", F.md5(F.concat_ws("/", F.col("i").cast("string"), F.col("r.k").cast("string"))).alias("key"))
             .orderBy("key", "y", "x").limit(runs).collect())
     return [(np.frombuffer(r["x"], np.float32).reshape(-1, N_LINE), r["y"]) for r in rows]
