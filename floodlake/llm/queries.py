@@ -99,7 +99,7 @@ def _url_sql() -> str:
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(rest, '') AS rest FROM cut)),
-r AS (SELECT *, CASE {rule} END AS rule, array_to_string(list_filter([{globs}], g -> g IS NOT NULL), ',') AS globs FROM hp)
+r AS (SELECT *, CASE {rule} END AS rule, array_to_string(list_filter([{globs}], lambda g: g IS NOT NULL), ',') AS globs FROM hp)
 SELECT page_id, host, path, rule, CASE {verdict} WHEN globs <> '' THEN 'block' ELSE 'allow' END AS verdict, globs FROM r"""
 
 
@@ -107,8 +107,8 @@ _BLANK = r"[\x20\x09-\x0D]"
 _SYMBOLS = r"[^#*$%&|<>]"
 _QUALITY_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT rid, doc_id, source, text, list_filter(regexp_split_to_array(text, '{_BLANK}+'), x -> x <> '') AS ws,
-  list_filter(string_split(text, chr(10)), x -> regexp_replace(x, '{_BLANK}', '', 'g') <> '') AS ls FROM d),
+w AS (SELECT rid, doc_id, source, text, list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{_BLANK}', '', 'g') <> '') AS ls FROM d),
 tri AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM tri) WHERE n > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid),
