@@ -51,8 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with digests of the ids and of the decoded text."""
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
-    return bpe.decode(ids, RANKS).select(
+    return bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source")).select(
         "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -44,6 +44,8 @@ KEEP = 150_000
 ROWS = 500
 #: longer pieces are not kept whole but always run through the transducer
 LONG_PIECE = 48
+#: characters from which the pieces of a text are not listed at once
+LONG_TEXT = 1 << 18
 #: bytes between two looks for tokens that can be emitted; tokens decoded at a time
 FLUSH, RUN = 4096, 8192
 
@@ -91,7 +93,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(pattern)
         self.token = {r: t for t, r in ranks.items()}
         self.partial = {t[:k] for t in ranks for k in range(len(t) + 1)}
         self.bytes = [bytes((b,)) for b in range(256)]
@@ -199,7 +201,12 @@ class Encoder:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        if len(text) <= LONG_TEXT:
+            return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
+        out = bytearray()
+        for match in self.split.finditer(text):     # one piece at a time
+            out += self.pieces[match.group()]
+        return bytes(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
@@ -233,19 +240,29 @@ class Decoder:
     def decode(self, ids: Sequence[int]) -> str:
         out, held = [], b""
         for at in range(0, len(ids), RUN):
-            text, held = self.feed(held, ids[at:at + RUN])
+            run = ids[at:at + RUN]
+            text, held = self.feed(held, run.tolist() if isinstance(run, np.ndarray) else run)
             out.append(text)
         return "".join(out) + held.decode("utf-8", "replace")
 
+    def decode_bytes(self, ids: pa.BinaryScalar) -> str:
+        """The text of ids as ``encode_bytes`` writes them; null has none."""
+        return self.decode(np.frombuffer(ids.as_buffer(), "<u4") if ids.is_valid else ())
+
+
+@lru_cache(maxsize=2)
+def _ranks(data: bytes) -> dict[bytes, int]:
+    return read_ranks(data)
+
 
 @lru_cache(maxsize=2)
 def _encoder(data: bytes, pattern: str) -> Encoder:
-    return Encoder(read_ranks(data), pattern)
+    return Encoder(_ranks(data), pattern)
 
 
 @lru_cache(maxsize=2)
 def _decoder(data: bytes) -> Decoder:
-    return Decoder(read_ranks(data))
+    return Decoder(_ranks(data))
 
 
 def _rank_file(path: str) -> bytes:
@@ -257,19 +274,30 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     """``keep`` columns and ``ids``: the tokens as little-endian unsigned
     32-bit integers. The rank file (below 1 MB) is read by the driver and
     sent along, so executors need no copy of it."""
+    return _encoded(df, ranks_path, pattern, text_col, keep, None)
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
+               keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``encode`` and then ``decode`` of its ids (column ``decoded``), in the
+    same Python worker: half as many workers are alive at a time."""
+    return _encoded(df, ranks_path, pattern, text_col, keep, "decoded")
+
+
+def _encoded(df: DataFrame, ranks_path: str, pattern: str, text_col: str, keep: tuple[str, ...], out_col: str | None) -> DataFrame:
     files = df.sparkSession.sparkContext.broadcast(_rank_file(ranks_path))
+    names = [*keep, "ids", *([out_col] if out_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(files.value, pattern)
+        enc, dec = _encoder(files.value, pattern), _decoder(files.value)
         for batch in _slices(batches):
-            ids = [enc.encode_bytes(t or "") for t in _strings(batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())],
-                                             names=[*batch.schema.names[:-1], "ids"])
+            ids = pa.array([enc.encode_bytes(t or "") for t in _strings(batch.column(batch.num_columns - 1))], pa.binary())
+            back = [pa.array([dec.decode_bytes(x) for x in ids], pa.string())] if out_col else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, *back], names=names)
 
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("ids"))
-    schema = [*src.schema.fields[:-1]]
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["ids binary"])
-    return src.mapInArrow(run, out)
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["ids binary"]
+    return src.mapInArrow(run, ", ".join(schema + ([f"`{out_col}` string"] if out_col else [])))
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -282,8 +310,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = _decoder(files.value)
         for batch in _slices(batches):
-            texts = [dec.decode(np.frombuffer(x.as_buffer() or b"", "<u4").tolist() if x.is_valid else ())
-                     for x in batch.column(at)]
+            texts = [dec.decode_bytes(x) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, out_col])
 
