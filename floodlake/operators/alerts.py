@@ -2,8 +2,8 @@
 
 Every record becomes one line on its executor; the header is a global
 count (partial counts per task, one tiny final merge). Nothing is
-concatenated into a single value, so the digest scales with the input;
-order the lines by ``sort_key`` when presenting them.
+concatenated into a single value, so the digest scales with the input:
+its lines come out ordered by ``sort_key``, by a distributed sort.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ ALERT_HEADER = "Found %d records exceeding %smm:"
 ALERT_LINE = "- Station '%s' at %s: %smm"
 ALERT_NONE = "No stations recorded rainfall above %smm."
 WARNINGS_NONE = "No active warnings currently in the IMS feed."
+WARNINGS_FOUND = "Active IMS Warnings found:"
+WARNINGS_ITEM = "- Title: %s\n  Details: %s\n"
 TIME_TEXT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -31,7 +33,8 @@ def alert_digest(rows: DataFrame, threshold: float) -> DataFrame:
     header = n.select(F.lit(None).cast("double").alias("sort_key"),
                       F.when(F.col("n") > 0, F.format_string(ALERT_HEADER, F.col("n"), F.lit(thr)))
                       .otherwise(F.lit(ALERT_NONE % thr)).alias("line"))
-    return header.unionByName(lines)
+    # the header first, then the heaviest rain
+    return header.unionByName(lines).orderBy(F.col("sort_key").desc_nulls_first(), "line")
 
 
 def warning_parts(items: DataFrame) -> DataFrame:
@@ -49,9 +52,19 @@ def warnings_digest(items: DataFrame, as_of_date: str) -> DataFrame:
     """Markdown digest: a '# date' header (or the no-warnings message) and
     one '## Color - Type / Regions / Timeframe' block per warning."""
     parts = warning_parts(items)
-    blocks = parts.select(F.col("item_id").cast("string").alias("sort_key"), F.format_string(
+    blocks = parts.select(F.col("item_id").cast("long").alias("sort_key"), F.format_string(
         "## %s - %s\nRegions: %s\nTimeframe: %s", "color", "warning_type", "regions", "timeframe").alias("block"))
     n = items.agg(F.count(F.lit(1)).alias("n"))
-    header = n.select(F.lit(None).cast("string").alias("sort_key"),
+    header = n.select(F.lit(None).cast("long").alias("sort_key"),
                       F.when(F.col("n") > 0, F.lit(f"# {as_of_date}")).otherwise(F.lit(WARNINGS_NONE)).alias("block"))
-    return header.unionByName(blocks)
+    return header.unionByName(blocks).orderBy(F.col("sort_key").asc_nulls_first())
+
+
+def warnings_list(items: DataFrame) -> DataFrame:
+    """The cleaned warnings as text, in feed order: title, then details."""
+    blocks = items.select(F.col("item_id").cast("long").alias("sort_key"),
+                          F.format_string(WARNINGS_ITEM, "title_clean", "details").alias("block"))
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    header = n.select(F.lit(None).cast("long").alias("sort_key"),
+                      F.when(F.col("n") > 0, F.lit(WARNINGS_FOUND)).otherwise(F.lit(WARNINGS_NONE)).alias("block"))
+    return header.unionByName(blocks).orderBy(F.col("sort_key").asc_nulls_first())

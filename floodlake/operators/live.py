@@ -43,6 +43,20 @@ def last_hour_rain(df: DataFrame, keys: Sequence[str] = ("station_id", "day"),
         F.count(F.lit(1)).alias("n_taken"))
 
 
+def last_hour_of_series(series: DataFrame, env: str = "env", rows: int = LAST_HOUR_ROWS) -> DataFrame:
+    """A4 on landed daily series (``feeds.read_daily``): the last ``rows``
+    entries of the feed's array by position, status 1 only; a series without
+    entries (empty, null or unreadable) has 0.0. One row per input row, no
+    shuffle: the order is the array's own."""
+    data = F.coalesce(F.col(f"{env}.data"), F.array().cast(series.schema[env].dataType["data"].dataType))
+    last = F.slice(data, F.greatest(F.size(data) - rows + 1, F.lit(1)), F.lit(rows))
+    value = lambda m: F.get(m["channels"], 0)
+    rain = F.aggregate(last, F.lit(0.0), lambda acc, m: acc + F.when(
+        value(m)["status"] == 1, F.coalesce(value(m)["value"], F.lit(0.0))).otherwise(0.0))
+    return series.select(*[c for c in series.columns if c != env], rain.alias("last_hour_rain"),
+                         F.size(last).cast("long").alias("n_taken"))
+
+
 def upsert_new(df: DataFrame, target: DataFrame, stations: DataFrame,
                keys: Sequence[str] = ("station_id", "measurement_time"), order: str = "event_id",
                prune_by: str | None = None) -> DataFrame:

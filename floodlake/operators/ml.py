@@ -48,7 +48,12 @@ class Bundle:
         return DEFAULT_HORIZON if self.horizon_hours is None else self.horizon_hours
 
     def decision(self) -> float:
-        return DEFAULT_DECISION if self.decision_threshold is None else self.decision_threshold
+        """The stored threshold. A bundle without one is refused: the default
+        of the scoring job is far from what its model was tuned for."""
+        if self.decision_threshold is None:
+            raise ValueError(f"the bundle of basin {self.basin} has no decision_threshold "
+                             f"(the scoring job's default is {DEFAULT_DECISION})")
+        return self.decision_threshold
 
 
 def feature_columns(df: DataFrame, target: Sequence[str] = ("flow",),

@@ -444,9 +444,12 @@ def q_unregistered(spark, d):
 
 @register("insert_new_rows")
 def q_insert_new_rows(spark, d):
-    batch = named_rain(spark, d)
-    target = view(spark, d, "v_rain").filter(F.dayofmonth("measurement_time") <= 15)
-    new = live.upsert_new(batch, target, view(spark, d, "v_stations"))
+    rain = view(spark, d, "v_rain")
+    day = grid.truncate(rain, "measurement_time", "day")
+    batch = named_rain(spark, d).withColumn("day", day)
+    target = rain.filter(F.dayofmonth("measurement_time") <= 15).withColumn("day", day)
+    new = live.upsert_new(batch, target, view(spark, d, "v_stations"),
+                          ["station_id", "measurement_time", "day"], prune_by="day")
     return rounded(new.select("event_id", "station_id", "measurement_time", "rain_amount_mm", "status"))
 
 
@@ -561,6 +564,11 @@ def q_warnings_digest(spark, d):
     return alerts.warnings_digest(warnings(spark, d), DIGEST_DATE)
 
 
+@register("warnings_list")
+def q_warnings_list(spark, d):
+    return alerts.warnings_list(warnings(spark, d))
+
+
 @register("alert_digest")
 def q_alert_digest(spark, d):
     rows = named_rain(spark, d).filter(F.col("rain_amount_mm") >= 5.0)
@@ -686,6 +694,35 @@ def q_stream_insert_once(spark, d):
     return spark.read.parquet(target).select(*keys)
 
 
+@register("stream_dedup")
+def q_stream_dedup(spark, d):
+    """R2: repeats of (station, time) share their event time, so whichever
+    batch they arrive in, the watermark's window finds them."""
+    path, schema = landed_rain(spark, d)
+    keys = ["station_id", "measurement_time"]
+    s = streams.event_time(streams.ingest_stream(spark, path, schema), "measurement_time")
+    out = streams.scratch_path(spark, "sinks", "dedup")
+    streams.run_available(streams.dedup_stream(s, keys).select(*keys), out)
+    return spark.read.parquet(out).select(*keys)
+
+
+SESSION_GAP_HOURS = 1
+
+
+@register("stream_sessions")
+def q_stream_sessions(spark, d):
+    """Flood sessions of each basin that the watermark has closed."""
+    rows = view(spark, d, "v_flow").select("basin_id", "measurement_time", "flow")
+    path = streams.scratch_path(spark, "landing", "flow")
+    rows.repartitionByRange("measurement_time").write.parquet(path)
+    s = streams.event_time(streams.ingest_stream(spark, path, rows.schema), "measurement_time")
+    out = streams.scratch_path(spark, "sinks", "sessions")
+    streams.run_available(streams.session_stream(s, FIXTURE_FLOOD_LEVEL, f"{SESSION_GAP_HOURS} hours").select(
+        "basin_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"),
+        F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_readings", "peak_flow"), out)
+    return rounded(spark.read.parquet(out).drop("batch_id"))
+
+
 # --------------------------------------------------------------- models
 LEAKY_SAME_HOUR = ["Flow_Rate_of_Change"]  # flow = lag1 + rate of change: dropped for same-hour targets
 

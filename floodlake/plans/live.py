@@ -11,21 +11,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import sinks
 from ..operators import alerts, forecast, quality
 from ..sources import feeds, files
 
-LANDED_LATEST = StructType([StructField("stationId", IntegerType())] + list(feeds.ENVELOPE.fields))
-
 
 def latest_records(spark: SparkSession, catalog_path: str, latest_path: str) -> DataFrame:
     """One record per station with a rain channel and a non-empty envelope:
     id, name, region, time, value, status (no quality filter here)."""
     stations = feeds.read_stations(spark, catalog_path)
-    env = spark.read.schema(LANDED_LATEST).json(latest_path)
-    rec = env.select(F.col("stationId").alias("station_id"), feeds.latest_reading(F.struct("data")).alias("r"))
+    rec = feeds.read_envelopes(spark, latest_path).select("station_id", feeds.latest_reading(F.col("env")).alias("r"))
     rec = rec.filter(F.col("r").isNotNull()).select("station_id", "r.*")
     return rec.join(stations.select("station_id", "station_name", "region_id"), "station_id")
 

@@ -7,7 +7,7 @@ basins named by the caller (a fixed, small list), never over data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,17 +16,22 @@ from ..operators import events, metrics, ml
 from ..session import cut_lineage
 
 
-def early_warning(features: DataFrame, basins: Sequence[int], threshold: float, split_at: str,
+def threshold_of(threshold: float | Mapping[int, float], basin: int) -> float:
+    """One flood level for all basins, or each basin's own."""
+    return threshold[basin] if isinstance(threshold, Mapping) else threshold
+
+
+def early_warning(features: DataFrame, basins: Sequence[int], threshold: float | Mapping[int, float], split_at: str,
                   horizon: int = 1, decision: float = ml.GBT_EVAL_DECISION, **gbt_params) -> dict:
     """Boosted classifier for 'flood within ``horizon`` hours' per basin.
     Returns per basin: model, scored test rows, confusion, report, AUC."""
-    lab = events.label_ahead(features, threshold, horizon, out="label")
-    frame = cut_lineage(events.time_split(lab, split_at))
+    frame = cut_lineage(events.time_split(features, split_at))
     out = {}
     for b in basins:
-        part = frame.filter(F.col("basin_id") == b)
+        level = threshold_of(threshold, b)
+        part = events.label_ahead(frame.filter(F.col("basin_id") == b), level, horizon, out="label")
         model = ml.train_gbt_classifier(part.filter(F.col("split") == "train"), **gbt_params)
-        bundle = ml.Bundle(basin=str(b), model_type="gbt_classifier", flood_stage=threshold,
+        bundle = ml.Bundle(basin=str(b), model_type="gbt_classifier", flood_stage=level,
                            horizon_hours=horizon, decision_threshold=decision)
         test = part.filter(F.col("split") == "test")
         scored = ml.score(test, model, bundle, keep=("basin_id", "hour", "label"), inclusive=False)
@@ -46,7 +51,7 @@ def early_warning(features: DataFrame, basins: Sequence[int], threshold: float,
 EARLY_STOP_TOL = 0.0
 
 
-def flow_regressor(features: DataFrame, basins: Sequence[int], threshold: float, split_at: str,
+def flow_regressor(features: DataFrame, basins: Sequence[int], threshold: float | Mapping[int, float], split_at: str,
                    drop_leaky: bool = True, **gbt_params) -> dict:
     """Boosted regressor of same-hour flow per basin, early-stopped on the
     test period; reports MAE/RMSE/R2 and the flood-hour metrics."""
@@ -61,5 +66,5 @@ def flow_regressor(features: DataFrame, basins: Sequence[int], threshold: float,
         pred = model.transform(ml.align_features(test, names, keep=("basin_id", "hour", "flow")))
         pred = pred.select("basin_id", "hour", F.col("flow").alias("actual"), F.col("prediction").alias("predicted"))
         out[b] = {"model": model, "metrics": metrics.regression_metrics(pred),
-                  "flood": metrics.flood_metrics(pred, threshold)}
+                  "flood": metrics.flood_metrics(pred, threshold_of(threshold, b))}
     return out

@@ -638,11 +638,16 @@ FRAG["wn"] = f"""SELECT o_orderkey AS item_id,
 FROM orders"""
 oracle("warnings_clean", "SELECT item_id, title, details FROM wn", "wn")
 oracle("warnings_digest", """
-SELECT NULL::VARCHAR AS sort_key, CASE WHEN count(*) > 0 THEN '# 30/01/2024'
+SELECT NULL::BIGINT AS sort_key, CASE WHEN count(*) > 0 THEN '# 30/01/2024'
        ELSE 'No active warnings currently in the IMS feed.' END AS block FROM wn
 UNION ALL
-SELECT CAST(item_id AS VARCHAR), '## ' || color || ' - ' || wtype || chr(10) || 'Regions: ' || regions || chr(10)
+SELECT CAST(item_id AS BIGINT), '## ' || color || ' - ' || wtype || chr(10) || 'Regions: ' || regions || chr(10)
        || 'Timeframe: ' || tf FROM wn""", "wn")
+oracle("warnings_list", """
+SELECT NULL::BIGINT AS sort_key, CASE WHEN count(*) > 0 THEN 'Active IMS Warnings found:'
+       ELSE 'No active warnings currently in the IMS feed.' END AS block FROM wn
+UNION ALL
+SELECT CAST(item_id AS BIGINT), '- Title: ' || title || chr(10) || '  Details: ' || details || chr(10) FROM wn""", "wn")
 oracle("alert_digest", f"""
 , hr5 AS (SELECT coalesce(s.station_name, 'station-' || r.station_id) AS station_name, r.measurement_time,
                  r.rain_amount_mm FROM v_rain r LEFT JOIN v_stations s ON s.station_id = r.station_id
@@ -701,6 +706,16 @@ oracle("stream_alerts", f"""
 SELECT event_id, station_id, measurement_time, {r6('rain_amount_mm', 'rain_amount_mm')}, status
 FROM v_rain WHERE rain_amount_mm >= 5.0""", "v_rain")
 oracle("stream_insert_once", "SELECT DISTINCT station_id, measurement_time FROM v_rain", "v_rain")
+oracle("stream_dedup", "SELECT DISTINCT station_id, measurement_time FROM v_rain", "v_rain")
+oracle("stream_sessions", f"""
+SELECT basin_id, min(t) AS session_start, max(t) + INTERVAL 1 HOUR AS session_end, count(*) AS n_readings,
+       {r6('max(flow)', 'peak_flow')}
+FROM (SELECT *, sum(begins) OVER (PARTITION BY basin_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid
+      FROM (SELECT basin_id, measurement_time AS t, flow, max(measurement_time) OVER () AS newest,
+                   CASE WHEN measurement_time <= lag(measurement_time) OVER (PARTITION BY basin_id ORDER BY measurement_time)
+                             + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS begins
+            FROM v_flow WHERE flow > 25.0))
+GROUP BY basin_id, sid, newest HAVING max(t) + INTERVAL 1 HOUR <= newest - INTERVAL 1 HOUR""", "v_flow")
 
 # --------------------------------------------------------------- models
 _al_cols = ", ".join("0.0 AS Soil_Moisture_EWM" if c == "Soil_Moisture_EWM"

@@ -61,11 +61,14 @@ REVIEW_COLUMNS = ["IMS_ID", "IMS_Name", "Matched_DB_ID", "Matched_DB_Name", "Dis
 
 def write_review(matches: DataFrame, path: str) -> None:
     """K5: the match review listing, weakest first, as one CSV file with the
-    mapping file's columns (one row per forecast location, a small result);
-    after review it is read back by ``files.read_mapping``."""
+    mapping file's columns and a leading byte-order mark (one row per forecast
+    location, a small result); after review it is read back by
+    ``files.read_mapping``."""
     cols = ["ims_id", "ims_name", "matched_id", "matched_name", "distance_km", "score"]
     out = matches.orderBy("score", "ims_id").select(*[F.col(c).alias(n) for c, n in zip(cols, REVIEW_COLUMNS)])
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    # the mark stands before the header, where a spreadsheet looks for it
+    marked = out.withColumnRenamed(REVIEW_COLUMNS[0], "\ufeff" + REVIEW_COLUMNS[0])
+    marked.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def stamp(df: DataFrame, **cols) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, StringType, S
                                StructType)
 
 from ..functions.timecols import parse_time
+from ..operators.quality import quality_filter
 
 # The monitor that carries rain, the measurement time
 # layouts of the station API, and the markup wrapped around warning text.
@@ -30,6 +31,7 @@ STATION = StructType([
 CHANNEL = StructType([StructField("value", DoubleType()), StructField("status", IntegerType())])
 MEASURE = StructType([StructField("datetime", StringType()), StructField("channels", ArrayType(CHANNEL))])
 ENVELOPE = StructType([StructField("data", ArrayType(MEASURE))])
+LANDED_ENVELOPE = StructType([StructField("stationId", IntegerType())] + list(ENVELOPE.fields))
 OBS = StructType([StructField("flow", StringType()), StructField("date", StringType()),
                   StructField("time", StringType())])
 FLOW_STATION = StructType([StructField("name", StringType()), StructField("obs", ArrayType(OBS))])
@@ -93,6 +95,25 @@ def flatten_readings(df: DataFrame, env: str = "env") -> DataFrame:
                     ch["value"].alias("rain_amount_mm"), ch["status"].alias("status"))
 
 
+def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
+    """Landed answers of the station API, one JSON line per station:
+    station_id, env."""
+    raw = spark.read.schema(LANDED_ENVELOPE).json(path)
+    return raw.select(F.col("stationId").alias("station_id"), F.struct("data").alias("env"))
+
+
+def read_monthly(spark: SparkSession, path: str) -> DataFrame:
+    """Monthly histories (S3): one valid reading (P1) per row; the month is
+    whatever was landed in ``path``."""
+    return quality_filter(flatten_readings(read_envelopes(spark, path))).drop("pos")
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """Daily series (S4) as landed: station_id and env, the envelope whose
+    ``data`` keeps the feed's order, for ``live.last_hour_of_series``."""
+    return read_envelopes(spark, path)
+
+
 # ----------------------------------------------------------- flow feed
 
 def parse_flow_feed(text: Column) -> Column:

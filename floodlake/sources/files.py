@@ -74,6 +74,11 @@ def read_hourly(spark: SparkSession, paths: Sequence[str], suffix: str = "_Hourl
         parse_number(F.col("c1"), None).alias("Rain"), parse_number(F.col("c2"), None).alias("Intensity"))
 
 
+def read_settlements(spark: SparkSession, path: str) -> DataFrame:
+    """Settlements table (S13), its five columns only (pruned at the scan)."""
+    return spark.read.parquet(path).select("settlement_id", "name_eng", "name_heb", "lat", "lon")
+
+
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """Review mapping CSV (the UTF-8 byte-order mark is dropped by the reader)."""
     raw = spark.read.option("header", True).schema(MAPPING_CSV_SCHEMA).csv(path)

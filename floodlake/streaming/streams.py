@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators import ml
 from ..session import ensure_checkpoint_dir, read_if_there
 
 
@@ -75,22 +76,22 @@ def run_available(stream: DataFrame, out_path: str, mode: str = "append",
                   batch_fn: Callable[[DataFrame, int], None] | None = None,
                   checkpoint: str | None = None) -> None:
     """Process everything landed so far (``availableNow``) and stop.
-    Without ``batch_fn`` each micro-batch is appended to ``out_path`` with
-    its batch id (a re-run batch replaces nothing: readers keep the latest
-    batch per key)."""
+    Without ``batch_fn`` each micro-batch is one ``batch_id=N`` folder of
+    ``out_path``; a batch that is run again replaces its folder, so every row
+    is there once."""
     ck = checkpoint or out_path.rstrip("/") + "_checkpoint"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        if batch_fn is not None:
-            batch_fn(batch, batch_id)
-        else:
-            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
-
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ck)
-         .trigger(availableNow=True).foreachBatch(write).start())
+         .trigger(availableNow=True).foreachBatch(batch_fn or batch_folder(out_path)).start())
     q.awaitTermination()
 
 
+def batch_folder(out_path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: write the batch as ``batch_id=N`` under ``out_path``."""
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+    return fn
+
+
 def latest_by_key(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Final state of an update-mode sink: the row of the last batch per key."""
     df = spark.read.parquet(path)
@@ -117,16 +118,13 @@ def idempotent_insert(target_path: str, keys: Sequence[str], time_col: str = "me
     return fn
 
 
-def score_batches(model, out_path: str, decision_threshold: float,
-                  proba_col: str = "flood_probability") -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: score a micro-batch with a fitted pipeline and
-    append probability and decision."""
-    from pyspark.ml.functions import vector_to_array
+def score_batches(model, bundle: ml.Bundle, out_path: str,
+                  keep: Sequence[str] = ("basin_id", "hour")) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: score a micro-batch through a model and its
+    bundle as ``ml.score`` does (features aligned by name, a missing one 0.0)
+    and write probability and decision as that batch's folder."""
+    write = batch_folder(out_path)
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        scored = model.transform(batch)
-        p = vector_to_array("probability")[1]
-        (scored.withColumn(proba_col, p).withColumn("alert", (p >= decision_threshold).cast("int"))
-         .drop("features", "rawPrediction", "probability", "prediction")
-         .withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path))
+        write(ml.score(batch, model, bundle, keep), batch_id)
     return fn

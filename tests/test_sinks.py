@@ -32,6 +32,9 @@ def test_grid_and_review_outputs(spark, tmp_path):
     sinks.write_review(m, str(tmp_path / "review"))
     back = spark.read.option("header", True).csv(str(tmp_path / "review")).collect()
     assert back[0].Matched_DB_Name == "NO MATCH FOUND"
+    part = next((tmp_path / "review").glob("part-*.csv"))
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfIMS_ID,")      # spreadsheets look for the mark
+    assert {r.ims_id for r in files.read_mapping(spark, str(tmp_path / "review")).collect()} == {1, 2}
 
 
 def test_hourly_files_station_from_name(spark, tmp_path):

@@ -61,7 +61,7 @@ def test_models_fit_score_and_bundle(spark, tmp_path):
     scored = ml.score(df, rf, bundle).collect()
     assert len(scored) == 240 and all(0.0 <= r.flood_probability <= 1.0 for r in scored)
     gbc = ml.train_gbt_classifier(df, maxIter=5)
-    assert ml.score(df, gbc, ml.Bundle("0", "gbt", 25.0)).count() == 240
+    assert ml.score(df, gbc, ml.Bundle("0", "gbt", 25.0, decision_threshold=0.3)).count() == 240
     gbr = ml.train_gbt_regressor(df.filter(F.col("hour") < T + dt.timedelta(hours=200)),
                                  df.filter(F.col("hour") >= T + dt.timedelta(hours=200)), maxIter=5)
     assert gbr.transform(df).count() == 240
@@ -80,10 +80,42 @@ def test_score_stream_batches(spark, tmp_path):
     df.drop("label").repartition(3).write.parquet(land)
     s = streams.ingest_stream(spark, land, spark.read.parquet(land).schema, files_per_trigger=1)
     out = str(tmp_path / "scores")
-    streams.run_available(s, out, batch_fn=streams.score_batches(model, out, 0.03))
+    bundle = ml.Bundle("0", "random_forest", 25.0, decision_threshold=0.03)
+    score = streams.score_batches(model, bundle, out)
+    streams.run_available(s, out, batch_fn=score)
     scored = spark.read.parquet(out)
     assert scored.count() == 120 and scored.select("batch_id").distinct().count() == 3
     assert scored.filter((F.col("flood_probability") >= 0.03) != (F.col("alert") == 1)).count() == 0
+    # a replayed batch replaces itself, and a batch without one of the features is scored with zeros there
+    again = spark.read.parquet(land).limit(40).drop("Soil_Moisture_EWM")
+    score(again, 2)
+    score(again, 2)
+    assert spark.read.parquet(out).where("batch_id = 2").count() == 40
+
+
+def test_replayed_stream_batch_adds_no_row(spark, tmp_path):
+    df = spark.createDataFrame([(1, 6.0), (2, 7.0)], "station_id int, rain_amount_mm double")
+    out = str(tmp_path / "alerts")
+    write = streams.batch_folder(out)
+    for batch in (0, 0, 1):
+        write(df, batch)
+    assert spark.read.parquet(out).groupBy("batch_id").count().orderBy("batch_id").collect() == [(0, 2), (1, 2)]
+
+
+def test_bundle_without_threshold_is_refused():
+    import pytest
+    with pytest.raises(ValueError):
+        ml.Bundle("0", "gbt", 25.0).decision()
+
+
+def test_early_warning_takes_each_basins_own_level(spark):
+    from floodlake.plans import models
+    one = frame(spark)
+    both = one.unionByName(one.withColumn("basin_id", F.lit(1))).drop("label")
+    out = models.early_warning(both, [0, 1], {0: 20.0, 1: 30.0}, "2024-01-08 00:00:00", maxIter=3)
+    assert [out[b]["bundle"].flood_stage for b in (0, 1)] == [20.0, 30.0]
+    positives = [out[b]["scored"].agg(F.sum("label")).first()[0] for b in (0, 1)]
+    assert positives[0] > positives[1] > 0
 
 
 def test_time_slice_inclusive(spark):
