@@ -559,14 +559,19 @@ def q_warnings_clean(spark, d):
     return warnings(spark, d).select("item_id", F.col("title_clean").alias("title"), "details")
 
 
+def in_order(digest):
+    """The order key as a double, as in the other queries with a null number."""
+    return digest.withColumn("sort_key", F.col("sort_key").cast("double"))
+
+
 @register("warnings_digest")
 def q_warnings_digest(spark, d):
-    return alerts.warnings_digest(warnings(spark, d), DIGEST_DATE)
+    return in_order(alerts.warnings_digest(warnings(spark, d), DIGEST_DATE))
 
 
 @register("warnings_list")
 def q_warnings_list(spark, d):
-    return alerts.warnings_list(warnings(spark, d))
+    return in_order(alerts.warnings_list(warnings(spark, d)))
 
 
 @register("alert_digest")

@@ -638,16 +638,16 @@ FRAG["wn"] = f"""SELECT o_orderkey AS item_id,
 FROM orders"""
 oracle("warnings_clean", "SELECT item_id, title, details FROM wn", "wn")
 oracle("warnings_digest", """
-SELECT NULL::BIGINT AS sort_key, CASE WHEN count(*) > 0 THEN '# 30/01/2024'
+SELECT NULL::DOUBLE AS sort_key, CASE WHEN count(*) > 0 THEN '# 30/01/2024'
        ELSE 'No active warnings currently in the IMS feed.' END AS block FROM wn
 UNION ALL
-SELECT CAST(item_id AS BIGINT), '## ' || color || ' - ' || wtype || chr(10) || 'Regions: ' || regions || chr(10)
+SELECT CAST(item_id AS DOUBLE), '## ' || color || ' - ' || wtype || chr(10) || 'Regions: ' || regions || chr(10)
        || 'Timeframe: ' || tf FROM wn""", "wn")
 oracle("warnings_list", """
-SELECT NULL::BIGINT AS sort_key, CASE WHEN count(*) > 0 THEN 'Active IMS Warnings found:'
+SELECT NULL::DOUBLE AS sort_key, CASE WHEN count(*) > 0 THEN 'Active IMS Warnings found:'
        ELSE 'No active warnings currently in the IMS feed.' END AS block FROM wn
 UNION ALL
-SELECT CAST(item_id AS BIGINT), '- Title: ' || title || chr(10) || '  Details: ' || details || chr(10) FROM wn""", "wn")
+SELECT CAST(item_id AS DOUBLE), '- Title: ' || title || chr(10) || '  Details: ' || details || chr(10) FROM wn""", "wn")
 oracle("alert_digest", f"""
 , hr5 AS (SELECT coalesce(s.station_name, 'station-' || r.station_id) AS station_name, r.measurement_time,
                  r.rain_amount_mm FROM v_rain r LEFT JOIN v_stations s ON s.station_id = r.station_id
