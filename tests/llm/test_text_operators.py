@@ -177,3 +177,22 @@ def test_components_of_chains_and_ties(spark):
     lambda d: digests(d), licenses.scan_licenses, quality_rules.judge_quality, exact_dedup.dedup, simhash.near_duplicates])
 def test_empty_tables(op, none):
     assert op(none).count() == 0
+
+
+def test_bpe_round_trip_in_one_worker_equals_encode_then_decode(spark, monkeypatch):
+    long_text = "Ein langer Text, 12 words & more. " * 9000     # beyond LONG_TEXT
+    assert len(long_text) > bpe.LONG_TEXT
+    rows = [(1, "a", long_text), (2, None, None), (3, "c", ""), (3, "c", ""), (4, "d", "xé\U0001f600 中")]
+    df = spark.createDataFrame(rows, "doc_id long, decoded_by string, text string")
+    keep = ("doc_id", "decoded_by")
+    apart = bpe.decode(bpe.encode(df, queries.RANKS, public_tokenizers.PATTERN, keep=keep), queries.RANKS)
+    at_once = bpe.round_trip(df, queries.RANKS, public_tokenizers.PATTERN, keep=keep)
+    assert at_once.columns == apart.columns and at_once.schema == apart.schema
+    got = sorted(map(tuple, at_once.collect()), key=str)
+    assert got == sorted(map(tuple, apart.collect()), key=str)
+    assert {r[0]: r[3] for r in got} == {i: t or "" for i, _, t in rows}
+    enc = bpe.Encoder(bpe.read_ranks(brute.RANKS), public_tokenizers.PATTERN)
+    whole = enc.encode_bytes(long_text)
+    monkeypatch.setattr(bpe, "LONG_TEXT", 1 << 30)
+    assert enc.encode_bytes(long_text) == whole
+    assert bpe.round_trip(df.limit(0), queries.RANKS, public_tokenizers.PATTERN).count() == 0
