@@ -5,7 +5,8 @@ writes every result as Parquet to the shared checkpoint folder and reads it
 back as the next stage's documents. All stages but the last keep the columns
 of their input, whatever else it holds; rows with null columns, empty and
 very long texts, repeated rows and empty tables pass through as the operators
-define them.
+define them. Rows that share an id are told apart by a hash of their text;
+a null id counts as larger than any other.
 
 The ids that a deduplication keeps or drops grow with the corpus, so they
 meet the documents in merge joins at every size, never in broadcasts."""
@@ -13,7 +14,7 @@ meet the documents in merge joins at every size, never in broadcasts."""
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodlake.llm import bpe, exact_dedup, mixing, quality_rules, simhash
@@ -27,21 +28,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unwrap(quality_rules.judge_quality(docs).where("kept"))
 
 
+def _key(ident: Column) -> Column:
+    return F.coalesce(ident.cast("string"), F.lit("null")).alias("key")
+
+
+def _only(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """One row for every (key, place) of ``stays``: by id and by the hash of the text."""
+    rows = wrap(docs).select("row", _key(F.col("row.doc_id")), exact_dedup.locator(F.col("row.text")).alias("place"))
+    return unwrap(rows.join(stays.hint("merge"), ["key", "place"], "left_semi").dropDuplicates(["key", "place"]))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of equal texts, also of rows that repeat an id and its text."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key")
-    stays = exact_dedup.dedup(docs).where("kept").select(key, "digest")
-    rows = wrap(docs).select("row", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")).alias("key"),
-                             F.unhex(F.sha2(exact_dedup.normalised(F.col("row.text")), 256)).alias("digest"))
-    return unwrap(rows.join(stays.hint("merge"), ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"]))
+    return _only(docs, exact_dedup.dedup(docs).where("kept").select(_key(F.col("keep_id")), F.col("keep_locator").alias("place")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every SimHash class."""
-    goes = (simhash.near_duplicates(docs).where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("id")).distinct())
-    rows = wrap(docs)
-    return unwrap(rows.join(goes.hint("merge"), F.col("row.doc_id") == F.col("id"), "left_anti"))
+    """The document of smallest id of every SimHash class (and of smallest
+    text hash, where texts of the class share that id)."""
+    located = docs.select("doc_id", "text", exact_dedup.locator(F.col("text")).alias("place"))
+    found = simhash.near_duplicates(located, carry=("place",))
+    # a class of null ids only has no name: its rows share the fingerprint
+    unnamed = F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")).alias("first")
+    stays = found.groupBy("component_id", unnamed).agg(first).select(_key(F.col("first.doc_id")), F.col("first.place").alias("place"))
+    return _only(docs, stays)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

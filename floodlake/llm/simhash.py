@@ -67,14 +67,15 @@ def fingerprint(text: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = SHINGLE, seed: int = SEED,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the columns of ``carry``."""
     @F.pandas_udf("long")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             fps = np.array([fingerprint((t or "").encode("utf-8"), k, seed) for t in texts], np.uint64)
             yield pd.Series(fps.view(np.int64))
-    return docs.select(F.col(f"`{ident}`").alias("doc_id"), simhash(F.col(f"`{text}`")).alias("fp"))
+    return docs.select(F.col(f"`{ident}`").alias("doc_id"), simhash(F.col(f"`{text}`")).alias("fp"), *carry)
 
 
 def _signed(x: int) -> int:
@@ -160,9 +161,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = SHINGLE, seed: int = SEED,
-                    crowd: int = CROWD) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id."""
-    prints = cut_lineage(fingerprints(docs, ident, text, k, seed), "simhash_docs")
+                    crowd: int = CROWD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id, and the columns of ``carry``."""
+    prints = cut_lineage(fingerprints(docs, ident, text, k, seed, carry), "simhash_docs")
     # one node per distinct fingerprint, named by its smallest document
     reps = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash_fps")
     named = reps.where("rep is not null")
@@ -172,7 +173,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     roots = components(links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     classes = (reps.join(roots, F.col("rep") == F.col("node"), "left")
                .select("fp", F.coalesce("root", "rep").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", *carry)
 
 
 def hex16(fp: Column) -> Column:

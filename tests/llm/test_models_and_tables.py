@@ -274,6 +274,16 @@ def test_pipeline_on_edge_rows(spark, edge, clashing, none):
             docs = f(spark, docs, SF)
             assert docs.columns == source.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+    # one row of every class, also where rows of different classes share an id or have none
+    words = [f"w{i} w{i + 1} w{i * i}" for i in range(60)]
+    other = [f"v{i} v{i * 3} v{i + 7}" for i in range(60)]
+    rows = [(3, " ".join(words)), (5, " ".join(words) + "\n"), (5, " ".join(other)), (None, "\n".join(other)),
+            (9, " ".join(other) + " "), (None, "alone"), (None, " alone"), (None, "and apart from it"), (3, " ".join(words))]
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], edge.schema)
+    left = sorted(corpus_pipeline.near(spark, df, SF).select("doc_id", "text").collect(), key=str)
+    assert len(left) == 4 and {(r.doc_id, r.text.split()[0]) for r in left} == {(3, "w0"), (5, "v0"), (None, "alone"), (None, "and")}
+    longest = corpus_pipeline.exact(spark, df.where("doc_id = 5 or text like '%alone'"), SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, longest), key=str) == sorted([(5, rows[1][1]), (5, rows[2][1]), (None, " alone")], key=str)
     kept = corpus_pipeline.exact(spark, clashing, SF).select("doc_id", "text").collect()
     assert sorted((r.doc_id for r in kept if r.doc_id in (7, 8, None)), key=str) == [8]
     assert simhash.near_duplicates(none).count() == 0
