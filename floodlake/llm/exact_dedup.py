@@ -30,11 +30,18 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, cut_lineage, scratch_folder, strip_chars
 
-#: state on disk, without files of some MB allocated ahead in every partition
+#: MB of memory that all state stores of an executor share for caches and write buffers; the rest is on disk
+STORE_MB = 128
+#: state on disk, without files of some MB allocated ahead in every partition;
+#: stores of a stream that has ended are closed at the next maintenance
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STORE_MB),
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 
 
