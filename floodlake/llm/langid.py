@@ -26,9 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 WINDOW, HIDDEN = 64, 4
 #: bounds of the training sample: documents of a language, windows of a document
 DOCS, DRAWS = 800, 3
+#: hexadecimal digits of the id hash that the histogram of the sample counts by
+BUCKET_DIGITS = 4
 EPOCHS, BATCH, RATE, SEED = 10, 128, 0.03, 5
 #: windows computed side by side
 BLOCK = 4096
@@ -222,9 +226,13 @@ def sample_windows(docs: DataFrame, text: str = "text", lang: str = "lang", iden
     documents of smallest id hash of each language, windows at hashed places."""
     t, key = F.col("text"), F.md5(F.col("ident").cast("string"))
     src = (docs.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-           .where("lang is not null and text is not null"))
-    # rank by hash without the texts; the limit of the rank is applied before the shuffle as well
-    best = (src.select("ident", "lang", key.alias("key"))
+           .where("ident is not null and lang is not null and text is not null"))
+    # a histogram of the hashes tells where each language's sample ends, so only rows up to there are ranked
+    keyed = src.select("ident", "lang", key.alias("key"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket"))
+    below = F.sum("count").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    ends = cut_lineage(keyed.groupBy("lang", "bucket").count().withColumn("below", F.coalesce(below, F.lit(0)))
+                       .where(F.col("below") < per_lang).groupBy("lang").agg(F.max("bucket").alias("end")), "langid_ends")
+    best = (keyed.join(ends, "lang").where("bucket <= end")
             .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "ident"))).where(F.col("n") <= per_lang))
     at = lambda k: 1 + F.pmod(F.xxhash64("ident", F.lit(k)), F.greatest(F.length(t) - WINDOW + 1, F.lit(1))).cast("int")
     chosen = best.select("ident", "key").distinct()
