@@ -32,9 +32,10 @@ HOST_RULES = (("org", "/", ALLOW), ("example.org", "/es/", BLOCK), ("example.org
               ("com", "/fr/", ALLOW), ("com", "/de/", BLOCK))
 
 #: globs that block what no host rule decides: no host at all, gambling,
-#: pharmacy and adult hosts, and files that hold no prose
+#: pharmacy, adult, spam and advertising hosts, and files that hold no prose
 BLOCK_GLOBS = (".", "*casino*/**", "*casino*", "*.free-bets.*/**", "*.free-bets.*", "*cheap-pills*/**",
-               "*cheap-pills*", "*.xxx/**", "*.xxx", "**.zip", "**.exe", "**.jpg", "**.png", "**.gif", "**.mp4",
+               "*cheap-pills*", "*.xxx/**", "*.xxx", "*adult*/**", "*adult*", "*porn*/**", "*porn*", "*spam*/**",
+               "*spam*", "*.ads-*/**", "*.ads-*", "**.zip", "**.exe", "**.jpg", "**.png", "**.gif", "**.mp4",
                "**/wp-login.php**", "**/cgi-bin/**")
 
 _ANY, _SEGMENT = "any", "segment"

@@ -42,6 +42,18 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_junk_hosts_are_blocked_and_only_they(spark):
+    junk = ["casino-win.example.com", "m.free-bets.example.com", "www.cheap-pills.example.net", "blog.adult-x.example.net", "a.xxx",
+            "www.spam-farm.example.com", "spam-farm.example.net", "myporn.example.net", "m.ads-track.example.net"]
+    plain = ["blog.theren.example.net", "uploads-a.example.net", "m.roads-x.example.net", "sports.example.net"]
+    urls = [f"https://{h}{p}" for h in junk + plain for p in ("", "/en/9?x=1")] + ["https://a.example.net/adult/spam/ads-x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.host: set() for r in url_filter.judge_urls(df).collect()}
+    for r in url_filter.judge_urls(df).collect():
+        got[r.host].add((r.rule, r.verdict))
+    assert got == {h: {(None, "block")} for h in junk} | {h: {(None, "allow")} for h in [*plain, "a.example.net"]}
+
+
 def test_automaton_equals_regular_expressions_over_many_words():
     import re
     rnd = random.Random(2)
