@@ -48,10 +48,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text hash, where texts of the class share that id)."""
     located = docs.select("doc_id", "text", exact_dedup.locator(F.col("text")).alias("place"))
     found = simhash.near_duplicates(located, carry=("place",))
-    # a class of null ids only has no name: its rows share the fingerprint
-    unnamed = F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")).alias("first")
-    stays = found.groupBy("component_id", unnamed).agg(first).select(_key(F.col("first.doc_id")), F.col("first.place").alias("place"))
+    stays = found.groupBy("root_fp").agg(first).select(_key(F.col("first.doc_id")), F.col("first.place").alias("place"))
     return _only(docs, stays)
 
 

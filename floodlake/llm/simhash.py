@@ -25,10 +25,11 @@ Classes come from repeated hooking to the smallest neighbour and pointer
 jumping over tables in the shared checkpoint folder.
 
 Defined cases: texts without words (null, empty) have fingerprint 0 and link
-like any other; fewer words than a shingle give one shingle of them all; a
-null id gets its fingerprint and the class of that fingerprint, but counts in
-no class's name; repeated rows come back each; an empty table gives an empty
-result; extra columns are not read.
+like any other; fewer words than a shingle give one shingle of them all; rows
+with a null id link like any other, but count in no class's name, so a class
+of them alone has a null one; classes that share their smallest id have the
+same name, but a ``root_fp`` each; repeated rows come back each; an empty table
+gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -162,18 +163,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = SHINGLE, seed: int = SEED,
                     crowd: int = CROWD, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id, and the columns of ``carry``."""
+    """One row per input row: doc_id, fp, root_fp (the smallest fingerprint of
+    its class), component_id (the smallest id in it), and the columns of ``carry``."""
     prints = cut_lineage(fingerprints(docs, ident, text, k, seed, carry), "simhash_docs")
-    # one node per distinct fingerprint, named by its smallest document
+    # one node per distinct fingerprint; ids only name the classes, so a shared or missing one neither joins nor parts them
     reps = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash_fps")
-    named = reps.where("rep is not null")
-    links = near_pairs(named.select("fp"), crowd)
-    a = named.select(F.col("fp").alias("a"), F.col("rep").alias("ra"))
-    b = named.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    roots = components(links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    classes = (reps.join(roots, F.col("rep") == F.col("node"), "left")
-               .select("fp", F.coalesce("root", "rep").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", *carry)
+    roots = components(near_pairs(reps.select("fp"), crowd)).withColumnRenamed("node", "fp")
+    linked = cut_lineage(reps.join(roots, "fp"), "simhash_linked")
+    names = cut_lineage(linked.groupBy("root").agg(F.min("rep").alias("name")), "simhash_names")
+    # written out, so that the last join reads plain exchanges and a hot fingerprint can be split
+    classes = cut_lineage(
+        reps.join(linked.select("fp", "root").join(names, "root"), "fp", "left")
+        .select("fp", F.coalesce("root", "fp").alias("root_fp"),
+                F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("name")).alias("component_id")), "simhash_classes")
+    return prints.join(classes, "fp").select("doc_id", "fp", "root_fp", "component_id", *carry)
 
 
 def hex16(fp: Column) -> Column:

@@ -167,6 +167,34 @@ def test_simhash_links_of_dense_fingerprints(spark, crowd):
     assert {k: roots.get(k, k) for k in named} == want
 
 
+def numbers_as_fingerprints(docs, ident="doc_id", text="text", k=0, seed=0, carry=()):
+    return docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("long").alias("fp"), *carry)
+
+
+def test_simhash_classes_are_those_of_the_fingerprints_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", numbers_as_fingerprints)
+    far = 0xFFFF << 24
+    # a chain through a null id; a class of null ids; two apart that share an id, also where one has a smaller id
+    rows = [(7, 0), (None, 3), (9, 15), (None, far), (None, far ^ 1), (5, far << 8), (5, 0xFFFFF), (6, 0xFFFFF ^ 4), (9, 0x5555555555), (None, far)]
+    df = spark.createDataFrame([(d, str(fp)) for d, fp in rows], "doc_id long, text string")
+    got = simhash.near_duplicates(df).select("doc_id", "fp", "root_fp", "component_id").collect()
+    root = {0: 0, 3: 0, 15: 0, far: far, far ^ 1: far, 0xFFFFF ^ 4: 0xFFFFF ^ 4, 0xFFFFF: 0xFFFFF ^ 4}
+    name = {0: 7, far: None, far << 8: 5, 0xFFFFF ^ 4: 5, 0x5555555555: 9}
+    want = [(d, fp, root.get(fp, fp), name[root.get(fp, fp)]) for d, fp in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_near_stage_keeps_one_row_of_every_class_whatever_the_ids(spark, monkeypatch):
+    import corpus_pipeline
+    texts = [" ".join(f"{w}{i} {w}{i * i + 1} {w}{i + 3}" for i in range(60)) for w in "xy"]
+    df = spark.createDataFrame([(5, t) for t in texts], "doc_id long, text string")
+    assert {r.text for r in corpus_pipeline.near(spark, df, SF).collect()} == set(texts)
+    monkeypatch.setattr(simhash, "fingerprints", numbers_as_fingerprints)
+    df = spark.createDataFrame([(None, str(0)), (None, str(3)), (None, str(15)), (None, str(0xFFFF << 24))], "doc_id long, text string")
+    left = {int(r.text) for r in corpus_pipeline.near(spark, df, SF).collect()}
+    assert len(left) == 2 and 0xFFFF << 24 in left
+
+
 def test_components_of_chains_and_ties(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (100, 101), (200, 200), (7, 3)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
