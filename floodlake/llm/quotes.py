@@ -3,11 +3,15 @@
 A line that starts with ``>`` marks is quoted, once per mark (``> >`` counts
 as two). Successive lines of one level form a passage; its lines are joined
 (quoting may wrap them anew) and cut into sentences, which are normalised
-(lower case, blanks collapsed, the end punctuation off) and hashed. The same
-hashes are taken of every message's own, unquoted text, and a join within the
-conversation finds the first message that said a sentence. A passage belongs
-to the message that most of its characters come from, if that is half of them
-or more (ties: the earlier message). A message answers the origin of its
+(lower case, blanks collapsed, the end punctuation off) and hashed. As lines
+without end punctuation (greetings, headings, lists) run on into the next
+sentence when joined, there are up to four readings: all lines joined, those
+of a paragraph, those up to one that does not begin in lower case, and every
+line by itself. The same hashes, of all readings, are taken of every message's
+own, unquoted text, and a join within the conversation finds the first message
+that said a sentence. A passage belongs to the message that the largest part
+of its characters comes from in any reading, if that is half of them or more
+(ties: the earlier message). A message answers the origin of its
 outermost linked passage; deeper levels are what that message quoted itself.
 
 Reply order: a message without a link starts a thread of its own; an answer
@@ -48,9 +52,27 @@ def sentences(text: str) -> list[str]:
     return [s for s in found if any(c.isalnum() for c in s)]
 
 
+def readings(text: str) -> list[list[str]]:
+    """The sentences by each way to join the lines, equal ones once."""
+    lines = [line.strip() for line in text.split("\n")]
+    blank = [not a or not b for a, b in zip(lines, lines[1:])]
+    anew = [end or not line[0].islower() for end, line in zip(blank, lines[1:])]
+    found: list[list[str]] = []
+    for ends in ([False] * len(blank), blank, anew, [True] * len(blank)):
+        parts = [[lines[0]]]
+        for end, line in zip(ends, lines[1:]):
+            if end:
+                parts.append([])
+            parts[-1].append(line)
+        one = [s for part in parts for s in sentences(" ".join(part))]
+        if one not in found:
+            found.append(one)
+    return found
+
+
 def parse_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
     """The text without quoted lines (and without a line that only announces
-    them), and the passages as (level, joined lines) in order."""
+    them), and the passages as (level, lines) in order."""
     own: list[str] = []
     passages: list[tuple[int, list[str]]] = []
     quoted = False
@@ -68,10 +90,10 @@ def parse_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
         else:
             passages.append((level, [rest]))
         quoted = True
-    return "\n".join(own).strip("\n"), [(level, " ".join(lines)) for level, lines in passages]
+    return "\n".join(own).strip("\n"), [(level, "\n".join(lines)) for level, lines in passages]
 
 
-_PARSED = "own string, said array<string>, quoted array<struct<level int, passage int, chars int, sentence string>>"
+_PARSED = "own string, said array<string>, quoted array<struct<level int, passage int, reading int, chars int, sentence string>>"
 
 
 def _parse(text: Column) -> Column:
@@ -81,9 +103,9 @@ def _parse(text: Column) -> Column:
             out = []
             for t in texts:
                 own, passages = parse_quotes(t or "")
-                out.append((own if t is not None else None, sorted(set(sentences(own))),
-                            [{"level": level, "passage": k, "chars": len(s), "sentence": s}
-                             for k, (level, passage) in enumerate(passages) for s in sentences(passage)]))
+                out.append((own if t is not None else None, sorted({s for one in readings(own) for s in one}),
+                            [{"level": level, "passage": k, "reading": n, "chars": len(s), "sentence": s}
+                             for k, (level, passage) in enumerate(passages) for n, one in enumerate(readings(passage)) for s in one]))
             yield pd.DataFrame(out, columns=["own", "said", "quoted"])
     return parse(text)
 
@@ -97,7 +119,7 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
                               _parse(F.col(f"row.`{text}`")).alias("p"))
         .select("row", "conv", "turn", "p.*"), "quotes_parsed")
     quoted = (parsed.select("conv", "turn", F.explode("quoted").alias("q"))
-              .select("conv", "turn", "q.level", "q.passage", "q.chars",
+              .select("conv", "turn", "q.level", "q.passage", "q.reading", "q.chars",
                       F.xxhash64("q.sentence").alias("h"), F.col("q.sentence").alias("s")))
     wanted = quoted.select("conv", "h").distinct()
     # the first message of the conversation that said a quoted sentence
@@ -106,13 +128,13 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
              .groupBy("conv", "h", "s").agg(F.min("turn").alias("origin")))
     per_origin = (quoted.join(first, ["conv", "h", "s"], "left")
                   .withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
-                  .groupBy("conv", "turn", "passage", "level", "origin").agg(F.sum("chars").alias("n")))
-    best = (per_origin.groupBy("conv", "turn", "passage", "level")
+                  .groupBy("conv", "turn", "passage", "level", "reading", "origin").agg(F.sum("chars").alias("n")))
+    best = (per_origin.groupBy("conv", "turn", "passage", "level", "reading")
             .agg(F.sum("n").alias("all"),
                  F.max(F.when(F.col("origin").isNotNull(), F.struct("n", (-F.col("origin")).alias("o")))).alias("b"))
             .where(F.col("b.n") >= COVER * F.col("all")))
     links = cut_lineage(best.groupBy("conv", "turn")
-                        .agg(F.min(F.struct("level", "passage", (-F.col("b.o")).alias("to"))).alias("x"))
+                        .agg(F.min(F.struct("level", "passage", (-F.col("b.n") / F.col("all")).alias("part"), (-F.col("b.o")).alias("to"))).alias("x"))
                         .select("conv", "turn", F.col("x.to").alias("reply_to")), "quotes_links")
     roots = _roots(links)
     r, t = parsed.alias("m"), roots.alias("t")

@@ -151,6 +151,18 @@ def test_quote_links(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_partial_quotes_of_lines_without_end_punctuation(spark):
+    said = ["Hi Ann,\n\nThe meeting is at noon.", "To buy\n- two eggs\n- some milk\n- bread", "Plan\nWe all meet there\nat the old gate.\nBring Bob",
+            "First of all the gate\nis shut"]
+    asked = [("> The meeting is at noon.", 0), ("> - some milk", 1), ("> - two eggs\n> - some milk", 1), ("> We all meet there at the old gate.", 2),
+             ("> We all meet\n> there at the old\n> gate.", 2), ("> Hi Ann,\n>\n> The meeting\n> is at noon.", 0), ("> Hi Ann,", 0),
+             ("> First of all\n> the gate is shut", 3), ("> Bring Bob\n> First of all the mill", None), ("> some milk and bread", None)]
+    rows = [(1, t, s) for t, s in enumerate(said)] + [(1, 10 + t, q + "\nNothing more of number " + str(t)) for t, (q, _) in enumerate(asked)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {r.turn: (r.reply_to, r.n_passages) for r in quotes.link_quotes(df).collect()}
+    assert got == {t: (None, 0) for t in range(4)} | {10 + t: (to, 1) for t, (_, to) in enumerate(asked)}
+
+
 def test_long_reply_chains_and_repeated_rows(spark):
     rows = [(1, t, "user", (f"> message number {t - 1} is here\n" if t else "") + f"Message number {t} is here.") for t in range(70)]
     df = spark.createDataFrame(rows + rows[-1:], "conv_id long, turn long, role string, text string")
