@@ -223,21 +223,25 @@ def train(texts: Sequence[bytes], langs: Sequence[str], hidden: int = HIDDEN, ep
 def sample_windows(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", per_lang: int = DOCS,
                    draws: int = DRAWS) -> list[tuple[str, bytes]]:
     """(language, window) of the training sample, in a fixed order: the
-    documents of smallest id hash of each language, windows at hashed places."""
+    documents of smallest id hash of each language, windows at hashed places.
+    Rows of one language and id count as one document, with the windows that
+    sort first."""
     t, key = F.col("text"), F.md5(F.col("ident").cast("string"))
     src = (docs.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
            .where("ident is not null and lang is not null and text is not null"))
-    # a histogram of the hashes tells where each language's sample ends, so only rows up to there are ranked
-    keyed = src.select("ident", "lang", key.alias("key"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket"))
+    # a histogram of the hashes tells where each language's sample ends, so only ids up to there are ranked
+    ids = cut_lineage(src.select("ident", "lang").distinct(), "langid_ids")
+    keyed = ids.select("ident", "lang", key.alias("key"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket"))
     below = F.sum("count").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     ends = cut_lineage(keyed.groupBy("lang", "bucket").count().withColumn("below", F.coalesce(below, F.lit(0)))
                        .where(F.col("below") < per_lang).groupBy("lang").agg(F.max("bucket").alias("end")), "langid_ends")
     best = (keyed.join(ends, "lang").where("bucket <= end")
             .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "ident"))).where(F.col("n") <= per_lang))
     at = lambda k: 1 + F.pmod(F.xxhash64("ident", F.lit(k)), F.greatest(F.length(t) - WINDOW + 1, F.lit(1))).cast("int")
-    chosen = best.select("ident", "key").distinct()
-    rows = (src.join(chosen, "ident")
-            .select("lang", "key", F.posexplode(F.array(*[F.substring(t, at(k), F.lit(WINDOW)) for k in range(draws)])))
+    # at most per_lang ids of a language: small enough to broadcast, so the rows of a common id are reduced where they are read
+    rows = (src.join(F.broadcast(best.select("lang", "ident", "key")), ["lang", "ident"])
+            .groupBy("lang", "key").agg(F.min(F.array(*[F.substring(t, at(k), F.lit(WINDOW)) for k in range(draws)])).alias("windows"))
+            .select("lang", "key", F.posexplode("windows"))
             .orderBy("lang", "key", "pos", "col").collect())
     return [(r["lang"], r["col"].encode("utf-8")[:WINDOW]) for r in rows if r["col"]]
 

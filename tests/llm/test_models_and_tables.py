@@ -214,6 +214,15 @@ def test_language_edges(spark, edge, none):
     assert {r.lang_pred for r in langid.identify(edge, F.lit(False)).collect()} == {"und"}
 
 
+def test_sample_of_ids_that_hold_many_rows_stays_bounded(spark):
+    rows = [(3, f"text {i} of the common id", lang) for i in range(300) for lang in ("en", "de")] + [(i, f"own {i}", "en") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.sample_windows(df, per_lang=4, draws=3)
+    assert sorted(lang for lang, _ in sample) == ["de"] * 3 + ["en"] * 12
+    assert {w for lang, w in sample if w.startswith(b"own")} == {b"own 0", b"own 1", b"own 2"}
+    assert sample == langid.sample_windows(df.repartition(7), per_lang=4, draws=3)
+
+
 def test_pooling_reads_every_byte():
     net = langid.ByteGru.fresh(["a", "b"])
     texts = [b"x" * 64, b"", b"ab" * (langid.WINDOW * langid.BLOCK), b"q"]
