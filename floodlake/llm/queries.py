@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, mixing, quality_crf, quality_rules, quotes, simhash, url_filter
+from . import bpe, exact_dedup, langid, licenses, line_dedup, mixing, quality_crf, quality_rules, quotes, simhash, url_filter
 from .common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,12 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.drop_lines(line_dedup.insert(None, docs), docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -77,7 +83,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_byte_bpe, op3_source_mixing, op4_quote_links, op5_license_scan, op6_quality_rules,
-    op7_language_id, op8_simhash, op9_exact_dedup, op10_quality_crf)} | {"pipeline": _pipeline}
+    op7_language_id, op8_simhash, op9_exact_dedup, op10_quality_crf, op11_line_dedup)} | {"pipeline": _pipeline}
 
 
 def _glob_regex(glob: str) -> str:
@@ -130,4 +136,14 @@ g AS (SELECT doc_id, body, count(*) OVER (PARTITION BY body) AS group_size,
   first_value(doc_id) OVER (PARTITION BY body ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM d)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256 FROM g"""
 
-ORACLES = {"op1_url_filter": _url_sql(), "op6_quality_rules": _QUALITY_SQL, "op9_exact_dedup": _DEDUP_SQL}
+_LINE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^{_BLANK}+', ''), '{_BLANK}+$', ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= {line_dedup.MIN_CHARS} GROUP BY key),
+m AS (SELECT rid, k.doc_id, pos, line, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM first AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY rid, doc_id"""
+
+ORACLES = {"op1_url_filter": _url_sql(), "op6_quality_rules": _QUALITY_SQL, "op9_exact_dedup": _DEDUP_SQL, "op11_line_dedup": _LINE_SQL}

@@ -91,3 +91,26 @@ def dedup_rows(docs):
         keep = min(rows, key=lambda r: (r[0], r[1], r[2] if r[2] is not None else 0))[2]
         out += [(d, keep, len(rows), d == keep, hashlib.sha256(body.encode()).hexdigest()) for _, _, d in rows]
     return out
+
+
+def sort_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def line_rows(docs):
+    """(doc_id, n_lines, n_dropped, kept text) of (doc_id, text) rows."""
+    def key(line):
+        k = line.encode().strip(b" \t\n\x0b\x0c\r").lower().decode()
+        return k if len(k) >= 10 else None
+    first = {}
+    for d, text in docs:
+        for line in (text or "").split("\n"):
+            if key(line) is not None:
+                order = (d is None, d or 0)
+                first[key(line)] = min(first.get(key(line), order), order)
+    out = []
+    for d, text in docs:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if key(x) is None or first[key(x)] == (d is None, d or 0)]
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
