@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import zlib
 from collections import Counter
 
 import public_tokenizers
@@ -114,3 +115,36 @@ def line_rows(docs):
         kept = [x for x in lines if key(x) is None or first[key(x)] == (d is None, d or 0)]
         out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
+
+
+def spelling_counts(docs, min_chars=7, min_count=2):
+    """word -> n of (doc_id, text) rows, every 31st word of a document with a letter less."""
+    counts = Counter()
+    for d, text in docs:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = lower(w)
+            h = zlib.crc32(f"{'null' if d is None else d}:{w}".encode())
+            if h % 31 == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            counts[w] += 1
+    return {w: n for w, n in counts.items() if n >= min_count and len(w) >= min_chars}
+
+
+def spelling_rows(counts, ratio=10):
+    """(word, form, root, n, n_near, form_n) rows of word -> n."""
+    letters = sorted({c for w in counts for c in w})
+    form, near = {}, {}
+    for w in counts:
+        around = {w[:i] + w[i + 1:] for i in range(len(w))} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        around |= {w[:i] + c + w[i + 1:] for i in range(len(w)) for c in letters}
+        around = (around & counts.keys()) - {w}
+        near[w] = len(around)
+        best = min(around, key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * counts[w] else None
+    out = []
+    for w in counts:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, counts[w], near[w], counts.get(form[w])))
+    return out
