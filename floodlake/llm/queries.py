@@ -10,10 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, line_dedup, mixing, quality_crf, quality_rules, quotes, simhash, spelling, url_filter
+from . import bpe, crosstoken, exact_dedup, langid, licenses, line_dedup, mixing, quality_crf, quality_rules, quotes, simhash, spelling, url_filter
 from .common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER_A, TOKENIZER_B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: a document is predicted good from this score on
 GOOD = 0.3
 #: one word in so many of a document gets a misspelling for op13 to find
@@ -78,6 +79,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.align(table(spark, sf_dir, "documents"), TOKENIZER_A, TOKENIZER_B)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), typo_every=TYPO_EVERY))
 
@@ -89,7 +94,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_byte_bpe, op3_source_mixing, op4_quote_links, op5_license_scan, op6_quality_rules,
-    op7_language_id, op8_simhash, op9_exact_dedup, op10_quality_crf, op11_line_dedup, op13_spelling_variants)} | {"pipeline": _pipeline}
+    op7_language_id, op8_simhash, op9_exact_dedup, op10_quality_crf, op11_line_dedup, op12_token_alignment, op13_spelling_variants)} | {"pipeline": _pipeline}
 
 
 def _glob_regex(glob: str) -> str:

@@ -148,3 +148,60 @@ def spelling_rows(counts, ratio=10):
             root = form[root]
         out.append((w, form[w], root, counts[w], near[w], counts.get(form[w])))
     return out
+
+
+def alignment_rows(docs):
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum of
+    (doc_id, text) rows, each text tokenized whole."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+    a_tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a_tok.encode_special_tokens = True
+    b_tok = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    a_bytes = {i: bytes(chars[c] for c in t) for t, i in a_tok.get_vocab(with_added_tokens=False).items()}
+
+    def b_bytes(i):
+        p = b_tok.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode()
+    found, held = [], Counter()
+    for d, text in docs:
+        data = (" " + (text or "")).encode()
+        a = a_tok.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = b_tok.encode(text) if text else []
+        if not text or b"".join(a_bytes[x] for x in a) != data or b"".join(map(b_bytes, b)) != data:
+            found.append((d, 0, 0, 0, [], ""))
+            continue
+        spans = []
+        for ids, of in ((a, a_bytes.__getitem__), (b, b_bytes)):
+            at, mine = 0, []
+            for x in ids:
+                mine.append((at, at + len(of(x)), x))
+                at += len(of(x))
+            spans.append(mine)
+        links, j = [], 0
+        for lo, hi, x in spans[0]:
+            while spans[1][j][1] <= lo:
+                j += 1
+            k = j
+            while k < len(spans[1]) and spans[1][k][0] < hi:
+                links.append((x, spans[1][k][2]))
+                k += 1
+        cuts = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+        groups, pos = [], [0, 0]
+        for cut in cuts:
+            sides = []
+            for s in (0, 1):
+                begin = pos[s]
+                while pos[s] < len(spans[s]) and spans[s][pos[s]][1] <= cut:
+                    pos[s] += 1
+                sides.append(",".join(str(x) for _, _, x in spans[s][begin:pos[s]]))
+            groups.append("|".join(sides))
+        found.append((d, len(a), len(b), len(groups), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
+        held.update(set(links))
+    top = {}
+    for (x, _), n in held.items():
+        top[x] = max(top.get(x, 0), n)
+    return [(d, a, b, g, len(links), sha, sum(held[p] == top[p[0]] for p in links), sum(held[p] for p in links))
+            for d, a, b, g, links, sha in found]
