@@ -58,9 +58,11 @@ LONG, CHUNK = 1 << 16, 1 << 15
 #: fragments composed by one task in one step
 FAN = 32
 #: units kept in a Python worker; longer ones are not kept beyond their rows
-KEEP, LONG_UNIT = 150_000, 64
+KEEP, LONG_UNIT = 250_000, 64
 #: texts tokenized at a time; texts and (text, pair) entries of a block
-ROWS, BLOCK_ROWS, BLOCK_ENTRIES = 400, 8192, 3_000_000
+ROWS, BLOCK_ROWS, BLOCK_ENTRIES = 400, 8192, 1_500_000
+#: new units that the tokenizers get as one string
+TOGETHER = 2000
 
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"\s ")
@@ -201,6 +203,7 @@ class Units:
         self.stats = np.zeros((0, 3), np.int64)     # n_a, n_b, n_groups; -1 where the bytes differ
         self.pairs, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.uses = np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -211,35 +214,53 @@ class Units:
         return [" " + x for x in text[1:].split(" ")]
 
     def _learn(self, units: list[str]) -> None:
-        ids_a, ids_b = self.tok.encode(units)
-        good = [self.tok.same(u, x, y) for u, x, y in zip(units, ids_a, ids_b)]
-        # all new units are aligned as one row of bytes: their borders are common ends
-        keep = [(x, y) for x, y, g in zip(ids_a, ids_b, good) if g]
-        a = np.array([t for x, _ in keep for t in x], np.int64)
-        b = np.array([t for _, y in keep for t in y], np.int64)
+        """New units: those that may stand before another one go through the
+        tokenizers in long strings (their borders are token ends there as
+        everywhere), the others one by one."""
+        # behind white space the next unit's blank is no safe place
+        plain = [u for u in units if not u[-1].isspace()]
+        alone = [u for u in units if u[-1].isspace()]
+        for low in range(0, len(plain), TOGETHER):
+            some = plain[low:low + TOGETHER]
+            row = "".join(some)
+            (a,), (b,) = self.tok.encode([row])
+            if self.tok.same(row, a, b):
+                self._keep(some, np.array(a, np.int64), np.array(b, np.int64), np.cumsum([len(u.encode("utf-8")) for u in some]))
+            else:
+                alone += some
+        if alone:
+            ids_a, ids_b = self.tok.encode(alone)
+            good = [self.tok.same(u, x, y) for u, x, y in zip(alone, ids_a, ids_b)]
+            kept = [(u, x, y) for u, x, y, g in zip(alone, ids_a, ids_b, good) if g]
+            if kept:
+                self._keep([u for u, _, _ in kept], np.array([t for _, x, _ in kept for t in x], np.int64),
+                           np.array([t for _, _, y in kept for t in y], np.int64), np.cumsum([len(u.encode("utf-8")) for u, _, _ in kept]))
+            for u, g in zip(alone, good):
+                if not g:
+                    self._add([u], [b""], np.full((1, 3), -1), np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _keep(self, units: list[str], a: np.ndarray, b: np.ndarray, borders: np.ndarray) -> None:
+        """Align units as one row of bytes and take the row apart at their borders."""
         a_ends, b_ends, cuts, pairs, starts = self.tok.align(a, b)
         names, group = self.tok.spell(a, b, a_ends, b_ends, cuts)
-        borders = a_ends[np.cumsum([len(x) for x, _ in keep]) - 1] if keep else _NONE
-        last_group = np.searchsorted(cuts, borders) + 1         # groups up to the end of each unit
-        to_name, to_pair = np.searchsorted(group, last_group), np.searchsorted(starts, borders)
-        n, stats, lengths, at, low, groups = len(self.at), [], [], 0, 0, 0
-        for u, x, y, g in zip(units, ids_a, ids_b, good):
-            self.at[u] = n
-            n += 1
-            if not g:
-                self.texts.append(b"")
-                stats.append((-1, -1, -1))
-                lengths.append(0)
-                continue
-            self.texts.append(b"".join(names[low:to_name[at]])[:-1])
-            stats.append((len(x), len(y), last_group[at] - groups))
-            lengths.append(to_pair[at] - (to_pair[at - 1] if at else 0))
-            low, groups = to_name[at], last_group[at]
-            at += 1
-        self.stats = np.concatenate([self.stats, np.array(stats, np.int64).reshape(-1, 3)])
-        self.pairs = np.concatenate([self.pairs, pairs.astype(np.uint32)])
-        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(lengths)].astype(np.int64)
-        self.uses = np.r_[self.uses, np.zeros(len(units), np.int64)]
+        groups = np.searchsorted(cuts, borders) + 1         # so many up to the end of each unit
+        to_name = np.searchsorted(group, groups).tolist()
+        texts = [b"".join(names[low:high])[:-1] for low, high in zip([0, *to_name], to_name)]
+        counts = [np.diff(x, prepend=0) for x in (np.searchsorted(a_ends, borders, "right"), np.searchsorted(b_ends, borders, "right"), groups)]
+        self._add(units, texts, np.stack(counts, axis=1), pairs.astype(np.uint32), np.diff(np.searchsorted(starts, borders), prepend=0))
+
+    def _add(self, units: list[str], texts: list[bytes], stats: np.ndarray, pairs: np.ndarray, lengths: np.ndarray) -> None:
+        self.at.update(zip(units, range(len(self.at), len(self.at) + len(units))))
+        self.texts += texts
+        self.new.append((stats, pairs, lengths))
+
+    def _settle(self) -> None:
+        """Add what was learnt to the arrays."""
+        stats, pairs, lengths = zip(*self.new)
+        self.stats, self.pairs = np.concatenate([self.stats, *stats]), np.concatenate([self.pairs, *pairs])
+        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(np.concatenate(lengths))].astype(np.int64)
+        self.uses = np.r_[self.uses, np.zeros(len(self.at) - len(self.uses), np.int64)]
+        self.new = []
 
     def look(self, units: list[str]) -> np.ndarray:
         """The places of units; new ones are aligned first."""
@@ -248,6 +269,7 @@ class Units:
         places = list(map(self.at.get, units))
         if None in places:
             self._learn(list({u for u, p in zip(units, places) if p is None}))
+            self._settle()
             places = list(map(self.at.__getitem__, units))
         out = np.array(places, np.int64)
         self.uses += np.bincount(out, minlength=len(self.uses))
