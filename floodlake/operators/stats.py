@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from . import selection
+
 # The quantiles reported for the flood-stage study and the
 # flood level used in the grid profile.
 DISTRIBUTION_PROBS = [0.5, 0.95, 0.99, 0.999]
@@ -17,20 +20,20 @@ def flow_distribution(df: DataFrame, flow: str = "flow", keys: Sequence[str] = (
                       approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """Mean, median, p95, p99, p99.9 (linear interpolation) and max.
 
-    Exact ``percentile`` keeps a value -> count map per group (bounded by
-    the distinct flows of a basin); ``approx=True`` switches to
-    ``percentile_approx`` for unbounded groups.
+    The quantiles are exact, by ``selection`` (no task holds the values of a
+    basin); ``approx=True`` takes one pass of ``percentile_approx``.
     """
-    if approx:
-        q = F.percentile_approx(flow, DISTRIBUTION_PROBS, accuracy)
-    else:
-        q = F.percentile(flow, F.array(*[F.lit(p) for p in DISTRIBUTION_PROBS]))
-    g = df.groupBy(*keys).agg(F.avg(flow).alias("mean_flow"), q.alias("_q"), F.max(flow).alias("max_flow"))
+    g = df.groupBy(*keys).agg(F.avg(flow).alias("mean_flow"), F.max(flow).alias("max_flow"),
+                              *([F.percentile_approx(flow, DISTRIBUTION_PROBS, accuracy).alias("q")] if approx else []))
+    if not approx:
+        df = cut_lineage(df.select(*keys, flow), "flow_values")
+        g = (df.groupBy(*keys).agg(F.avg(flow).alias("mean_flow"), F.max(flow).alias("max_flow"))
+             .join(selection.quantiles(df, flow, DISTRIBUTION_PROBS, keys), list(keys), "left"))
     return g.select(*keys, "mean_flow",
-                    F.col("_q")[0].cast("double").alias("median_flow"),
-                    F.col("_q")[1].cast("double").alias("p95_flow"),
-                    F.col("_q")[2].cast("double").alias("p99_flow"),
-                    F.col("_q")[3].cast("double").alias("p999_flow"),
+                    F.col("q")[0].cast("double").alias("median_flow"),
+                    F.col("q")[1].cast("double").alias("p95_flow"),
+                    F.col("q")[2].cast("double").alias("p99_flow"),
+                    F.col("q")[3].cast("double").alias("p999_flow"),
                     "max_flow")
 
 
