@@ -26,10 +26,11 @@ rows score null.
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -389,6 +390,28 @@ def predict(df: DataFrame, fitted: Fitted, out: str = "prediction") -> DataFrame
     return met.select("_row.*", total.alias(out))
 
 
+def save(spark: SparkSession, fitted: Fitted, path: str, meta: dict | None = None) -> None:
+    """Models as a table (a row a basin) and their settings as one JSON line; works on any Hadoop path."""
+    rows = [(str(k), m.base, m.edges, [(t.feature, t.cut, t.value, t.gain) for t in m.trees]) for k, m in fitted.models.items()]
+    spark.createDataFrame(rows, "key string, base double, edges array<array<double>>, "
+                          "ts array<struct<f: array<int>, c: array<int>, v: array<double>, w: array<double>>>").write.mode("overwrite").parquet(f"{path}/models")
+    text = json.dumps({"key": fitted.key, "order": fitted.order, "names": fitted.names, "forest": fitted.forest,
+                       "settings": asdict(fitted.settings), "meta": meta or {}})
+    spark.createDataFrame([(text,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str) -> tuple[Fitted, dict]:
+    """What ``save`` wrote: the models and the caller's ``meta``; keys come
+    back as whole numbers where they are written as such."""
+    text = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    s = Settings(**text["settings"])
+    models = {}
+    for r in spark.read.parquet(f"{path}/models").collect():     # a row a basin
+        k = int(r.key) if r.key.lstrip("-").isdigit() else r.key
+        models[k] = Model(r.base, r.edges, [Tree(s.depth, t.f, t.c, t.v, t.w) for t in r.ts])
+    return Fitted(text["key"], text["order"], text["names"], s, models, text["forest"]), text["meta"]
+
+
 def gain_importance(spark: SparkSession, fitted: Fitted) -> DataFrame:
     """key, feature, importance (M7): the gain of a feature's splits, shares
     of the basin's total; mean gain of a split for boosted models, the sum of

@@ -18,7 +18,7 @@ from ..fixtures import view
 from ..functions.geo import haversine_km
 from ..functions.text import basin_from_file, name_score, station_from_file, unescape_unicode
 from ..functions.timecols import as_text, forecast_windows
-from ..operators import alerts, events, forecast, grid, live, match, metrics, ml, quality, spatial, stats
+from ..operators import alerts, boost, events, forecast, grid, live, match, metrics, ml, quality, spatial, stats
 from ..operators import features as feat
 from ..session import cut_lineage
 from ..sources import dims, feeds, files
@@ -791,3 +791,43 @@ def q_flow_model_gbt(spark, d):
             "n_trees", F.lit(r["model"].stages[-1].getNumTrees))
         result = part if result is None else result.unionByName(part)
     return result
+
+
+#: the reference settings take 600 rounds; the queries take few, without
+#: random shares, so that SQL can follow the first split
+WARNING_CHECK = boost.Settings(rounds=8, depth=3, row_share=1.0, feature_share=1.0, bins=32)
+PATIENCE_CHECK = boost.Settings(rounds=16, depth=3, rate=0.5, row_share=1.0, feature_share=1.0, bins=32, min_weight=5.0, loss="squared", patience=4)
+
+
+def warning(spark, d):
+    return models.warn_early(rounded(feat.clean_features(merged(spark, d))), FIXTURE_FLOOD_LEVEL, FIXTURE_SPLIT_AT, settings=WARNING_CHECK)
+
+
+@register("early_warning")
+def q_early_warning(spark, d):
+    """What each basin's model was trained on, its first split, and how many hours it scores."""
+    got = warning(spark, d)
+    roots = []
+    for b, m in got["fitted"].models.items():      # a row a basin
+        first = boost.split_thresholds(got["fitted"], b)[:1]
+        t = m.trees[0]
+        roots.append((b, *((first[0][1], first[0][2], first[0][3], t.value[2], t.value[3]) if first else (None,) * 5)))
+    roots = spark.createDataFrame(roots, "basin_id long, root_feature string, root_threshold double, root_gain double, "
+                                  "left_value double, right_value double")
+    scored = got["scored"].groupBy("basin_id").agg(F.count(F.when(F.col("flood_probability").between(0, 1), 1)).alias("n_scored"))
+    return rounded(got["facts"].join(roots, "basin_id", "left").join(scored, "basin_id", "left")
+                   .withColumn("basin_id", F.col("basin_id").cast(got["facts"].schema["basin_id"].dataType)))
+
+
+@register("early_warning_scores")
+def q_early_warning_scores(spark, d):
+    return warning(spark, d)["scored"]
+
+
+@register("flow_model_patience")
+def q_flow_model_patience(spark, d):
+    """Boosted flow regressor of all basins: rounds run and kept, best error, and the metrics of the kept rounds."""
+    got = models.regress_flow(rounded(feat.clean_features(merged(spark, d))), FIXTURE_FLOOD_LEVEL, FIXTURE_SPLIT_AT, settings=PATIENCE_CHECK)
+    runs = spark.createDataFrame([(b, len(m.loss), len(m.trees), min(m.loss[:len(m.trees)], default=None)) for b, m in got["fitted"].models.items()],
+                                 "basin_id long, rounds_run int, n_trees int, best_rmse double")
+    return rounded(got["metrics"].join(got["flood"], "basin_id").join(runs, "basin_id"))

@@ -722,3 +722,29 @@ _al_cols = ", ".join("0.0 AS Soil_Moisture_EWM" if c == "Soil_Moisture_EWM"
                      else (f"CAST({c} AS DOUBLE) AS {c}" if c in _INT_FEATURES else r6(c, c))
                      for c in FEATURE_NAMES)
 ORACLES["align_features"] = _features_clean(f"SELECT basin_id, hour, {_al_cols} FROM fc")
+
+# the training rows of each basin, every split of the first node over quantile edges, and the best of them
+_ew_values = ", ".join(f"CAST({c if c in _INT_FEATURES else f'round({c}, 6) + 0.0'} AS DOUBLE)" for c in FEATURE_NAMES)
+_ew_names = ", ".join(f"'{c}'" for c in FEATURE_NAMES)
+ORACLES["early_warning"] = _features_clean(f"""
+, base AS (SELECT basin_id, hour, round(flow2, 6) AS flow, [{_ew_values}] AS x FROM fc)
+, lab AS (SELECT *, coalesce(CAST(lead(flow) {_W} > 25.0 AS INTEGER), 0) AS y, hour <= TIMESTAMP '2024-01-20 00:00:00' AS train FROM base)
+, facts AS (SELECT basin_id, count(*) FILTER (WHERE train) AS n_train, count(*) FILTER (WHERE NOT train) AS n_test,
+    CAST(coalesce(sum(y) FILTER (WHERE train), 0) AS BIGINT) AS train_floods FROM lab GROUP BY basin_id)
+, wt AS (SELECT *, (n_train - train_floods) / CAST(greatest(train_floods, 1) AS DOUBLE) AS spw FROM facts)
+, long AS (SELECT basin_id, unnest(range(0, 38)) AS feature, unnest(x) AS v, CASE WHEN y = 1 THEN spw ELSE 1.0 END AS w, y
+           FROM lab JOIN wt USING (basin_id) WHERE train)
+, ranked AS (SELECT basin_id, feature, v, row_number() OVER (PARTITION BY basin_id, feature ORDER BY v) - 1 AS r,
+             count(*) OVER (PARTITION BY basin_id, feature) AS n FROM long)
+, edges AS (SELECT DISTINCT basin_id, feature, v AS e FROM ranked, (SELECT unnest(range(1, 32)) AS k) WHERE r = (k * (n - 1)) // 32)
+, sides AS (SELECT basin_id, feature, e, sum(w * (0.5 - y)) FILTER (WHERE v <= e) AS gl, sum(w * 0.25) FILTER (WHERE v <= e) AS hl,
+            sum(w * (0.5 - y)) AS g, sum(w * 0.25) AS h, count(*) FILTER (WHERE v > e) AS nr
+            FROM long JOIN edges USING (basin_id, feature) GROUP BY basin_id, feature, e)
+, gains AS (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain
+            FROM sides WHERE nr > 0 AND hl >= 1 AND h - hl >= 1)
+, best AS (SELECT * FROM gains WHERE gain > 1e-9
+           QUALIFY row_number() OVER (PARTITION BY basin_id ORDER BY round(gain, 9) DESC, feature, e) = 1)
+SELECT wt.basin_id, n_train, n_test, train_floods, {r6('spw', 'scale_pos_weight')}, [{_ew_names}][feature + 1] AS root_feature,
+       {r6('e', 'root_threshold')}, {r6('gain', 'root_gain')}, {r6('-0.05 * gl / (hl + 1)', 'left_value')},
+       {r6('-0.05 * (g - gl) / (h - hl + 1)', 'right_value')}, CASE WHEN n_train > 0 AND n_test > 0 THEN n_test END AS n_scored
+FROM wt LEFT JOIN best USING (basin_id)""")
