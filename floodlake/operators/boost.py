@@ -131,8 +131,14 @@ _WALK = ("aggregate(sequence(1, {depth}), 1, (k, i) -> CASE WHEN {t}.f[k] < 0 TH
 _TREE_TYPE = "struct<f: array<int>, c: array<int>, v: array<double>>"
 
 
-def _rows_of_trees(spark: SparkSession, rows: list[tuple], key_type: str, key: str) -> DataFrame:
-    return spark.createDataFrame(rows, f"`{key}` {key_type}, tree int, t {_TREE_TYPE}")
+def _driver_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of the driver's models, as one constant: unlike
+    ``createDataFrame`` it needs no Python worker to be read."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def _walkable(tree: Tree) -> dict:
+    return {"f": tree.feature, "c": tree.cut, "v": tree.value}
 
 
 def grow(rows: DataFrame, targets: list[tuple], settings: Settings, key: str, n_features: int,
@@ -148,7 +154,8 @@ def grow(rows: DataFrame, targets: list[tuple], settings: Settings, key: str, n_
         growing = [t for t in targets if open_[t]]
         if not growing:
             break
-        known = _rows_of_trees(spark, [(*t, (trees[t].feature, trees[t].cut, [])) for t in growing], key_type, key)
+        known = _driver_rows(spark, [{key: t[0], "tree": t[1], "t": _walkable(trees[t])} for t in growing],
+                             f"`{key}`: {key_type}, tree: int, t: {_TREE_TYPE}")
         node = F.expr(_WALK.format(depth=level, t="t")) if level else F.lit(1)
         # bounded: a row for each tree that grows now
         at = (rows.join(F.broadcast(known), [key, "tree"]).withColumn("node", node).where(F.col("node") >= 1 << level)
@@ -199,8 +206,8 @@ def _with_margin(rows: DataFrame, pending: dict, key: str, depth: int) -> DataFr
     if not any(pending.values()):
         return rows
     key_type = rows.schema[key].dataType.simpleString()
-    table = rows.sparkSession.createDataFrame(
-        [(k, [(t.feature, t.cut, t.value) for t in ts]) for k, ts in pending.items()], f"`{key}` {key_type}, ts array<{_TREE_TYPE}>")
+    table = _driver_rows(rows.sparkSession, [{key: k, "ts": [_walkable(t) for t in ts]} for k, ts in pending.items()],
+                         f"`{key}`: {key_type}, ts: array<{_TREE_TYPE}>")
     sums = F.expr(f"aggregate(ts, CAST(0 AS DOUBLE), (m, t) -> m + t.v[{_WALK.format(depth=depth, t='t')}])")
     # bounded: one row a basin, STRETCH trees each
     return rows.join(F.broadcast(table), key, "left").withColumn("margin", F.col("margin") + F.coalesce(sums, F.lit(0.0))).drop("ts")
@@ -227,8 +234,8 @@ def staged_loss(rows: DataFrame, pending: dict, key: str, depth: int, loss: str)
     if not any(pending.values()):
         return {}
     key_type = rows.schema[key].dataType.simpleString()
-    table = rows.sparkSession.createDataFrame(
-        [(k, [(t.feature, t.cut, t.value) for t in ts]) for k, ts in pending.items()], f"`{key}` {key_type}, ts array<{_TREE_TYPE}>")
+    table = _driver_rows(rows.sparkSession, [{key: k, "ts": [_walkable(t) for t in ts]} for k, ts in pending.items()],
+                         f"`{key}`: {key_type}, ts: array<{_TREE_TYPE}>")
     steps = F.expr("aggregate(ts, CAST(array(margin) AS ARRAY<DOUBLE>), (a, t) -> concat(a, array(element_at(a, -1) + t.v["
                    + _WALK.format(depth=depth, t="t") + "])))")
     curve = (rows.join(F.broadcast(table), key).select(key, "y", F.posexplode(F.slice(steps, 2, 1 << 20)).alias("k", "m"))
@@ -282,7 +289,7 @@ def _prepare(train: DataFrame, names: Sequence[str], label: str, weight: str | N
 def _bases(rows: DataFrame, models: dict, key: str) -> DataFrame:
     """The models' starting margins beside the rows of their basins."""
     key_type = rows.schema[key].dataType.simpleString()
-    base = rows.sparkSession.createDataFrame([(k, m.base) for k, m in models.items()], f"`{key}` {key_type}, margin double")
+    base = _driver_rows(rows.sparkSession, [{key: k, "margin": m.base} for k, m in models.items()], f"`{key}`: {key_type}, margin: double")
     return rows.join(F.broadcast(base), key)
 
 
@@ -373,9 +380,9 @@ def predict(df: DataFrame, fitted: Fitted, out: str = "prediction") -> DataFrame
     logistic loss and for forests, else the value; null without a model."""
     key, s = fitted.key, fitted.settings
     key_type = df.schema[key].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(
-        [(k, m.base, m.edges, [(t.feature, t.cut, t.value) for t in m.trees]) for k, m in fitted.models.items()],
-        f"`{key}` {key_type}, base double, edges array<array<double>>, ts array<{_TREE_TYPE}>")
+    table = _driver_rows(df.sparkSession, [{key: k, "base": m.base, "edges": m.edges, "ts": [_walkable(t) for t in m.trees]}
+                                           for k, m in fitted.models.items()],
+                         f"`{key}`: {key_type}, base: double, edges: array<array<double>>, ts: array<{_TREE_TYPE}>")
     have = set(df.columns)
     values = F.array(*[F.col(f"`{n}`").cast("double") if n in have else F.lit(0.0) for n in fitted.names])
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")

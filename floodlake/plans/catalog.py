@@ -20,6 +20,7 @@ from ..functions.text import basin_from_file, name_score, station_from_file, une
 from ..functions.timecols import as_text, forecast_windows
 from ..operators import alerts, boost, events, forecast, grid, live, match, metrics, ml, quality, spatial, stats
 from ..operators import features as feat
+from ..operators import longseries
 from ..session import cut_lineage
 from ..sources import dims, feeds, files
 from ..streaming import streams
@@ -831,3 +832,9 @@ def q_flow_model_patience(spark, d):
     runs = spark.createDataFrame([(b, len(m.loss), len(m.trees), min(m.loss[:len(m.trees)], default=None)) for b, m in got["fitted"].models.items()],
                                  "basin_id long, rounds_run int, n_trees int, best_rmse double")
     return rounded(got["metrics"].join(got["flood"], "basin_id").join(runs, "basin_id"))
+
+
+@register("features_clean_chunked")
+def q_features_clean_chunked(spark, d):
+    """The cleaned feature set with every basin spread over tasks: chunks of 256 hours with halos, the EWM as a tree of blocks."""
+    return rounded(longseries.clean_features(merged(spark, d), rows=256, block=64, fan=8))

@@ -748,3 +748,5 @@ SELECT wt.basin_id, n_train, n_test, train_floods, {r6('spw', 'scale_pos_weight'
        {r6('e', 'root_threshold')}, {r6('gain', 'root_gain')}, {r6('-0.05 * gl / (hl + 1)', 'left_value')},
        {r6('-0.05 * (g - gl) / (h - hl + 1)', 'right_value')}, CASE WHEN n_train > 0 AND n_test > 0 THEN n_test END AS n_scored
 FROM wt LEFT JOIN best USING (basin_id)""")
+
+ORACLES["features_clean_chunked"] = ORACLES["features_clean"]

@@ -11,7 +11,8 @@ from small_tables import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-SLOW = {"flood_model_rf", "feature_importance", "flow_model_gbt"}
+#: fits of many rounds; the same plans are tested with small settings in test_models_together.py and test_streaming_and_models.py
+SLOW = {"flood_model_rf", "feature_importance", "flow_model_gbt", "flow_model_patience"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")   # no pair-of-everything joins
 
 
