@@ -3,7 +3,8 @@
 Every document gives a digest (SHA-256 of its text without blanks). A
 Structured Streaming aggregation keeps one state per digest, on disk
 (RocksDB), without a watermark, so nothing ever expires: how many documents
-had it, and which one stays (most characters, then smallest id) with its
+had it, and which row stays (most characters, then smallest id, then text
+hash, then the place where the row was landed, so exactly one) with its
 locator (with the id it finds the content). Documents may arrive in any number of
 batches; feeding more later continues the same state.
 
@@ -16,9 +17,10 @@ first. Should two texts share a digest, the group is split by text.
 Only DataFrame and SQL functions; executors run no Python.
 
 Defined cases: null text counts as empty; empty texts are equal to each other
-and to texts of blanks; a null id is larger than any other; rows that repeat
-an id and text are one group and all carry its keep_id; an empty table gives
-an empty result; extra columns are not read.
+and to texts of blanks; ids may be of any type that can be ordered, and a null
+id is larger than any other; rows that share an id, repeated rows included,
+are rows of their own, of which one a group is kept and all carry its keep_id;
+an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -73,9 +75,15 @@ def _rocksdb(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _order(row: Column) -> Column:
+    """The row of a group that stays is the smallest in this order."""
+    return F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator", row.alias("row"))
+
+
 def feed_state(stream: DataFrame, state_dir: str) -> None:
-    """Fold all that the stream has now into the state in ``state_dir``."""
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), "locator")).alias("best")
+    """Fold all that the stream has now into the state in ``state_dir``. A
+    column ``row`` of the stream tells rows apart that are equal in all else."""
+    best = F.min(_order(F.col("row") if "row" in stream.columns else F.lit(0).cast("long"))).alias("best")
     with _rocksdb(stream.sparkSession):
         (stream.groupBy("digest").agg(F.count("*").alias("n"), best)
          .writeStream.outputMode("update").format("noop").option("checkpointLocation", state_dir)
@@ -83,13 +91,16 @@ def feed_state(stream: DataFrame, state_dir: str) -> None:
 
 
 def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
-    """digest, group_size, keep_id, keep_locator of every digest ever fed."""
+    """digest, group_size, keep_id, keep_locator, keep_row of every digest ever fed."""
     with _rocksdb(spark):
         state = cut_lineage(spark.read.format("statestore").load(state_dir), "dedup_state")
     value = state.schema["value"].dataType
     n, best = (f"value.`{f.name}`" for f in value.fields)
-    return state.select("key.digest", F.col(n).alias("group_size"), (-F.col(f"{best}.neg_id")).alias("keep_id"),
-                        F.col(f"{best}.locator").alias("keep_locator"))
+    return state.select("key.digest", F.col(n).alias("group_size"), *_kept(best))
+
+
+def _kept(best: str) -> list[Column]:
+    return [F.col(f"{best}.doc_id").alias("keep_id"), F.col(f"{best}.locator").alias("keep_locator"), F.col(f"{best}.row").alias("keep_row")]
 
 
 def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,17 +108,16 @@ def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFra
     spark = docs.sparkSession
     # the digests are landed once; the stream reads them as it would read new files
     feed_dir, state_dir = scratch_folder(spark, "dedup_feed"), scratch_folder(spark, "dedup_state")
-    landed = with_digest(docs, ident, text)
+    landed = with_digest(docs, ident, text).withColumn("row", F.monotonically_increasing_id())
     landed.write.parquet(feed_dir)
     feed = spark.read.schema(landed.schema).parquet(feed_dir)
     feed_state(spark.readStream.schema(landed.schema).parquet(feed_dir), state_dir)
     state = read_state(spark, state_dir)
     clash = cut_lineage(_clashes(docs, feed, state, ident, text), "dedup_clashes")
-    groups = feed.select("doc_id", "digest", "n_chars").join(state, "digest")
+    groups = feed.select("doc_id", "digest", "row").join(state, "digest")
     if not clash.isEmpty():
-        groups = _split(docs, groups, clash, ident, text)
-    return groups.select("doc_id", "digest", "keep_id", "group_size",
-                         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "keep_locator")
+        groups = _split(docs, feed, groups, clash, ident, text)
+    return groups.select("doc_id", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "keep_locator")
 
 
 def _clashes(docs: DataFrame, feed: DataFrame, state: DataFrame, ident: str, text: str) -> DataFrame:
@@ -121,14 +131,12 @@ def _clashes(docs: DataFrame, feed: DataFrame, state: DataFrame, ident: str, tex
             .where("low <> high").select("digest"))
 
 
-def _split(docs: DataFrame, groups: DataFrame, clash: DataFrame, ident: str, text: str) -> DataFrame:
+def _split(docs: DataFrame, feed: DataFrame, groups: DataFrame, clash: DataFrame, ident: str, text: str) -> DataFrame:
     """Groups again, by full text for the digests in ``clash``."""
-    mine = (docs.select(F.col(f"`{ident}`").alias("doc_id"), normalised(F.col(f"`{text}`")).alias("body"),
-                        F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long").alias("n_chars"), locator(F.col(f"`{text}`")).alias("locator"))
-            .withColumn("digest", F.unhex(F.sha2("body", 256))).join(clash, "digest", "left_semi"))
-    by_text = mine.groupBy("digest", "body").agg(
-        F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), "locator")).alias("best"))
-    split = (mine.join(by_text, ["digest", "body"])
-             .select("digest", "doc_id", "n_chars", "group_size", (-F.col("best.neg_id")).alias("keep_id"),
-                     F.col("best.locator").alias("keep_locator")))
+    body = normalised(F.col(f"`{text}`"))
+    texts = (docs.select(F.unhex(F.sha2(body, 256)).alias("digest"), locator(F.col(f"`{text}`")).alias("locator"), body.alias("body"))
+             .join(clash, "digest", "left_semi").distinct())
+    rows = feed.join(clash, "digest", "left_semi").join(texts, ["digest", "locator"])
+    by_text = rows.groupBy("digest", "body").agg(F.count("*").alias("group_size"), F.min(_order(F.col("row"))).alias("best"))
+    split = rows.join(by_text, ["digest", "body"]).select("digest", "doc_id", "row", "group_size", *_kept("best"))
     return groups.join(clash, "digest", "left_anti").unionByName(split)

@@ -142,10 +142,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN o ON f.source IS NOT DISTINCT FROM o.source"""
 
 _DEDUP_SQL = f"""
-WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '{_BLANK}', '', 'g') AS body FROM documents),
-g AS (SELECT doc_id, body, count(*) OVER (PARTITION BY body) AS group_size,
-  first_value(doc_id) OVER (PARTITION BY body ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM d)
-SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256 FROM g"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, length(coalesce(text, '')) AS n, coalesce(text, '') AS text,
+  regexp_replace(coalesce(text, ''), '{_BLANK}', '', 'g') AS body FROM documents),
+g AS (SELECT doc_id, body, count(*) OVER (PARTITION BY body) AS group_size, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place
+  FROM d WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id NULLS LAST, text, rid))
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM g"""
 
 _LINE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),

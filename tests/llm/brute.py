@@ -83,14 +83,15 @@ def classes(fps):
 
 
 def dedup_rows(docs):
-    """(doc_id, keep_id, group_size, kept, sha) of (doc_id, text) rows."""
+    """(doc_id, keep_id, group_size, kept, sha) of (doc_id, text) rows; of
+    equal rows one is kept."""
     groups = {}
     for d, text in docs:
-        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), d is None, d))
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), d is None, d if d is not None else 0, d))
     out = []
     for body, rows in groups.items():
-        keep = min(rows, key=lambda r: (r[0], r[1], r[2] if r[2] is not None else 0))[2]
-        out += [(d, keep, len(rows), d == keep, hashlib.sha256(body.encode()).hexdigest()) for _, _, d in rows]
+        rows.sort(key=lambda r: r[:3])
+        out += [(d, rows[0][3], len(rows), k == 0, hashlib.sha256(body.encode()).hexdigest()) for k, (*_, d) in enumerate(rows)]
     return out
 
 

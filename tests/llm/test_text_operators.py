@@ -124,11 +124,24 @@ def test_dedup_state_goes_on_over_batches(spark, tmp_path):
     assert got == {(2, 3), (6, 1), (7, 1)}
 
 
+def test_dedup_keeps_one_row_of_shared_missing_and_odd_ids(spark):
+    least = -(1 << 63)
+    cases = [[(5, "a b"), (5, "ab"), (6, "ab")], [(None, "x"), (None, " x")], [(3, "y"), (3, "y"), (None, "y")], [(least, "z"), (4, "z")],
+             [(7, "p q"), (7, "pq "), (None, "pq")]]
+    df = spark.createDataFrame([r for c in cases for r in c], "doc_id long, text string")
+    got = rows(exact_dedup.dedup(df).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest"))))
+    assert got == sorted(brute.dedup_rows([tuple(r) for r in df.collect()]), key=str)
+    assert sum(r[3] for r in got) == len(cases)
+    words = spark.createDataFrame([("b", "t t"), ("a", "t t"), (None, "tt"), ("a", "u")], "doc_id string, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(words).collect()}
+    assert got == {("a", "a", 3, True), ("b", "a", 3, False), (None, "a", 3, False), ("a", "a", 1, True)}
+
+
 def test_dedup_splits_a_digest_that_two_texts_share(spark, monkeypatch):
     monkeypatch.setattr(F, "sha2", lambda c, n: F.lit("00"))
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, " a"), (4, "c")], "doc_id long, text string")
-    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(df).collect()}
-    assert got == {(1, 3, 2, False), (3, 3, 2, True), (2, 2, 1, True), (4, 4, 1, True)}
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, " a"), (4, "c"), (4, "c")], "doc_id long, text string")
+    got = rows(exact_dedup.dedup(df).select("doc_id", "keep_id", "group_size", "kept"))
+    assert got == sorted([(1, 3, 2, False), (3, 3, 2, True), (2, 2, 1, True), (4, 4, 2, True), (4, 4, 2, False)], key=str)
 
 
 @pytest.mark.parametrize("crowd", [simhash.CROWD, 0, 1])
