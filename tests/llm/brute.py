@@ -38,6 +38,46 @@ def license_row(text, base):
     return (len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found})))
 
 
+def license_labels(text, lib):
+    """The labels of a text: votes of one template after another, no joins."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    labels = set(license_row(text, lib.BASE_PHRASES)[4].split(",")) - {""}
+    spans = []
+    for tid, (label, phrase) in enumerate(lib.TEMPLATES):
+        p = phrase.split()
+        grams = list(zip(p, p[1:]))
+        musts = {k for k, g in enumerate(grams) if re.search(r"\d", "".join(g))}
+        diagonals = {}
+        for pos, gram in enumerate(zip(words, words[1:])):
+            for k, g in enumerate(grams):
+                if g == gram:
+                    diagonals.setdefault(pos - k, []).append((pos, k))
+        run = []
+        for first, diag, hits in sorted((h[0][0], d, h) for d, h in diagonals.items()):
+            if run and abs(diag - run[-1][0]) <= lib.NEAR and first - run[-1][1][-1][0] <= lib.GAP:
+                run.append((diag, hits))
+                spans[-1][1].extend(hits)
+            else:
+                run = [(diag, hits)]
+                spans.append((tid, list(hits), label, len(grams), musts))
+    found = []
+    for tid, hits, label, total, musts in spans:
+        first, last = min(p for p, _ in hits), max(p for p, _ in hits)
+        cover = min(len(hits) / total, 1.0)
+        if cover >= lib.COVER and sum(k in musts for _, k in hits) >= len(musts) and last - first + 2 <= total + 1 + lib.GAP:
+            found.append((first, last, tid, label, cover, len(hits)))
+    stretches, reach = [], -1
+    for span in sorted(found):
+        if not stretches or span[0] > reach:
+            stretches.append([])
+        stretches[-1].append(span)
+        reach = max(reach, span[1])
+    for stretch in stretches:
+        best = max(stretch, key=lambda x: (x[4], x[5], -x[0], x[1], x[3]))
+        labels |= {x[3] for x in stretch if x[3] == best[3] or x[1] < best[0] or x[0] > best[1] or x[4:] >= best[4:]}
+    return ",".join(sorted(labels))
+
+
 def quality_row(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

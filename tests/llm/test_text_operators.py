@@ -63,7 +63,7 @@ def test_license_base_phrases(which, request):
 
 
 def test_license_spans_survive_an_inserted_and_a_lost_word(spark):
-    mit = dict(licenses.TEMPLATES[9:10])["mit"].split()
+    mit = next(p for n, p in licenses.TEMPLATES if n == "mit" and p.startswith("permission")).split()
     texts = ["x " + " ".join(mit), " ".join(mit[:9] + ["quite"] + mit[9:]), " ".join(mit[:7] + mit[8:]), " ".join(mit[:8]),
              "a copy of this and the license of any person", "Released under the\nMIT license.", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -73,6 +73,45 @@ def test_license_spans_survive_an_inserted_and_a_lost_word(spark):
     assert got[0].spans[0]["first"] == 1 and got[0].spans[0]["words"] == len(mit)
 
 
+def test_license_relatives_get_their_own_label_only(spark):
+    """Every template's own words, and versions and kinds that no template has."""
+    texts = [(n, p) for n, p in licenses.TEMPLATES]
+    texts += [("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."), ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0"), ("cc-by-4.0", "Licensed under CC BY 4.0!"),
+              ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0"), ("", "licensed under cc by 3.0"), ("", "licensed under cc by nc xy 4 0"),
+              ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+              ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3"),
+              ("", "this work is licensed under the gnu general public license version 2"), ("", "licensed under the apache license version 1 1"),
+              ("cc-by-4.0,mit", "Licensed under CC BY 4.0. Released under the MIT License."),
+              ("cc-by-4.0,cc-by-nc-4.0", "licensed under cc by nc 4 0 or else licensed under cc by 4 0")]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    base = {label for label, _ in licenses.BASE_PHRASES}
+    for k, (want, text) in enumerate(texts):
+        assert {x for x in got[k].labels.split(",") if x} - base == {x for x in want.split(",") if x}, text
+        assert {x for x in got[k].base_labels.split(",") if x} <= set(got[k].labels.split(","))
+
+
+@pytest.mark.parametrize("which", ["edge", "clashing", "docs", "noise"])
+def test_license_labels_equal_brute_force(spark, which, request):
+    if which == "noise":
+        rnd = random.Random(12)
+        pool = [w for _, p in (*licenses.TEMPLATES, *licenses.BASE_PHRASES) for w in p.split()]
+        def text():
+            out = []
+            for _ in range(rnd.randint(1, 5)):
+                words = rnd.choice(licenses.TEMPLATES)[1].split()
+                for _ in range(rnd.choice([0, 0, 1, 2])):
+                    k = rnd.randrange(len(words))
+                    words[k:k + rnd.randint(0, 1)] = rnd.choice([[], [rnd.choice(pool)]])
+                out += [*words, *[rnd.choice(pool) for _ in range(rnd.choice([0, 0, 1, 9]))]]
+            return " ".join(out)
+        df = spark.createDataFrame([(k, text()) for k in range(300)], "doc_id long, text string")
+    else:
+        df = request.getfixturevalue(which)
+    got = rows(licenses.scan_licenses(df).select("doc_id", "labels"))
+    assert got == sorted(((r.doc_id, brute.license_labels(r.text, licenses)) for r in df.select("doc_id", "text").collect()), key=str)
+
+
 @pytest.mark.parametrize("which", ["edge", "clashing", "docs"])
 def test_quality_counts(which, request):
     df = request.getfixturevalue(which)
