@@ -13,16 +13,18 @@ Budgets follow: with ``total_tokens`` set, source s gets w * total; without,
 the total is the smallest one that passes once over every source, so nothing
 is dropped. A budget is realised as passes over the source: whole passes, and
 a last one that is cut at the budget. Every pass is a permutation of its own:
-rows are ordered by a 40-bit hash of (seed, pass, id), whose leading digits
-are the blocks. The cut is found by descending through the digits, one
+rows are ordered by a 40-bit hash of (seed, pass, id, hash of the text), whose
+leading digits are the blocks. The cut is found by descending through the digits, one
 aggregate over (source, digit) each, so that no task orders a whole source.
 In the output, ``block`` deals all passes of all sources over ``blocks``
 equal blocks of the mixed stream, each with the target weights.
 
 Defined cases: a null source is a source of its own; rows without a word have
 no tokens, weigh nothing and come once in every pass; a source without any
-token gets weight 0 and one pass; rows that share an id share their place in
-the order and stay or go together; an empty table gives an empty result; all
+token gets weight 0 and one pass; rows that share an id, or have none, are
+told apart by their texts, so a budget can be cut between them; rows equal in
+id and text are copies of one row, share its place and stay or go together
+(exact deduplication comes first); an empty table gives an empty result; all
 columns of the input come back unchanged, whatever their names.
 """
 
@@ -42,9 +44,13 @@ KEY_BITS = DIGIT * DIGITS
 LEVELS, ROUNDS = 6, 6
 
 
-def order_key(seed: int, pass_no: Column, ident: Column) -> Column:
-    """The place of a row in one pass: 40 bits."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), pass_no.cast("long"), ident), 64 - KEY_BITS)
+def order_key(seed: int, pass_no: Column, ident: Column, body: Column) -> Column:
+    """The place of a row in one pass: 40 bits. ``body``: the hash of its text."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), pass_no.cast("long"), ident, body), 64 - KEY_BITS)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def source_shares(docs: DataFrame, source: Column, tokens: Column) -> DataFrame:
@@ -103,8 +109,9 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: st
     """Rows of the mixed stream: ``row`` (all columns of the input), ``source``,
     ``weight``, ``n_tokens``, ``pass``, ``order_key`` (place in the pass) and ``block``."""
     rows = wrap(docs).select("row", F.col(f"row.`{ident}`").alias("id"), F.col(f"row.`{source}`").alias("source"),
+                             text_hash(F.col(f"row.`{text}`")).alias("body"),
                              F.size(words_of(F.col(f"row.`{text}`"))).cast("long").alias("n_tokens"))
-    slim = cut_lineage(rows.select("id", "source", "n_tokens"), "mix_rows")
+    slim = cut_lineage(rows.select("id", "body", "source", "n_tokens"), "mix_rows")
     shares = cut_lineage(source_shares(slim, F.col("source"), F.col("n_tokens")), "mix_sources")
     a = temperature(shares, entropy_part, max_repeats)
     weight = F.when(F.col("tokens") > 0, F.pow("p", F.lit(a))).otherwise(0.0)
@@ -122,12 +129,12 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: st
                        .drop("cut_source"), "mix_plan")
     # the small plan meets each row by its source; null sources as well
     out = (rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-           .select("row", "id", F.col("r.source").alias("source"), "weight", "n_tokens", "whole", "rest", "tokens",
+           .select("row", "id", "body", F.col("r.source").alias("source"), "weight", "n_tokens", "whole", "rest", "tokens",
                    "cut", F.col("whole").alias("last")))
-    in_rest = (F.col("rest") > 0) & (order_key(seed, F.col("last"), F.col("id")) < F.col("cut"))
+    in_rest = (F.col("rest") > 0) & (order_key(seed, F.col("last"), F.col("id"), F.col("body")) < F.col("cut"))
     passes = F.col("whole") + F.when(in_rest, 1).otherwise(0)
     out = out.where(passes > 0).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)))
-    key = order_key(seed, F.col("pass"), F.col("id"))
+    key = order_key(seed, F.col("pass"), F.col("id"), F.col("body"))
     span = F.col("whole") + F.when(F.col("tokens") > 0, F.col("rest") / F.col("tokens")).otherwise(0.0)
     return (out.withColumn("order_key", key)
             .withColumn("block", F.least(F.floor((F.col("pass") + F.col("order_key") / float(1 << KEY_BITS)) / span * blocks),
@@ -143,7 +150,7 @@ def _cuts(slim: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     open_ = plan.where("rest > 0").select(F.col("source").alias("cut_source"), F.col("whole").alias("last"),
                                           F.col("rest").alias("left"), F.lit(0).cast("long").alias("prefix"))
     keyed = (slim.join(open_, F.col("source").eqNullSafe(F.col("cut_source")))
-             .select("cut_source", order_key(seed, F.col("last"), F.col("id")).alias("key"), "n_tokens"))
+             .select("cut_source", order_key(seed, F.col("last"), F.col("id"), F.col("body")).alias("key"), "n_tokens"))
     keyed = cut_lineage(keyed, "mix_keys")
     for level in range(DIGITS):
         shift = KEY_BITS - DIGIT * (level + 1)

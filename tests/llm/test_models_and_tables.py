@@ -116,7 +116,7 @@ def test_a_smaller_budget_cuts_every_source_in_its_order(spark):
     total = 2000
     out = mixed(df, total_tokens=total, blocks=8)
     w = {r.source: r.weight for r in out}
-    keys = {r.doc_id: r.k for r in df.select("doc_id", mixing.order_key(17, F.lit(0), F.col("doc_id")).alias("k")).collect()}
+    keys = {r.doc_id: r.k for r in df.select("doc_id", mixing.order_key(17, F.lit(0), F.col("doc_id"), mixing.text_hash(F.col("text"))).alias("k")).collect()}
     for s in w:
         mine = sorted((keys[i], i, len(t.split())) for i, x, t in rows if x == s)
         room, want = math.floor(sum(n for *_, n in mine) * round(w[s] * total / sum(n for *_, n in mine), 9)), []
@@ -129,6 +129,18 @@ def test_a_smaller_budget_cuts_every_source_in_its_order(spark):
     assert {r.block for r in out} == set(range(8))
 
 
+@pytest.mark.parametrize("ident", [7, None])
+def test_a_budget_is_met_where_many_rows_share_an_id(spark, ident):
+    rnd = random.Random(6)
+    rows = [(ident if i % 3 == 0 else i, "s", f"text{i} " + "w " * rnd.randint(1, 20)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for seed in (1, 2, 3, 17):
+        out = mixed(df, total_tokens=4500, seed=seed)
+        assert 4500 - 21 <= sum(r.n_tokens for r in out) <= 4500
+        shared = sum(r.doc_id == ident for r in out)
+        assert 0.2 < shared / len(out) < 0.47      # about its third of the rows
+
+
 def test_mixing_keeps_clashing_columns_and_edge_rows(spark, edge, clashing, none):
     assert mixing.mix(none).count() == 0
     out = mixing.mix(clashing)
