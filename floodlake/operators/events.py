@@ -126,15 +126,13 @@ def event_cutoff(events: DataFrame, share: float = TEST_EVENT_SHARE, least: int
     """Hold out the last ``max(least, int(share * E))`` events; the cut is the
     last hour of event ``E - n - 1`` (NULL when there are too few events)."""
     keys = list(keys)
-    per = events.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.map_from_entries(F.collect_list(F.struct("event_id", "end_time"))).alias("_ends"))
     n_test = F.greatest(F.lit(least), F.floor(F.col("n_events") * share).cast("int"))
-    cut = F.col("n_events") - n_test - 1
-    return per.select(*keys, F.col("n_events").cast("bigint").alias("n_events"),
-                      n_test.cast("bigint").alias("n_test_events"),
-                      F.when(cut >= 0, cut).cast("int").alias("cutoff_event"),
-                      F.when(cut >= 0, F.try_element_at("_ends", cut.cast("int"))).alias("cutoff_time"))
+    # counts first (one row a key), then the end of the cut event: both are partial aggregates
+    per = (events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events"))
+           .select(*keys, "n_events", n_test.cast("bigint").alias("n_test_events"), (F.col("n_events") - n_test - 1).alias("_cut")))
+    ends = events.join(per, keys).groupBy(*keys).agg(F.max(F.when(F.col("event_id") == F.col("_cut"), F.col("end_time"))).alias("cutoff_time"))
+    return per.join(ends, keys).select(*keys, F.col("n_events").cast("bigint").alias("n_events"), "n_test_events",
+                                       F.when(F.col("_cut") >= 0, F.col("_cut")).cast("int").alias("cutoff_event"), "cutoff_time")
 
 
 def peak_hydrograph(df: DataFrame, days: int = HYDROGRAPH_DAYS, flow: str = "flow",
