@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from ..operators.live import upsert_new
 from ..session import read_if_there
+from .versions import VersionedTable, insert_new_committed
+
+__all__ = ["VersionedTable", "append", "insert_new", "insert_new_committed", "read_settlements", "stamp", "write_grid",
+           "write_review", "write_settlements"]
 
 
 def insert_new(df: DataFrame, target_path: str, stations: DataFrame,
@@ -44,10 +48,17 @@ def append(df: DataFrame, target_path: str) -> None:
     df.write.mode("append").parquet(target_path)
 
 
-def write_settlements(settlements: DataFrame, path: str) -> None:
-    """K3: the updated settlements table is written whole to a new path
-    (readers switch to it); the old version stays readable meanwhile."""
-    settlements.write.mode("overwrite").parquet(path)
+def write_settlements(settlements: DataFrame, path: str, txn: tuple[str, int] | None = None) -> int:
+    """K3: the updated settlements become the next version of the table in
+    ``path``, published in one step; readers see the version before until
+    then. ``settlements`` may be computed from the table itself. Returns the
+    version's number."""
+    return VersionedTable(settlements.sparkSession, path).replace(settlements, txn=txn)
+
+
+def read_settlements(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The newest (or the given) version; None if there is none."""
+    return VersionedTable(spark, path).read(version)
 
 
 def write_grid(df: DataFrame, path: str, partition_by: Sequence[str] = ("basin_id",), fmt: str = "parquet") -> None:
