@@ -1,18 +1,22 @@
 """Model evaluation as aggregations.
 
 All metrics are grouped by a key (basin) so every model is scored in one
-job. ROC-AUC uses a distributed prefix sum over score buckets, so a basin
-holding a large share of the rows is still spread across tasks.
+job. ROC-AUC uses a distributed prefix sum over score ranges of about equal
+size, so a basin holding a large share of the rows is spread across tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AUC_BUCKETS_PER_UNIT = 10000
+from ..session import cut_lineage
+
+AUC_RANGES = 256
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -92,29 +96,48 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "pred",
     return g.select(*keys, F.inline(F.array(*rows)))
 
 
+def _range_of(bounds: Column, x: Column, ranges: int) -> Column:
+    """Number of the sorted ``bounds`` (``ranges`` - 1 of them) that are
+    smaller than ``x``: a binary search of log2 steps."""
+    steps = [2 ** k for k in reversed(range((ranges - 1).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(
+        F.get(bounds, at + s - 1) < x, at + s).otherwise(at))
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "proba",
-            keys: Sequence[str] = ("basin_id",), buckets_per_unit: int = AUC_BUCKETS_PER_UNIT) -> DataFrame:
+            keys: Sequence[str] = ("basin_id",), ranges: int = AUC_RANGES) -> DataFrame:
     """Area under the ROC curve with tied scores averaged (Mann-Whitney):
     sum over scores of pos(s) * (neg below s + neg(s) / 2) / (P * N).
 
-    Counts are pre-aggregated per distinct score; the running count of
-    negatives is a two-level prefix sum (bucket totals, then inside each
-    bucket), so no single task orders a whole basin.
+    Counts are pre-aggregated per distinct score and written once. The scores
+    of a key are cut into ``ranges`` at quantiles of its distinct scores, found by a sketch, so a range has about as many scores as
+    any other however closely they crowd. The running count of negatives is
+    the sum over the ranges before plus the one inside the range: one task
+    orders a range, or the ``ranges`` totals of a key, never a whole basin.
     """
     keys = list(keys)
-    per = df.groupBy(*keys, score).agg(
+    s = F.col(score).cast("double")
+    per = cut_lineage(df.groupBy(*keys, s.alias("_s")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
-        F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    per = per.withColumn("_b", F.floor(F.col(score) * buckets_per_unit).cast("long"))
-    bt = per.groupBy(*keys, "_b").agg(F.sum("neg").alias("_bneg"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("_off", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)))
-    wi = Window.partitionBy(*keys, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    x = (per.join(bt.select(*keys, "_b", "_off"), keys + ["_b"])
-         .withColumn("_below", F.col("_off") + F.coalesce(F.sum("neg").over(wi), F.lit(0))))
-    g = x.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2.0)).alias("_u"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+        F.sum((1 - F.col(label)).cast("long")).alias("neg")), "auc_scores")
+    probs = [k / ranges for k in range(1, ranges)]
+    bounds = per.groupBy(*keys).agg(F.percentile_approx("_s", probs, 10 * ranges).alias("_bounds"))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    ranged = per.alias("p").join(bounds.alias("b"), reduce(and_, same)).select(
+        *[F.col(f"p.{k}").alias(k) for k in keys], "_s", "pos", "neg",
+        F.coalesce(_range_of(F.col("_bounds"), F.col("_s"), ranges), F.lit(0)).alias("_b"))
+    totals = ranged.groupBy(*keys, "_b").agg(F.sum("neg").alias("_bneg"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_b", F.coalesce(F.sum("_bneg").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    x = ranged.withColumn("_in", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    # inside a range the offset is the same for all scores: add it once a range
+    parts = x.groupBy(*keys, "_b").agg(F.sum(F.col("pos") * (F.col("_in") + F.col("neg") / 2.0)).alias("_u"),
+                                       F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*keys, "_b"]]
+    g = (parts.alias("x").join(totals.alias("t"), reduce(and_, same))
+         .groupBy(*[F.col(f"x.{k}").alias(k) for k in keys]).agg(
+             F.sum(F.col("_u") + F.col("_pos") * F.col("_off")).alias("_u"), F.sum("_pos").alias("P"), F.sum("_neg").alias("N")))
     return g.select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0),
                                   F.col("_u") / (F.col("P") * F.col("N"))).alias("roc_auc"),
                     F.col("P").cast("bigint").alias("positives"), F.col("N").cast("bigint").alias("negatives"))
