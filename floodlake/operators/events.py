@@ -1,9 +1,9 @@
 """Flood labels, sessions, events and splits.
 
 Series operators work per basin over hourly rows (bounded by the time
-span, not by raw volume). Range lookups (event windows over a series)
-are equi-joins on (basin, day) buckets plus a range filter, so a busy
-basin spreads over many tasks.
+span, not by raw volume). Event windows over a series are equi-joins with
+blocks of hourly maxima (``rangemax``), so a busy basin spreads over many
+tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rangemax import window_maxima
+
 # Thresholds studied for the flood stage, the event gap,
 # the share of events held out and the floor on that number.
 SWEEP_THRESHOLDS = [3, 5, 8, 10, 15, 20, 30, 50]
@@ -148,22 +150,15 @@ def peak_hydrograph(df: DataFrame, days: int = HYDROGRAPH_DAYS, flow: str = "flo
             .select(*keys, "peak_time", order, flow))
 
 
-def _day_buckets(lo: Column, hi: Column) -> Column:
-    return F.explode(F.sequence(F.date_trunc("day", lo), F.date_trunc("day", hi), F.expr("INTERVAL 1 DAY")))
-
-
 def event_peaks(series: DataFrame, events: DataFrame, hours: int = ZOOM_HOURS,
                 actual: str = "actual", predicted: str = "predicted",
                 keys: Sequence[str] = ("basin_id",), order: str = "ts") -> DataFrame:
     """For each event, the peak actual and predicted value within
-    [start - hours, end + hours]. Range join as an equi-join on day buckets."""
-    keys = list(keys)
+    [start - hours, end + hours]: hourly maxima in blocks of doubling size
+    (see ``rangemax``); raw readings meet only the windows' two end hours."""
     margin = F.expr(f"INTERVAL {int(hours)} HOURS")
-    ev = events.select(*keys, "event_id", (F.col("start_time") - margin).alias("_lo"),
-                       (F.col("end_time") + margin).alias("_hi"))
-    ev = ev.select("*", _day_buckets(F.col("_lo"), F.col("_hi")).alias("_day"))
-    s = series.select(*keys, order, actual, predicted, F.date_trunc("day", order).alias("_day"))
-    hit = s.join(ev, keys + ["_day"]).filter(F.col(order).between(F.col("_lo"), F.col("_hi")))
-    return hit.groupBy(*keys, "event_id").agg(
-        F.max(actual).alias("peak_actual"), F.max(predicted).alias("peak_predicted"),
-        F.count(F.lit(1)).alias("rows_in_window"))
+    windows = events.select(*keys, "event_id", (F.col("start_time") - margin).alias("_lo"),
+                            (F.col("end_time") + margin).alias("_hi"))
+    found = window_maxima(series, windows, [actual, predicted], order, "_lo", "_hi", keys)
+    return found.select(*keys, "event_id", F.col(actual).alias("peak_actual"), F.col(predicted).alias("peak_predicted"),
+                        F.col("n").alias("rows_in_window"))
