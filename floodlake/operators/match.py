@@ -2,7 +2,8 @@
 
 Plan: settlements get one (band, cell) bucket, locations probe at most 9;
 the equi-join on the bucket replaces the nested loop over all pairs, the
-haversine filter runs before the (costlier) name score, and the best
+haversine filter runs before the (costlier) name score, a bound on the score
+from letter counts leaves out pairs that cannot win, and the best
 candidate per location is a partial aggregate (max over a struct), so a
 location with many candidates never sorts them in one task. Locations
 without a candidate (or without coordinates) are kept as NO MATCH.
@@ -10,16 +11,22 @@ without a candidate (or without coordinates) are kept as NO MATCH.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, with_home_bucket, with_probe_buckets
 from ..functions.text import name_score, name_score_fast
+from ..session import cut_lineage
 
 # The search radius and the label of an unmatched location.
 MATCH_RADIUS_KM = 5.0
 NO_MATCH = "NO MATCH FOUND"
 
+#: letters are counted by their code modulo this number
+LETTERS = 32
+
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_km: float = MATCH_RADIUS_KM,
                  left_cols: tuple[str, str] = ("lat", "lon"),
@@ -37,25 +44,72 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_km: float = MATCH_RAD
     return pairs.withColumn("distance_km", d).filter(F.col("distance_km") <= radius_km)
 
 
+def score_bound(name: Column, other: Column) -> Column:
+    """An upper bound of the LCS length of two lists of letter counts: what
+    they have in common, letter by letter. Letters share a count by their code
+    modulo ``LETTERS``, which can only make the bound larger."""
+    return F.aggregate(F.zip_with(name, other, lambda a, b: F.least(a, b)), F.lit(0), lambda a, n: a + n)
+
+
+def letter_counts(name: Column) -> Column:
+    """``LETTERS`` counts of the lower-cased name's characters by code."""
+    low = F.split(F.lower(F.coalesce(name, F.lit(""))), "")
+    codes = F.transform(F.filter(low, lambda c: c != ""), lambda c: F.ascii(c) % LETTERS)
+    return F.transform(F.sequence(F.lit(0), F.lit(LETTERS - 1)), lambda k: F.size(F.filter(codes, lambda c: c == k)))
+
+
+def _ranked(score: Column) -> Column:
+    """The order of candidates: score, nearest, smallest settlement id, name."""
+    return F.struct(score.alias("score"), (-F.col("distance_km")).alias("neg_d"), (-F.col("r_settlement_id")).alias("neg_id"),
+                    F.col("r_name_eng").alias("sname"))
+
+
+def candidates(locations: DataFrame, settlements: DataFrame, radius_km: float = MATCH_RADIUS_KM) -> DataFrame:
+    """All pairs within the radius with ``bound``, the largest score their
+    names can have. Letters are counted once a name, before the join."""
+    loc = locations.select("ims_id", "ims_name", "lat", "lon", letter_counts(F.col("ims_name")).alias("_l"))
+    st = settlements.select("settlement_id", "name_eng", "lat", "lon", letter_counts(F.col("name_eng")).alias("l"))
+    total = F.length(F.lower("ims_name")) + F.length(F.lower("r_name_eng"))
+    raw = F.bround(F.lit(200.0) * score_bound(F.col("_l"), F.col("r_l")) / total, 0).cast("int")
+    return (radius_pairs(loc, st, radius_km)
+            .select("ims_id", "ims_name", "r_settlement_id", "r_name_eng", "distance_km",
+                    F.when(total > 0, raw).otherwise(0).alias("bound")))
+
+
+def open_candidates(pairs: DataFrame, score: Callable[[Column, Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Of every location the pair of largest bound, scored, and the other
+    pairs that may still be better than it: those whose bound, distance and
+    id rank before its score, distance and id. What is left out cannot win,
+    so the best pair is the same as with all pairs scored."""
+    first = (pairs.groupBy("ims_id", "ims_name")
+             .agg(F.max_by(F.struct("r_settlement_id", "r_name_eng", "distance_km"), _ranked(F.col("bound"))).alias("b"))
+             .select("ims_id", "ims_name", "b.*"))
+    first = cut_lineage(first.withColumn("score", score(F.col("ims_name"), F.col("r_name_eng"))), "match_first")
+    beaten = first.select(F.col("ims_id").alias("_i"), F.col("ims_name").alias("_n"), _ranked(F.col("score")).alias("_top"))
+    same = (F.col("ims_id") == F.col("_i")) & F.col("ims_name").eqNullSafe(F.col("_n"))
+    rest = pairs.join(beaten, same & (_ranked(F.col("bound")) > F.col("_top")), "left_semi").select(*first.columns[:-1])
+    return first, rest
+
+
 def geo_match(locations: DataFrame, settlements: DataFrame, radius_km: float = MATCH_RADIUS_KM,
               kernel: str = "arrow") -> DataFrame:
     """Best settlement per location: highest name score, then nearest, then
     smallest settlement id. ``locations``: ims_id, ims_name, lat, lon;
     ``settlements``: settlement_id, name_eng, lat, lon. ``kernel='jvm'``
-    scores with the higher-order-function DP instead of the Arrow kernel."""
+    scores with the higher-order-function DP instead of the Arrow kernel.
+
+    The pairs within the radius grow with the density of the settlements; only
+    those that can still be the best by the bound on their letters are scored."""
     score = name_score if kernel == "jvm" else name_score_fast
-    loc = locations.select("ims_id", "ims_name", "lat", "lon")
-    st = settlements.select("settlement_id", "name_eng", "lat", "lon")
-    pairs = radius_pairs(loc, st, radius_km)
-    scored = pairs.withColumn("score", score(F.col("ims_name"), F.col("r_name_eng")))
+    pairs = cut_lineage(candidates(locations, settlements, radius_km), "match_pairs")
+    first, rest = open_candidates(pairs, score)
+    scored = first.unionByName(rest.withColumn("score", score(F.col("ims_name"), F.col("r_name_eng"))))
     best = scored.groupBy("ims_id").agg(F.max(F.struct(
-        F.col("score"), (-F.col("distance_km")).alias("neg_d"), (-F.col("r_settlement_id")).alias("neg_id"),
-        F.col("r_settlement_id").alias("sid"), F.col("r_name_eng").alias("sname"),
+        _ranked(F.col("score")).alias("rank"), F.col("r_settlement_id").alias("sid"),
         F.col("distance_km").alias("d"))).alias("b"))
-    return (loc.join(best, "ims_id", "left")
+    return (locations.select("ims_id", "ims_name").join(best, "ims_id", "left")
             .select("ims_id", "ims_name",
                     F.col("b.sid").cast("double").alias("matched_id"),
-                    F.coalesce(F.col("b.sname"), F.lit(NO_MATCH)).alias("matched_name"),
+                    F.coalesce(F.col("b.rank.sname"), F.lit(NO_MATCH)).alias("matched_name"),
                     F.round(F.col("b.d"), 2).alias("distance_km"),
-                    F.coalesce(F.col("b.score"), F.lit(0)).alias("score")))
-
+                    F.coalesce(F.col("b.rank.score"), F.lit(0)).alias("score")))

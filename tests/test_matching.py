@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from floodlake.functions.geo import haversine_km
 from floodlake.functions.text import _lcs_bits, lcs_length, name_score, name_score_fast
-from floodlake.operators.match import geo_match, radius_pairs
+from floodlake.operators.match import candidates, geo_match, open_candidates, radius_pairs
 
 # Location / settlement names and the confidence score the
 # published review mapping gives them (rows the formula reproduces).
@@ -107,6 +107,32 @@ def test_geo_match_keeps_unmatched_and_null_coords(spark):
     assert out[3].matched_id is None
 
 
+def test_bounded_candidates_have_the_same_best_and_halve_the_scored_pairs(spark):
+    """A dense town: every location has about 200 settlements within the radius."""
+    rnd = random.Random(17)
+    parts = ["Kfar", "Beit", "Tel", "Nahal", "Ein", "Giv'at", "Ramat", "\u05d0\u05d1", "Mo\u015fav"]
+
+    def name():
+        return " ".join([rnd.choice(parts), "".join(rnd.choice("abdehilmnorstuvyz") for _ in range(rnd.randint(2, 9)))])
+    settle = [(j, name(), 31 + rnd.uniform(0, 0.06), 35 + rnd.uniform(0, 0.06)) for j in range(300)] + [(900, None, 31.03, 35.03)]
+    locs = [(i, (settle[i * 3][1].replace("e", "") if i % 2 else name()) if i % 10 else None, 31 + rnd.uniform(0, 0.06),
+             35 + rnd.uniform(0, 0.06)) for i in range(60)]
+    st_ = spark.createDataFrame(settle, "settlement_id long, name_eng string, lat double, lon double")
+    loc = spark.createDataFrame(locs, "ims_id long, ims_name string, lat double, lon double")
+    pairs = candidates(loc, st_).cache()
+    scored = pairs.withColumn("score", name_score_fast(F.col("ims_name"), F.col("r_name_eng")))
+    assert scored.where("score > bound").count() == 0
+    best = {}
+    for r in scored.collect():
+        best[r.ims_id] = max(best.get(r.ims_id, (-1,)), (r.score, -r.distance_km, -r.r_settlement_id))
+    got = {r.ims_id: r for r in geo_match(loc, st_).collect()}
+    assert len(got) == 60
+    assert all((got[i].score, got[i].matched_id) == (b[0], -b[2]) for i, b in best.items())
+    first, rest = open_candidates(pairs.where("ims_name is not null"), name_score_fast)
+    n, every = first.count() + rest.count(), pairs.where("ims_name is not null").count()
+    assert n * 2 <= every, (n, every)
+
+
 def test_haversine_null(spark):
     df = spark.createDataFrame([(None, 1.0, 2.0, 3.0)], "a double, b double, c double, d double")
     assert df.select(haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("x")).first().x is None
