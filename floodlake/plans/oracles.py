@@ -693,6 +693,11 @@ SELECT s_suppkey,
 FROM supplier"""
 
 # ------------------------------------------------------------ streaming
+# The feed lands in four parts (days 1-8, 9-16, 17-24, 25-31) with a poll after
+# each; readings of days 1-8 at minute 7 come with the last part, behind the
+# watermark (newest time of the parts before, less one hour), and are dropped.
+_ON_TIME = "NOT (day(measurement_time) <= 8 AND minute(measurement_time) = 7)"
+
 oracle("stream_rolling_rain", f"""
 SELECT station_id, ws AS window_start, ws + INTERVAL 1 HOUR AS window_end,
        {r6('sum(CASE WHEN status = 1 THEN rain_amount_mm END)', 'rain_1h')}, count(*) AS n_readings
@@ -700,22 +705,22 @@ FROM (SELECT r.*, b.ws FROM v_rain r,
         LATERAL (SELECT date_trunc('hour', r.measurement_time)
                         + to_minutes(CAST(floor(minute(r.measurement_time) / 10) * 10 AS BIGINT))
                         - to_minutes(CAST(10 * k AS BIGINT)) AS ws
-                 FROM range(0, 6) AS t(k)) b)
+                 FROM range(0, 6) AS t(k)) b WHERE {_ON_TIME})
 GROUP BY station_id, ws""", "v_rain")
 oracle("stream_alerts", f"""
 SELECT event_id, station_id, measurement_time, {r6('rain_amount_mm', 'rain_amount_mm')}, status
 FROM v_rain WHERE rain_amount_mm >= 5.0""", "v_rain")
 oracle("stream_insert_once", "SELECT DISTINCT station_id, measurement_time FROM v_rain", "v_rain")
-oracle("stream_dedup", "SELECT DISTINCT station_id, measurement_time FROM v_rain", "v_rain")
+oracle("stream_dedup", f"SELECT DISTINCT station_id, measurement_time FROM v_rain WHERE {_ON_TIME}", "v_rain")
 oracle("stream_sessions", f"""
 SELECT basin_id, min(t) AS session_start, max(t) + INTERVAL 1 HOUR AS session_end, count(*) AS n_readings,
-       {r6('max(flow)', 'peak_flow')}
+       {r6('max(flow)', 'peak_flow')}, max(t) + INTERVAL 1 HOUR > newest - INTERVAL 1 HOUR AS is_open
 FROM (SELECT *, sum(begins) OVER (PARTITION BY basin_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid
       FROM (SELECT basin_id, measurement_time AS t, flow, max(measurement_time) OVER () AS newest,
                    CASE WHEN measurement_time <= lag(measurement_time) OVER (PARTITION BY basin_id ORDER BY measurement_time)
                              + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS begins
-            FROM v_flow WHERE flow > 25.0))
-GROUP BY basin_id, sid, newest HAVING max(t) + INTERVAL 1 HOUR <= newest - INTERVAL 1 HOUR""", "v_flow")
+            FROM v_flow WHERE flow > 25.0 AND {_ON_TIME}))
+GROUP BY basin_id, sid, newest""", "v_flow")
 
 # --------------------------------------------------------------- models
 _al_cols = ", ".join("0.0 AS Soil_Moisture_EWM" if c == "Soil_Moisture_EWM"

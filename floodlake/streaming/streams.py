@@ -67,6 +67,13 @@ def session_stream(df: DataFrame, threshold: float, gap: str = "7 days", delay:
             .agg(F.count(F.lit(1)).alias("n_readings"), F.max(flow).alias("peak_flow")))
 
 
+def open_sessions(spark: SparkSession, checkpoint: str, basin: str = "basin_id") -> DataFrame:
+    """The sessions that a ``session_stream`` query still holds open, read from
+    the state of its last committed batch (columns as the stream's)."""
+    value = spark.read.format("statestore").load(checkpoint).select("value.*")
+    return value.toDF(basin, "s", "n_readings", "peak_flow")
+
+
 def alert_stream(df: DataFrame, threshold: float = 5.0, value: str = "rain_amount_mm") -> DataFrame:
     """Readings at or above the threshold, as they arrive."""
     return df.filter(F.col(value) >= threshold)

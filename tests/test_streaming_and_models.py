@@ -27,6 +27,24 @@ def test_session_stream_emits_closed_sessions(spark, tmp_path):
     assert [(r.n_readings, r.end) for r in final] == [(2, T + dt.timedelta(days=14))]
 
 
+def test_sessions_over_several_polls_with_a_late_reading(spark, tmp_path):
+    """Three polls: a session continues over two of them, a reading behind the
+    watermark is dropped, the session still open at the end is in the state."""
+    hours = lambda *h: [(0, T + dt.timedelta(hours=x), 20.0 + x) for x in h]
+    land, out = str(tmp_path / "land"), str(tmp_path / "out")
+    schema = "basin_id int, measurement_time timestamp_ntz, flow double"
+    for rows in (hours(0, 1, 10), hours(11, 12, 30), hours(31, 5)):
+        df = spark.createDataFrame(rows, schema)
+        df.write.mode("append").parquet(land)
+        s = streams.event_time(streams.ingest_stream(spark, land, df.schema), "measurement_time")
+        streams.run_available(streams.session_stream(s, 10.0, "2 hours", delay="1 hour"), out)
+    closed = spark.read.parquet(out)
+    assert len([p for p in (tmp_path / "out_checkpoint" / "commits").iterdir() if p.name.isdigit()]) >= 3
+    assert sorted((r.n_readings, r.peak_flow) for r in closed.collect()) == [(2, 21.0), (3, 32.0)]
+    still = streams.open_sessions(spark, out + "_checkpoint").collect()
+    assert [(r.basin_id, r.n_readings, r.peak_flow, r.s.end) for r in still] == [(0, 2, 51.0, T + dt.timedelta(hours=33))]
+
+
 def test_dedup_within_watermark(spark, tmp_path):
     rows = [(1, T, 1.0), (1, T, 1.0), (2, T, 3.0)]
     df = spark.createDataFrame(rows, "station_id int, measurement_time timestamp_ntz, rain_amount_mm double")
