@@ -112,16 +112,22 @@ def with_halo(df: DataFrame, keys: Sequence[str] = ("basin_id",), rows: int = CH
     return df.select("*", F.explode(places).alias("_chunk")).withColumn("_halo", F.col("_chunk") != own)
 
 
-def clean_features(merged: DataFrame, keys: Sequence[str] = ("basin_id",), rows: int = CHUNK_ROWS, block: int | None = None,
-                   fan: int = FAN) -> DataFrame:
-    """The rows of ``features.clean_features``, a basin spread over tasks by
-    chunks of ``rows`` rows."""
+def chunk_features(wet: DataFrame, keys: Sequence[str] = ("basin_id",), rows: int = CHUNK_ROWS) -> DataFrame:
+    """The cleaned features of rows numbered by ``_r`` that have their
+    ``Soil_Moisture_EWM``, chunk by chunk; ``_r`` comes along."""
     keys = list(keys)
-    numbered = cut_lineage(with_row_index(merged, keys), "numbered_hours")
-    wet = ewm_scan(numbered, "Basin_Rain_Mean", "Soil_Moisture_EWM", keys=keys, block=block, fan=fan)
     part = [*keys, "_chunk"]
     df = feat.rain_features(with_halo(wet, keys, rows), part, extra=[
         F.when(~feat.suspicious_hours("flow", keys=part), F.col("flow")).alias("_flow2")])
     df = feat.flow_features(df.drop("flow").withColumnRenamed("_flow2", "flow"), "flow", part)
     cols = keys + ["hour"] + feat.FEATURE_NAMES + ["flow"]
-    return df.where(~F.col("_halo")).select(*cols).dropna("any", subset=feat.FEATURE_NAMES + ["flow"])
+    return df.where(~F.col("_halo")).select(*cols, "_r").dropna("any", subset=feat.FEATURE_NAMES + ["flow"])
+
+
+def clean_features(merged: DataFrame, keys: Sequence[str] = ("basin_id",), rows: int = CHUNK_ROWS, block: int | None = None,
+                   fan: int = FAN) -> DataFrame:
+    """The rows of ``features.clean_features``, a basin spread over tasks by
+    chunks of ``rows`` rows."""
+    numbered = cut_lineage(with_row_index(merged, keys), "numbered_hours")
+    wet = ewm_scan(numbered, "Basin_Rain_Mean", "Soil_Moisture_EWM", keys=keys, block=block, fan=fan)
+    return chunk_features(wet, keys, rows).drop("_r")

@@ -23,7 +23,7 @@ from ..operators import features as feat
 from ..operators import longseries
 from ..session import cut_lineage
 from ..sources import dims, feeds, files
-from ..streaming import streams
+from ..streaming import live_features, streams
 from . import hydrology, models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -753,6 +753,19 @@ def q_stream_sessions(spark, d):
         F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_readings", "peak_flow", "is_open"))
 
 
+@register("live_features")
+def q_live_features(spark, d):
+    """The cleaned features, built from kept state as hours arrive in four landings."""
+    hours = cut_lineage(merged(spark, d), "basin_hours")
+    land, out = streams.scratch_path(spark, "landing", "hours"), streams.scratch_path(spark, "sinks", "live_features")
+    body, start, day = live_features.feature_batches(streams.scratch_path(spark, "tables", "live_state"), out), 0, F.dayofmonth("hour")
+    for end in LANDING_ENDS:
+        hours.where((day > start) & (day <= end)).write.mode("append").parquet(land)
+        streams.run_available(streams.ingest_stream(spark, land, hours.schema), out, batch_fn=body)
+        start = end
+    return rounded(spark.read.parquet(out).drop("batch_id"))
+
+
 # --------------------------------------------------------------- models
 LEAKY_SAME_HOUR = ["Flow_Rate_of_Change"]  # flow = lag1 + rate of change: dropped for same-hour targets
 

@@ -755,3 +755,6 @@ SELECT wt.basin_id, n_train, n_test, train_floods, {r6('spw', 'scale_pos_weight'
 FROM wt LEFT JOIN best USING (basin_id)""")
 
 ORACLES["features_clean_chunked"] = ORACLES["features_clean"]
+
+# features built hour by hour from kept state are those of the whole history
+ORACLES["live_features"] = ORACLES["features_clean"]
