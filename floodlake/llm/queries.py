@@ -37,8 +37,8 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(table(spark, sf_dir, "conversations")).select(
-        "conv_id", "turn", F.col("row.role").alias("role"), "text", "n_passages", "reply_to", "thread", "depth")
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"), role="role", follow=True).select(
+        "conv_id", "turn", F.col("row.role").alias("role"), "text", "n_passages", "n_linked", "reply_to", "thread", "depth", "position", "formatted")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,14 +182,58 @@ def test_long_reply_chains_and_repeated_rows(spark):
     assert sorted(got, key=str) == sorted([(t, t - 1 if t else None, 0, t) for t in [*range(70), 69]], key=str)
 
 
-def test_conversations_without_quotes_come_back_unchanged(spark):
+def test_conversations_without_quotes_are_one_thread_each(spark):
     src = spark.read.parquet(f"{SF}/conversations.parquet")
     got = queries.op4_quote_links(spark, SF)
-    assert got.where("reply_to is not null or n_passages > 0 or thread <> turn").count() == 0
+    turns = {}
+    for r in src.collect():
+        turns.setdefault(r.conv_id, set()).add(r.turn)
+    for r in got.collect():
+        known = sorted(turns[r.conv_id])
+        k = known.index(r.turn)
+        assert (r.reply_to, r.thread, r.depth, r.position) == (known[k - 1] if k else None, known[0], k, k)
+        assert r.formatted == f"{r.role}: {r.text}" and (r.n_passages, r.n_linked) == (0, 0)
+    assert got.count() == src.count()
     assert got.select("conv_id", "turn", "role", "text").exceptAll(
         src.select("conv_id", "turn", "role", F.regexp_replace("text", r"^\n+|\n+$", "").alias("text"))).count() == 0
 
 
+def test_quotes_of_no_message_stay(spark):
+    rows = [(1, 0, "user", "Some lines please."), (1, 1, "assistant", "As the poet says:\n> Tyger tyger burning bright\nLovely."),
+            (1, 2, "user", "Bob wrote:\n> Lovely.\n\n> Nobody said this here.\nYes."), (1, 2, "user", "> Nobody said it.\n> Lovely.\nOther text of that turn."),
+            (None, 3, "user", "> Lovely."), (1, 3, None, "\n\n> lovely\n"), (1, 4, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [(r.conv_id, r.turn, r.text, r.n_passages, r.n_linked, r.reply_to, r.position) for r in quotes.link_quotes(df, role="role", follow=True).collect()]
+    assert sorted(got, key=str) == sorted([
+        (1, 0, "Some lines please.", 0, 0, None, 0), (1, 1, "As the poet says:\n> Tyger tyger burning bright\nLovely.", 1, 0, 0, 1),
+        (1, 2, "> Nobody said this here.\nYes.", 2, 1, 1, 2), (1, 2, "> Nobody said it.\n> Lovely.\nOther text of that turn.", 1, 0, 1, 2),
+        (None, 3, "> Lovely.", 1, 0, None, None), (1, 3, "", 1, 1, 1, 3), (1, 4, None, 0, 0, 3, 4)], key=str)
+
+
+def test_threads_equal_brute_force_on_random_conversations(spark):
+    """Quotes of random earlier messages and gaps between the turns, over several blocks of turns."""
+    rnd, rows, want = random.Random(4), [], {}
+    for conv in range(4):
+        turns = sorted(rnd.sample(range(-50, 4000), 60))
+        parent = {}
+        for k, t in enumerate(turns):
+            to = rnd.choice(turns[:k]) if k and rnd.random() < 0.4 else None
+            parent[t] = to if to is not None else turns[k - 1] if k else None
+            rows.append((conv, t, (f"> This is turn number {to} of {conv}.\n" if to is not None else "") + f"This is turn number {t} of {conv}."))
+
+        def depth(t, parent=parent):
+            return 0 if parent[t] is None else 1 + depth(parent[t])
+        for pos, t in enumerate(sorted(turns, key=lambda t: (depth(t), t))):
+            want[conv, t] = (parent[t], turns[0], depth(t), pos, f"This is turn number {t} of {conv}.")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(4)
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.depth, r.position, r.text) for r in quotes.link_quotes(df, follow=True).collect()}
+    assert got == want
+    clash = df.withColumn("conv", F.lit("x")).withColumn("msg", F.lit(1)).withColumn("position", F.lit("y")).withColumn("row", F.lit(2))
+    assert quotes.link_quotes(clash, follow=True).select("row.row", "row.position", "row.conv").distinct().collect() == [(2, "y", "x")]
+    long = spark.createDataFrame([(1, 0, "A word. " * 100_000), (1, 1, "> " + "A word. " * 100_000)], "conv_id long, turn long, text string")
+    assert {(r.turn, r.reply_to, len(r.text)) for r in quotes.link_quotes(long).collect()} == {(0, None, 800_000), (1, 0, 0)}
+
+
 # models
 
 def held(i):
