@@ -24,8 +24,8 @@ from ..session import cut_lineage
 MATCH_RADIUS_KM = 5.0
 NO_MATCH = "NO MATCH FOUND"
 
-#: letters are counted by their code modulo this number
-LETTERS = 32
+#: the letters that are counted one by one
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_km: float = MATCH_RADIUS_KM,
@@ -46,16 +46,16 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_km: float = MATCH_RAD
 
 def score_bound(name: Column, other: Column) -> Column:
     """An upper bound of the LCS length of two lists of letter counts: what
-    they have in common, letter by letter. Letters share a count by their code
-    modulo ``LETTERS``, which can only make the bound larger."""
+    they have in common, letter by letter."""
     return F.aggregate(F.zip_with(name, other, lambda a, b: F.least(a, b)), F.lit(0), lambda a, n: a + n)
 
 
 def letter_counts(name: Column) -> Column:
-    """``LETTERS`` counts of the lower-cased name's characters by code."""
-    low = F.split(F.lower(F.coalesce(name, F.lit(""))), "")
-    codes = F.transform(F.filter(low, lambda c: c != ""), lambda c: F.ascii(c) % LETTERS)
-    return F.transform(F.sequence(F.lit(0), F.lit(LETTERS - 1)), lambda k: F.size(F.filter(codes, lambda c: c == k)))
+    """How often the lower-cased name has each of ``LETTERS``, and all other
+    characters together, which can only make the bound larger."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    counts = [F.length(low) - F.length(F.replace(low, F.lit(c))) for c in LETTERS]
+    return F.array(*counts, F.length(F.translate(low, LETTERS, "")))
 
 
 def _ranked(score: Column) -> Column:
