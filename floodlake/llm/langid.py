@@ -31,8 +31,8 @@ from .common import cut_lineage
 WINDOW, HIDDEN = 64, 4
 #: bounds of the training sample: documents of a language, windows of a document
 DOCS, DRAWS = 800, 3
-#: hexadecimal digits of the id hash that the histogram of the sample counts by
-BUCKET_DIGITS = 4
+#: hexadecimal digits of the id hash by which a level of the sample's histogram counts, and its levels
+DIGITS, LEVELS = 2, 2
 EPOCHS, BATCH, RATE, SEED = 10, 128, 0.03, 5
 #: windows computed side by side
 BLOCK = 4096
@@ -220,6 +220,17 @@ def train(texts: Sequence[bytes], langs: Sequence[str], hidden: int = HIDDEN, ep
     return net
 
 
+def _last_bucket(keyed: DataFrame, ends: DataFrame, level: int, per_lang: int) -> DataFrame:
+    """Of each language the last bucket of ``level`` with fewer than
+    ``per_lang`` ids before it, inside the bucket found one level above."""
+    inner = keyed.select("lang", F.substring("bucket", 1, DIGITS * level).alias("part"))
+    counts = inner.join(ends, "lang").where(F.col("part").startswith(F.col("end"))).groupBy("lang", "before", "part").count()
+    below = F.sum("count").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return (counts.select("lang", "part", (F.col("before") + F.coalesce(below, F.lit(0))).alias("before"))
+            .where(F.col("before") < per_lang).groupBy("lang")
+            .agg(F.max("part").alias("end"), F.max("before").alias("before")))
+
+
 def sample_windows(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", per_lang: int = DOCS,
                    draws: int = DRAWS) -> list[tuple[str, bytes]]:
     """(language, window) of the training sample, in a fixed order: the
@@ -231,10 +242,10 @@ def sample_windows(docs: DataFrame, text: str = "text", lang: str = "lang", iden
            .where("ident is not null and lang is not null and text is not null"))
     # a histogram of the hashes tells where each language's sample ends, so only ids up to there are ranked
     ids = cut_lineage(src.select("ident", "lang").distinct(), "langid_ids")
-    keyed = ids.select("ident", "lang", key.alias("key"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket"))
-    below = F.sum("count").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    ends = cut_lineage(keyed.groupBy("lang", "bucket").count().withColumn("below", F.coalesce(below, F.lit(0)))
-                       .where(F.col("below") < per_lang).groupBy("lang").agg(F.max("bucket").alias("end")), "langid_ends")
+    keyed = ids.select("ident", "lang", key.alias("key"), F.substring(key, 1, DIGITS * LEVELS).alias("bucket"))
+    ends = ids.select("lang").distinct().select("lang", F.lit("").alias("end"), F.lit(0).cast("long").alias("before"))
+    for level in range(1, LEVELS + 1):      # each level cuts the bucket in which the sample ends
+        ends = cut_lineage(_last_bucket(keyed, ends, level, per_lang), "langid_ends")
     best = (keyed.join(ends, "lang").where("bucket <= end")
             .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "ident"))).where(F.col("n") <= per_lang))
     at = lambda k: 1 + F.pmod(F.xxhash64("ident", F.lit(k)), F.greatest(F.length(t) - WINDOW + 1, F.lit(1))).cast("int")

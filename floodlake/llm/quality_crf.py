@@ -21,12 +21,13 @@ documents of a batch advance together.
 Defined cases: null and empty texts are one empty line; a line of any length
 is one line; documents without labels don't train; without any label, or with
 one label only, the score is that label's share (0.5 with none); repeated
-rows are each scored; an empty table gives an empty result.
+rows and ties are each scored alike; an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,8 @@ from .common import cut_lineage
 #: bounds of the training sample: documents, runs of them, and lines of a run
 DOCS, RUNS, RUN = 3000, 8000, 32
 STEPS, RATE, DECAY = 250, 0.1, 2e-4
+#: lines scored side by side in a Python worker, unless one text has more
+LINES = 50_000
 
 _ALL = bytes(range(256))
 _GROUPS = {
@@ -121,11 +124,20 @@ class LineField:
         first[ends - lens], last[ends - 1] = True, True
         return with_neighbours((np.vstack(feats) - self.mean) / self.std, first, last), lens
 
-    def score(self, texts: Sequence[str | None]) -> np.ndarray:
-        """Length-weighted mean marginal of every text."""
-        if not len(texts):
-            return np.zeros(0)
-        feats, sizes = zip(*map(text_features, texts))
+    def score(self, texts: Iterable[str | None], lines: int = LINES) -> np.ndarray:
+        """Length-weighted mean marginal of every text. Texts are taken
+        together up to ``lines`` lines, a longer text by itself."""
+        out, held, count = [], [], 0
+        for found in map(text_features, texts):
+            if held and count + len(found[0]) > lines:
+                out.append(self._means(held))
+                held, count = [], 0
+            held.append(found)
+            count += len(found[0])
+        return np.concatenate([*out, self._means(held)]) if held else np.zeros(0)
+
+    def _means(self, found: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        feats, sizes = zip(*found)
         x, lens = self.prepare(feats)
         p = self.marginals(x, lens)
         weight = np.concatenate(sizes) + 1

@@ -376,3 +376,29 @@ def test_pipeline_on_edge_rows(spark, edge, clashing, none):
     kept = corpus_pipeline.exact(spark, clashing, SF).select("doc_id", "text").collect()
     assert sorted((r.doc_id for r in kept if r.doc_id in (7, 8, None)), key=str) == [8]
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_histogram_of_the_sample_ends_where_the_ranking_does(spark):
+    df = spark.range(3000).select(F.col("id").alias("ident"), F.concat(F.lit("l"), F.when(F.col("id") < 30, 1).otherwise(0)).alias("lang"))
+    keyed = df.select("ident", "lang", F.substring(F.md5(F.col("ident").cast("string")), 1, 4).alias("bucket"))
+    rows = defaultdict(list)
+    for r in keyed.collect():
+        rows[r.lang].append(r.bucket)
+    for per_lang in (1, 29, 30, 31, 200, 5000):
+        ends = df.select("lang").distinct().select("lang", F.lit("").alias("end"), F.lit(0).cast("long").alias("before"))
+        for level in (1, 2):
+            ends = langid._last_bucket(keyed, ends, level, per_lang)
+        want = {lang: max(b for b in found if sum(x < b for x in found) < per_lang) for lang, found in rows.items()}
+        assert {r.lang: r.end for r in ends.collect()} == want
+
+
+def test_quality_scores_do_not_depend_on_the_lines_taken_together():
+    rng = random.Random(3)
+    texts = [None, "", "\n" * 40] + ["\n".join("word " * rng.randrange(9) + "x|" * rng.randrange(3) for _ in range(rng.randrange(30)))
+                                     for _ in range(25)]
+    found = [quality_crf.text_features(t) for t in texts]
+    field = quality_crf.train([(x, k % 2) for k, (x, _) in enumerate(found)], steps=5)
+    whole = field.score(texts)
+    assert len(whole) == len(texts) and len(field.score([])) == 0
+    for lines in (1, 7, 64):
+        assert np.allclose(field.score(iter(texts), lines), whole, atol=1e-6)
