@@ -33,9 +33,10 @@ def _key(ident: Column) -> Column:
 
 
 def _only(docs: DataFrame, stays: DataFrame) -> DataFrame:
-    """One row for every (key, place) of ``stays``: by id and by the hash of the text."""
+    """One row for every (key, place) of ``stays``: by id and by the hash of the text.
+    Rows that repeat both are reduced where they are read, before they meet ``stays``."""
     rows = wrap(docs).select("row", _key(F.col("row.doc_id")), exact_dedup.locator(F.col("row.text")).alias("place"))
-    return unwrap(rows.join(stays.hint("merge"), ["key", "place"], "left_semi").dropDuplicates(["key", "place"]))
+    return unwrap(rows.dropDuplicates(["key", "place"]).join(stays.hint("merge"), ["key", "place"], "left_semi"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
