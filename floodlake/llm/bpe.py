@@ -9,8 +9,10 @@ Reading a byte extends the partial tokens and, where one completes a token
 that may stand after its hypothesis' last one, opens a hypothesis with an
 empty partial token. ``Encoder`` determinises this while it reads: a state is
 the set of live hypotheses, and transitions are kept by (state, byte), each
-with the token that ends at that byte. A token is emitted once all live
-hypotheses agree on it, after a lookahead of a few vocabulary entries.
+with the token that ends at that byte. The live partial tokens are suffixes of
+the longest one, so a state is that one's number and the last tokens of all,
+longest partial token first. A token is emitted once all live hypotheses agree
+on it, after a lookahead of a few vocabulary entries.
 
 Decoding. ``Decoder`` runs the incremental UTF-8 machine over runs of tokens:
 its state is the incomplete sequence at the end of what was read (at most
@@ -18,8 +20,9 @@ three bytes), its output the text completed so far. Bytes that are not UTF-8
 become U+FFFD.
 
 Both are exact for texts of any length, need memory bounded by ``KEEP``
-(or twice as many) entries each (the tables start afresh beyond it, results stay the same), run
-per document and shuffle nothing.
+(or twice as many) entries each (the tables start afresh beyond it, that of
+pieces keeps the younger half; results stay the same), run per document and
+shuffle nothing.
 
 Defined cases: null text counts as empty (no ids); empty tables give empty
 results; repeated rows are each encoded; columns of the input beside the id
@@ -72,16 +75,21 @@ def pack(ids: list[int]) -> bytes:
 
 
 class Pieces(dict):
-    """Piece of text -> its ids as bytes, filled on demand."""
+    """Piece of text -> its ids as bytes, filled on demand. Two generations of
+    ``KEEP`` pieces: those in use move from the older one to the younger."""
 
     def __init__(self, piece):
         super().__init__()
         self.piece = piece
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = pack(self.piece(text.encode("utf-8")))
+        ids = self.older.get(text)
+        if ids is None:
+            ids = pack(self.piece(text.encode("utf-8")))
         if len(text) <= LONG_PIECE:
-            if len(self) >= 2 * KEEP:
+            if len(self) >= KEEP:
+                self.older = dict(self)
                 self.clear()
             self[text] = ids
         return ids
@@ -95,18 +103,39 @@ class Encoder:
         self.ranks = ranks
         self.split = regex.compile(pattern)
         self.token = {r: t for t, r in ranks.items()}
-        self.partial = {t[:k] for t in ranks for k in range(len(t) + 1)}
+        self.size = {r: len(t) for t, r in ranks.items()}
+        self.parts = sorted({t[:k] for t in ranks for k in range(len(t) + 1)})
+        self.part_no = {p: n for n, p in enumerate(self.parts)}
         self.bytes = [bytes((b,)) for b in range(256)]
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
+        self.steps: dict[int, tuple] = {}
         self.pieces = Pieces(self.piece)
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers: dict[tuple, int] = {((None, b""),): 0}
+        # a state: the number of the longest partial token, then the last tokens; the empty part is number 0
+        self.numbers: dict[tuple, int] = {(0, None): 0}
         self.states = list(self.numbers)
-        self.moves: dict[int, tuple[int, int]] = {}
-        self.shared: dict[tuple, tuple] = {}    # states hold the same few hypotheses
+        self.moves: dict[int, int] = {}
+
+    def _lengths(self, part: int) -> list[int]:
+        """Lengths of the suffixes of a partial token that are partial tokens, longest first."""
+        text = self.parts[part]
+        return [len(text) - k for k in range(len(text) + 1) if text[k:] in self.part_no]
+
+    def _step(self, part: int, byte: int) -> tuple:
+        """What a byte does to the partial tokens, whatever the last tokens are:
+        the longest one then, the places of the last tokens that stay, and
+        (place, token) of the tokens that may end here, longest first."""
+        if len(self.steps) >= KEEP:
+            self.steps.clear()
+        text, b = self.parts[part], self.bytes[byte]
+        longer = [(k, text[len(text) - n:] + b) for k, n in enumerate(self._lengths(part), 1)]
+        longer = [(k, p) for k, p in longer if p in self.part_no]
+        ends = tuple((k, self.ranks[p]) for k, p in longer if p in self.ranks)
+        found = self.steps[part << 8 | byte] = self.part_no[longer[0][1]], [k for k, _ in longer], ends
+        return found
 
     def _split(self, tok: int) -> tuple[int, int] | None:
         """The two tokens whose merge made ``tok``; None for a single byte."""
@@ -150,26 +179,19 @@ class Encoder:
             ok = self.pairs[key] = self._survives(left, right)
         return ok
 
-    def _move(self, number: int, byte: int) -> tuple[int, int]:
-        """Next state and the token that ends at this byte."""
-        live = []
-        ended = None
-        b, partial, ranks, shared = self.bytes[byte], self.partial, self.ranks, self.shared
-        for last, part in self.states[number]:
-            part = part + b
-            if part in partial:
-                held = (last, part)
-                live.append(shared.setdefault(held, held))
-                if ended is None:
-                    tok = ranks.get(part)
-                    if tok is not None and (last is None or self._fits(last, tok)):
-                        ended = tok
-        live.append((ended, b""))
-        state = tuple(live)
-        to = self.numbers.setdefault(state, len(self.states))
+    def _move(self, number: int, byte: int) -> int:
+        """Next state, shifted by 40 bits, and the token that ends at this byte."""
+        state = self.states[number]
+        part, stay, ends = self.steps.get(state[0] << 8 | byte) or self._step(state[0], byte)
+        for k, ended in ends:
+            last = state[k]
+            if last is None or self._fits(last, ended):
+                break
+        held = (part, *[state[k] for k in stay], ended)
+        to = self.numbers.setdefault(held, len(self.states))
         if to == len(self.states):
-            self.states.append(state)
-        move = self.moves[number << 8 | byte] = (to, ended)
+            self.states.append(held)
+        move = self.moves[number << 8 | byte] = to << 40 | ended
         return move
 
     def _path(self, ends: list[int], at: int) -> list[int]:
@@ -177,26 +199,27 @@ class Encoder:
         out = []
         while at:
             out.append(ends[at - 1])
-            at -= len(self.token[out[-1]])
+            at -= self.size[out[-1]]
         return out
 
     def piece(self, data: bytes) -> list[int]:
         """The tokens of one piece."""
-        if len(self.moves) >= KEEP:
+        if len(self.moves) >= 2 * KEEP:
             self._reset()
         out: list[int] = []
-        state, ends, moves = 0, [], self.moves
+        state, ends, moves = 0, [], self.moves      # the state's number, shifted by 8 bits
         for byte in data:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            state = move[0]
-            ends.append(move[1])
+            move = moves.get(state | byte) or self._move(state >> 8, byte)
+            state = move >> 32
+            ends.append(move & 0xFFFFFFFF)
             if len(ends) >= FLUSH:
-                paths = [self._path(ends, len(ends) - len(part))[::-1] for _, part in self.states[state]]
+                lengths = self._lengths(self.states[state >> 8][0])
+                paths = [self._path(ends, len(ends) - n)[::-1] for n in lengths]
                 agreed = 0
                 while all(len(p) > agreed for p in paths) and len({p[agreed] for p in paths}) == 1:
                     agreed += 1
                 out += paths[0][:agreed]
-                del ends[:sum(len(self.token[t]) for t in paths[0][:agreed])]
+                del ends[:sum(self.size[t] for t in paths[0][:agreed])]
         return out + self._path(ends, len(ends))[::-1]
 
     def encode_bytes(self, text: str) -> bytes:
