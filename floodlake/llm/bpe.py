@@ -103,13 +103,13 @@ class Encoder:
         self.ranks = ranks
         self.split = regex.compile(pattern)
         self.token = {r: t for t, r in ranks.items()}
-        self.size = {r: len(t) for t, r in ranks.items()}
         self.parts = sorted({t[:k] for t in ranks for k in range(len(t) + 1)})
         self.part_no = {p: n for n, p in enumerate(self.parts)}
         self.bytes = [bytes((b,)) for b in range(256)]
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.steps: dict[int, tuple] = {}
+        self.stays: dict[tuple, tuple] = {}     # few differ: steps share them
         self.pieces = Pieces(self.piece)
         self._reset()
 
@@ -128,13 +128,14 @@ class Encoder:
         """What a byte does to the partial tokens, whatever the last tokens are:
         the longest one then, the places of the last tokens that stay, and
         (place, token) of the tokens that may end here, longest first."""
-        if len(self.steps) >= KEEP:
+        if len(self.steps) >= KEEP // 2:
             self.steps.clear()
         text, b = self.parts[part], self.bytes[byte]
         longer = [(k, text[len(text) - n:] + b) for k, n in enumerate(self._lengths(part), 1)]
         longer = [(k, p) for k, p in longer if p in self.part_no]
         ends = tuple((k, self.ranks[p]) for k, p in longer if p in self.ranks)
-        found = self.steps[part << 8 | byte] = self.part_no[longer[0][1]], [k for k, _ in longer], ends
+        stay = tuple(k for k, _ in longer)
+        found = self.steps[part << 8 | byte] = self.part_no[longer[0][1]], self.stays.setdefault(stay, stay), ends
         return found
 
     def _split(self, tok: int) -> tuple[int, int] | None:
@@ -199,12 +200,12 @@ class Encoder:
         out = []
         while at:
             out.append(ends[at - 1])
-            at -= self.size[out[-1]]
+            at -= len(self.token[out[-1]])
         return out
 
     def piece(self, data: bytes) -> list[int]:
         """The tokens of one piece."""
-        if len(self.moves) >= 2 * KEEP:
+        if len(self.moves) >= KEEP:
             self._reset()
         out: list[int] = []
         state, ends, moves = 0, [], self.moves      # the state's number, shifted by 8 bits
@@ -219,7 +220,7 @@ class Encoder:
                 while all(len(p) > agreed for p in paths) and len({p[agreed] for p in paths}) == 1:
                     agreed += 1
                 out += paths[0][:agreed]
-                del ends[:sum(self.size[t] for t in paths[0][:agreed])]
+                del ends[:sum(len(self.token[t]) for t in paths[0][:agreed])]
         return out + self._path(ends, len(ends))[::-1]
 
     def encode_bytes(self, text: str) -> bytes:
